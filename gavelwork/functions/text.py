@@ -57,6 +57,11 @@ def found(pattern, c, group=1):
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def let(c, build):
+    """``build(x)`` with ``x`` evaluated once, for expressions that use their input many times."""
+    return F.get(F.transform(F.array(c), build), F.lit(0))
+
+
 def digits(c):
     return F.regexp_replace(c, r"\D", "")
 

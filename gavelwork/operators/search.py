@@ -79,8 +79,8 @@ def missing_fields(fields):
 
 
 # fixed values: words that make a text worth extracting
-AUCTION_WORDS = ["REMATE", "SUBASTA", "BASE DEL REMATE", "AVALUO", "AVALÚO", "POSTURA", "FIANZA",
-                 "CONSIGNAR", "VENTA DE CUOTAS"]
+AUCTION_WORDS = ["REMATE", "SUBASTA", "BASE DEL REMATE", "AVALUO", "AVALÚO", "POSTURA",
+                 "SE VENDERA", "SE VENDERÁ", "MEJOR POSTOR"]
 
 
 def looks_like_auction(text, words=AUCTION_WORDS):
@@ -113,8 +113,14 @@ def drop_placeholder(c):
 
 
 # fixed values: fields a model may fill, may never fill, and the two confidence floors
-AI_ALLOWED = ["descripcion_completa", "descripcion_resumida", "fianza_porcentaje", "minimo_porcentaje",
-              "descripcion", "detalles", "observaciones"]
-AI_FORBIDDEN = ["expediente", "finca", "matricula", "base", "precio_base", "valor", "juzgado", "demandante",
-                "demandado", "provincia"]
+AI_ALLOWED = ["fecha_remate", "hora", "lugar", "juzgado", "provincia", "municipio"]
+AI_FORBIDDEN = ["expediente", "finca", "precio_base", "base", "fianza", "minimo", "matricula"]
 AI_FOUND, AI_REVIEW = 0.95, 0.80
+
+
+def ai_status(field, confidence):
+    """Status of a candidate answer: forbidden fields stay out, the rest follow the clamped confidence."""
+    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence.try_cast("double")))
+    level = F.when(confidence.try_cast("double").isNull(), "REQUIRES_REVIEW").when(c >= AI_FOUND, "FOUND").when(
+        c >= AI_REVIEW, "REQUIRES_REVIEW").otherwise("NOT_FOUND")
+    return F.when(field.isin(AI_ALLOWED), level).otherwise(F.lit("NOT_ALLOWED"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["notices"]
+MODULES = ["notices", "extraction"]
 
 
 def load_all():

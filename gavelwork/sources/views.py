@@ -187,3 +187,40 @@ def palabras(spark, sf_dir):
         "((word_no div 8) div 6) * 30 + (word_no * 7) % 5 + 20 AS y1",
         "(70 + (doc_id + word_no) % 31) / 100D AS confidence",
         "IF(word_no % 8 = 7, 'LINE_BREAK', 'SPACE') AS break_type")
+
+
+LETTERS = ("0123456789", "ABCDEFGHIJ")
+
+
+def avisos_texto(spark, sf_dir):
+    """Notices with a printed text: judicial prose for Panama, labelled lines for Colombia."""
+    from gavelwork.operators.extract import spanish_date, thousands
+
+    def line(*parts):
+        return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+
+    c = F.col
+    a = avisos(spark, sf_dir)
+    day = spanish_date(c("fecha"))
+    pct = {n: F.regexp_replace(c(n).cast("string"), r"\.0$", "") for n in ("fianza_porcentaje", "minimo_porcentaje")}
+    pa = F.concat_ws(
+        "\n", F.lit("AVISO DE REMATE"), line("EXPEDIENTE N ", c("expediente")),
+        line(c("lugar"), F.when(c("id") % 4 == 0, " DE INSOLVENCIA").otherwise("")),
+        line("PROCESO ", c("proceso"), " PROMOVIDO POR ", c("demandante"),
+             F.coalesce(F.concat(F.lit(", EN CONTRA DE "), c("demandado")), F.lit("")), ","),
+        line("FINCA ", c("finca_matr")), line("LOTE ", c("lote_casa")), line("PLANO: ", c("plano")),
+        line("SUPERFICIE: ", c("superficie"), " M2"), line("PROVINCIA DE ", c("provincia"), ","),
+        line("CODIGO DE UBICACION: ", (4000 + c("id") % 5000).cast("string")), line("CATEGORIA: ", c("categoria")),
+        line("FECHA DE REMATE: ", day), line("REMATE EL DIA ", day), line("HORA: ", c("hora")),
+        line("BASE DEL REMATE: B/.", thousands(c("base"))), line("FIANZA: ", pct["fianza_porcentaje"], "%"),
+        line("MINIMO: ", pct["minimo_porcentaje"], "%"),
+        F.when(c("id") % 5 == 0, line("CORREO: aviso", c("id").cast("string"), "@example.com")))
+    words = F.when(c("minimo_porcentaje") == 70, "SETENTA").when(c("minimo_porcentaje") == 50, "CINCUENTA").when(
+        c("minimo_porcentaje") == 100, "CIEN")
+    minimum = F.when(c("id") % 4 == 1, line(words, " POR CIENTO")).otherwise(line(pct["minimo_porcentaje"], "%"))
+    co = F.concat_ws(
+        "\n", F.lit("AVISO DE REMATE"), line("EXPEDIENTE: ", c("expediente")),
+        line("DEMANDANTE: ", F.translate(c("demandante"), *LETTERS)), line("DEMANDADO: ", F.translate(c("demandado"), *LETTERS)),
+        line("MATRICULA INMOBILIARIA N° ", c("finca_matr")), line("AVALUO COMERCIAL: $", thousands(c("base"))),
+        line("FECHA DE REMATE: ", day), line("FIANZA: ", pct["fianza_porcentaje"], "%"), line("POSTURA ADMISIBLE: ", minimum))
+    return a.withColumn("text", F.when(c("pais") == 1, pa).otherwise(co))
