@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["notices", "extraction"]
+MODULES = ["notices", "extraction", "rules"]
 
 
 def load_all():

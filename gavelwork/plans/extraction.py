@@ -36,13 +36,15 @@ def colombia_fields(spark, sf):
 
 @query("ext1_panama_first_generation", views=("avisos",), oracle="""
 SELECT id, left(expediente, length(expediente) - 2) AS expediente,
-  CASE WHEN id % 4 = 0 THEN lugar || ' DE INSOLVENCIA' END AS lugar, demandante, demandado, finca_matr, lote_casa, plano,
+  CASE WHEN id % 4 = 0 THEN lugar || ' DE INSOLVENCIA' END AS lugar, demandante, demandado, finca_matr,
+  coalesce(lote_casa, CASE WHEN categoria = 'CASA' THEN 'FECHA' END) AS lote_casa, plano,
   superficie, (4000 + id % 5000)::VARCHAR AS codigo_ubicacion_prensa,
   CASE categoria WHEN 'MISCELANEO' THEN 'TERRENO' ELSE categoria END AS categoria,
   CASE WHEN provincia = 'ZONA LIBRE' THEN NULL ELSE upper(provincia) END AS provincia,
   strftime(fecha, '%Y-%m-%d') AS fecha, hora, CASE WHEN fianza_porcentaje <> 33 THEN fianza_porcentaje END AS fianza_porcentaje,
   minimo_porcentaje, 'AVISO DE REMATE' AS proceso, CAST(base AS DOUBLE) AS base,
-  concat_ws(', ', CASE categoria WHEN 'MISCELANEO' THEN 'TERRENO' ELSE categoria END, 'lote ' || lote_casa, superficie || ' m2',
+  concat_ws(', ', CASE categoria WHEN 'MISCELANEO' THEN 'TERRENO' ELSE categoria END,
+    'lote ' || coalesce(lote_casa, CASE WHEN categoria = 'CASA' THEN 'FECHA' END), superficie || ' m2',
     CASE WHEN provincia = 'ZONA LIBRE' THEN NULL ELSE upper(provincia) END) AS descripcion
 FROM avisos WHERE pais = 1""")
 def panama_first(spark, sf):
