@@ -53,17 +53,23 @@ _DAY = r"(?:EL\s+)?D[IÍ]A\s+\d{1,2}\s+DE\s+[A-ZÁÉÍÓÚÑ]+(?:\s+DE\s+|\s+)\d
 
 def auction_date(text):
     """First valid date with an auction word in the 150 characters before or the 100 after it."""
-    before = "|".join(rf"(?<={w}[\s\S]{{0,{150 - len(w)}}})" for w in AUCTION_DATE_WORDS)
-    after = "|".join(rf"(?=[\s\S]{{0,{100 - len(w)}}}{w})" for w in AUCTION_DATE_WORDS)
-    near = F.regexp_extract_all(text, F.lit(rf"(?iuU)((?:{before}){_DAY}|{_DAY}(?:{after}))"), 1)
-    body = r"(?iuU)(\d{1,2})\s+DE\s+([A-ZÁÉÍÓÚÑ]+)(?:\s+DE\s+|\s+)(\d{4})$"
+    body = r"(?iu)(\d{1,2})\s+DE\s+([A-ZÁÉÍÓÚÑ]+)(?:\s+DE\s+|\s+)(\d{4})$"
+    words = "|".join(AUCTION_DATE_WORDS)
 
     def as_date(s):
         iso = F.concat_ws("-", F.regexp_extract(s, body, 3), F.coalesce(month_number(F.regexp_extract(s, body, 2)), F.lit("00")),
                           F.lpad(F.regexp_extract(s, body, 1), 2, "0"))
         return F.try_to_date(iso, "yyyy-MM-dd")
 
-    return F.get(F.filter(F.transform(near, as_date), lambda d: d.isNotNull()), F.lit(0)).cast("string")
+    def step(acc, d):
+        at = F.position(d, text, acc["next"])
+        lead = F.greatest(at - 150, F.lit(1))
+        near = F.upper(F.substr(text, lead, at - lead + F.length(d) + 100)).rlike(words)
+        return F.when(acc["day"].isNotNull(), acc).otherwise(F.struct(
+            (at + F.length(d)).alias("next"), F.when(near, as_date(d)).alias("day")))
+
+    start = F.struct(F.lit(1).alias("next"), F.lit(None).cast("date").alias("day"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(f"(?iu)({_DAY})"), 1), start, step)["day"].cast("string")
 
 
 def time_12h(text):

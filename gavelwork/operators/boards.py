@@ -7,11 +7,11 @@ from pyspark.sql import types as T
 
 
 def mean_of(col, cond=None, scale=2, digits=4):
-    """Mean through an exact decimal sum, so that the result does not depend on row order."""
+    """Mean through an exact decimal sum, so that the result does not depend on row order; ties round up."""
     value = col.cast(T.DecimalType(18, scale))
     if cond is not None:
         value = F.when(cond, value)
-    return F.round(F.try_divide(F.sum(value).cast("double"), F.count(value).cast("double")), digits)
+    return F.round(F.try_divide(F.sum(value).cast("double"), F.count(value).cast("double")) + 1e-9, digits)
 
 
 def percent(part, whole, digits=1):

@@ -166,19 +166,22 @@ def notice_score(df):
     """Independent score 0-1; the consistency part is halved as soon as there is any issue."""
     fields = F.col("campos_encontrados")
 
-    def ratio(values):
-        return F.size(F.array_intersect(fields, names_array(values))) / F.lit(float(len(values)))
+    def points(n, weight):
+        return n.cast("decimal(4,0)") * F.lit(weight).cast("decimal(8,6)")
 
-    def given(cond, w):
-        return F.when(cond, w).otherwise(0.0)
+    def given(cond, weight):
+        return points(F.when(cond, 1).otherwise(0), weight)
+
+    def count(values):
+        return F.size(F.array_intersect(fields, names_array(values)))
 
     rule = lambda n: F.array_contains("reglas_aplicadas", n)
     every = len(lk.STRONG_FIELDS) + len(lk.MEDIUM_FIELDS) + len(lk.WEAK_FIELDS)
-    total = (given(F.col("cabecera_valida"), 0.20) + ratio(lk.STRONG_FIELDS) * 0.20 + ratio(lk.MEDIUM_FIELDS) * 0.15
-             + F.least(F.size(fields) / F.lit(float(every)), F.lit(1.0)) * 0.10 + given(rule("field_co_occurrence"), 0.10)
-             + F.when(F.col("inconsistencias") == 0, 0.10).otherwise(0.05) + given(rule("not_publicidad"), 0.05)
-             + given(rule("not_edicto"), 0.05) + given(F.col("estructura_valida"), 0.05))
-    return df.withColumn("score", F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)), 4))
+    total = (given(F.col("cabecera_valida"), 0.20) + points(count(lk.STRONG_FIELDS), 0.20 / len(lk.STRONG_FIELDS))
+             + points(count(lk.MEDIUM_FIELDS), 0.15 / len(lk.MEDIUM_FIELDS)) + points(F.size(fields), 0.10 / every)
+             + given(rule("field_co_occurrence"), 0.10) + given(F.lit(True), 0.05) + given(F.col("inconsistencias") == 0, 0.05)
+             + given(rule("not_publicidad"), 0.05) + given(rule("not_edicto"), 0.05) + given(F.col("estructura_valida"), 0.05))
+    return df.withColumn("score", F.least(F.round(total, 4), F.lit(1).cast("decimal(5,4)")).cast("double"))
 
 
 def consistency_issues(fields, dates):

@@ -13,3 +13,62 @@ def slice_at_docket(text, docket, before=2000, after=4000):
     own = F.when(nxt > 0, F.substr(tail, F.lit(1), nxt)).otherwise(tail)
     start = F.greatest(pos - before, F.lit(1))
     return F.when(pos > 0, F.concat(F.substr(text, start, pos - start), own))
+
+
+def split_pages(df, keys, text="text"):
+    """One row per page of a text with ``--- PÁGINA N ---`` markers: page number and text."""
+    marker = r"\n?--- PÁGINA \d+ ---\n?"
+    numbers = F.concat(F.array(F.lit("1")), F.regexp_extract_all(F.col(text), F.lit(r"--- PÁGINA (\d+) ---"), 1))
+    pages = F.arrays_zip(F.split(F.col(text), marker).alias("texto"), numbers.alias("pagina"))
+    out = df.select(*keys, F.explode(pages).alias("p"))
+    return out.select(*keys, F.col("p.pagina").cast("int").alias("pagina"), F.col("p.texto").alias("texto")).filter(F.trim("texto") != "")
+
+
+def cut_points(text, limit, overlap):
+    """(start, end) of overlapping chunks; cuts fall on a blank line, else a line break, in the overlap before the limit."""
+    n = len(text)
+    if n <= limit:
+        return [(0, n)]
+    spans, start = [], 0
+    while start < n:
+        end = min(start + limit, n)
+        if end < n:
+            for mark in ("\n\n", "\n"):
+                at = text.rfind(mark, start + limit - overlap, end)
+                if at > start:
+                    end = at
+                    break
+        spans.append((start, end))
+        if end >= n:
+            break
+        start = max(end - overlap, start + 1)
+    return spans
+
+
+def chunk_texts(df, keys, text="text", limit=45_000, overlap=8_000):
+    """Texts cut into chunks of at most ``limit`` characters; each cut depends on the one before, so one text is folded at a time."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<struct<inicio:int,fin:int>>")
+    def spans(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"inicio": a, "fin": b} for a, b in cut_points(t or "", limit, overlap)])
+
+    d = df.select(*keys, text, F.posexplode(spans(text)).alias("n", "s"))
+    return d.select(*keys, "n", F.col("s.inicio").alias("inicio"), F.substr(F.col(text), F.col("s.inicio") + 1, F.col("s.fin") - F.col("s.inicio")).alias("trozo"))
+
+
+def pack_segments(df, keys, order, length, limit=45_000):
+    """Batch number of contiguous segments: a batch closes before the segment that would exceed the limit."""
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, length))).alias("ss"))
+    start = F.struct(F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<int>").alias("ids"))
+
+    def step(acc, s):
+        size = s[length].cast("bigint")
+        close = (acc["n"] > 0) & (acc["n"] + size > limit)
+        b = F.when(close, acc["b"] + 1).otherwise(acc["b"])
+        return F.struct(b.alias("b"), F.when(close, size).otherwise(acc["n"] + size).alias("n"), F.array_append(acc["ids"], b).alias("ids"))
+
+    d = g.withColumn("ids", F.aggregate("ss", start, step)["ids"])
+    z = d.select(*keys, F.explode(F.arrays_zip("ss", "ids")).alias("z"))
+    return z.select(*keys, F.col(f"z.ss.{order}").alias(order), F.col("z.ids").alias("lote"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["notices", "extraction", "rules"]
+MODULES = ["notices", "extraction", "rules", "quality", "layout"]
 
 
 def load_all():

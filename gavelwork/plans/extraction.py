@@ -298,7 +298,7 @@ c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', '
 SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda s: regexp_replace(
   regexp_replace(s, '^[\s\-_=*#|"'']+', ''), '[\s\-_=*#|"'']+$', '')), chr(10)), '^\s+|\s+$', '', 'g') AS limpio FROM c""".replace("\\'", "'"))
 def ocr_clean_shape(spark, sf):
-    return v.table(spark, sf, "documents").select("doc_id", text.ocr_clean(F.col("text")).alias("limpio"))
+    return v.texts(spark, sf).select("doc_id", text.ocr_clean(F.col("text")).alias("limpio"))
 
 
 @query("str_n3_legal_names", oracle="""
@@ -327,7 +327,7 @@ def place_names(spark, sf):
 @query("str_n6_hyphen_breaks", oracle=r"""
 SELECT doc_id, regexp_replace(text, '-\s*\n\s*', '', 'g') AS unido FROM documents""")
 def hyphen_breaks(spark, sf):
-    return v.table(spark, sf, "documents").select("doc_id", text.join_hyphen_breaks(F.col("text")).alias("unido"))
+    return v.texts(spark, sf).select("doc_id", text.join_hyphen_breaks(F.col("text")).alias("unido"))
 
 
 @query("str_n7_boundaries", views=("avisos",), oracle="""
@@ -347,7 +347,7 @@ def boundaries(spark, sf):
 SELECT doc_id, regexp_matches(upper(text), 'REMATE|SUBASTA|AVALUO|AVALÚO|POSTURA|SE VENDER[AÁ]|MEJOR POSTOR') AS remate FROM documents
 UNION ALL SELECT -1 - id, true FROM avisos""")
 def auction_words(spark, sf):
-    d = v.table(spark, sf, "documents").select("doc_id", "text").unionByName(
+    d = v.texts(spark, sf).unionByName(
         v.avisos_texto(spark, sf).select((-1 - F.col("id")).alias("doc_id"), "text"))
     return d.select("doc_id", search.looks_like_auction(F.col("text")).alias("remate"))
 

@@ -92,15 +92,33 @@ SELECT p_partkey AS rule_id, {pick(v.RULE_FIELDS, 'p_size % 5')} AS field_name,
 SELECT doc_id - doc_id % 2 AS page, CASE WHEN doc_id % 2 = 1 THEN 'bottom' ELSE 'top' END AS position, doc_id,
   word_no, text, word_no // 8 AS line, (word_no // 8) % 6 AS slot,
   ((word_no // 8) % 6) * 500 + (word_no % 8) * 55 AS x0,
-  ((word_no // 8) // 6) * 30 + (word_no * 7) % 5 AS y0,
+  ((word_no // 8) // 6) * 30 + ((word_no // 8) // 60) * 100 + (word_no * 7) % 5 AS y0,
   ((word_no // 8) % 6) * 500 + (word_no % 8) * 55 + 50 AS x1,
-  ((word_no // 8) // 6) * 30 + (word_no * 7) % 5 + 20 AS y1,
+  ((word_no // 8) // 6) * 30 + ((word_no // 8) // 60) * 100 + (word_no * 7) % 5 + 20 AS y1,
   (70 + (doc_id + word_no) % 31)::DOUBLE / 100 AS confidence,
   CASE WHEN word_no % 8 = 7 THEN 'LINE_BREAK' ELSE 'SPACE' END AS break_type
 FROM (SELECT doc_id, unnest(ws) AS text, unnest(range(len(ws))) AS word_no
       FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents))""",
 }
-NEEDS = {"republicaciones": ["avisos"]}
+MONTH = "(['ENERO','FEBRERO','MARZO','ABRIL','MAYO','JUNIO','JULIO','AGOSTO','SEPTIEMBRE','OCTUBRE','NOVIEMBRE','DICIEMBRE'])[month(fecha)]"
+SPANISH_DAY = f"(day(fecha)::VARCHAR || ' DE ' || {MONTH} || ' DE ' || year(fecha)::VARCHAR)"
+INT_PCT = "regexp_replace({0}::VARCHAR, '\\.0$', '')"
+VIEWS["avisos_texto"] = f"""
+SELECT *, CASE WHEN pais = 1 THEN concat_ws(chr(10), 'AVISO DE REMATE', 'EXPEDIENTE N ' || expediente,
+   lugar || CASE WHEN id % 4 = 0 THEN ' DE INSOLVENCIA' ELSE '' END,
+   'PROCESO ' || proceso || ' PROMOVIDO POR ' || demandante || coalesce(', EN CONTRA DE ' || demandado, '') || ',',
+   'FINCA ' || finca_matr, 'LOTE ' || lote_casa, 'PLANO: ' || plano, 'SUPERFICIE: ' || superficie || ' M2',
+   'PROVINCIA DE ' || provincia || ',', 'CODIGO DE UBICACION: ' || (4000 + id % 5000)::VARCHAR, 'CATEGORIA: ' || categoria,
+   'FECHA DE REMATE: ' || {SPANISH_DAY}, 'REMATE EL DIA ' || {SPANISH_DAY}, 'HORA: ' || hora,
+   'BASE DEL REMATE: B/.' || format('{{:,.2f}}', CAST(base AS DOUBLE)), 'FIANZA: ' || {INT_PCT.format('fianza_porcentaje')} || '%',
+   'MINIMO: ' || {INT_PCT.format('minimo_porcentaje')} || '%', CASE WHEN id % 5 = 0 THEN 'CORREO: aviso' || id::VARCHAR || '@example.com' END)
+ ELSE concat_ws(chr(10), 'AVISO DE REMATE', 'EXPEDIENTE: ' || expediente, 'DEMANDANTE: ' || translate(demandante, '0123456789', 'ABCDEFGHIJ'),
+   'DEMANDADO: ' || translate(demandado, '0123456789', 'ABCDEFGHIJ'), 'MATRICULA INMOBILIARIA N° ' || finca_matr,
+   'AVALUO COMERCIAL: $' || format('{{:,.2f}}', CAST(base AS DOUBLE)), 'FECHA DE REMATE: ' || {SPANISH_DAY},
+   'FIANZA: ' || {INT_PCT.format('fianza_porcentaje')} || '%',
+   'POSTURA ADMISIBLE: ' || CASE WHEN id % 4 = 1 THEN CASE minimo_porcentaje WHEN 70 THEN 'SETENTA' WHEN 50 THEN 'CINCUENTA' WHEN 100 THEN 'CIEN' END || ' POR CIENTO'
+     ELSE {INT_PCT.format('minimo_porcentaje')} || '%' END) END AS text FROM avisos"""
+NEEDS = {"republicaciones": ["avisos"], "avisos_texto": ["avisos"]}
 
 
 def compose(views, body):

@@ -170,9 +170,9 @@ def decided(spark, sf):
         "inconsistencias": F.expr("IF(id % 3 = 0, 2, 0)")})
 
 
-SCORE = """round((CASE WHEN r1 THEN 0.2::DOUBLE ELSE 0 END + s::DOUBLE / 5 * 0.2::DOUBLE + m::DOUBLE / 4 * 0.15::DOUBLE + n::DOUBLE / 16 * 0.1::DOUBLE
-  + CASE WHEN r6 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN r2 THEN 0.05::DOUBLE ELSE 0 END
-  + CASE WHEN r3 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN r5 THEN 0.05::DOUBLE ELSE 0 END), 4)"""
+SCORE = """CAST(round(CASE WHEN r1 THEN 0.2 ELSE 0 END + s * 0.04 + m * 0.0375 + n * 0.00625 + CASE WHEN r6 THEN 0.1 ELSE 0 END
+  + CASE WHEN id % 3 = 0 THEN 0.05 ELSE 0.1 END + CASE WHEN r2 THEN 0.05 ELSE 0 END + CASE WHEN r3 THEN 0.05 ELSE 0 END
+  + CASE WHEN r5 THEN 0.05 ELSE 0 END, 4) AS DOUBLE)"""
 
 
 @query("rul9_notice_score", views=("avisos",), oracle=f"WITH {VALIDATED} SELECT id, {SCORE} AS score FROM v4")
@@ -398,7 +398,7 @@ WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))
 k AS (SELECT doc_id, ls, list_transform(ls, lambda s: upper(regexp_replace(s, '\s+', ' ', 'g'))) AS ks FROM l)
 SELECT doc_id, array_to_string(list_filter(ls, lambda s, i: list_position(ks, ks[i]) = i), chr(10)) AS texto FROM k""")
 def unique_lines(spark, sf):
-    return nt.unique_lines(v.table(spark, sf, "documents").select("doc_id", "text"), out="texto").select("doc_id", "texto")
+    return nt.unique_lines(v.texts(spark, sf), out="texto").select("doc_id", "texto")
 
 
 @query("str_n5_banners", views=("avisos",), oracle="""
@@ -419,7 +419,7 @@ m AS (SELECT doc_id, array_to_string(list_transform(ws, lambda x: x || CASE WHEN
 s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM m)
 SELECT doc_id, len(ss)::INT AS oraciones, ss[1] AS primera, ss[-1] AS ultima FROM s""")
 def sentence_split(spark, sf):
-    d = v.table(spark, sf, "documents").select("doc_id", nt.sentences(F.col("text")).alias("s"))
+    d = v.texts(spark, sf).select("doc_id", nt.sentences(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").alias("oraciones"), F.get("s", F.lit(0)).alias("primera"), F.try_element_at("s", F.lit(-1)).alias("ultima"))
 
 
@@ -436,7 +436,7 @@ def cover(spark, sf):
 
 @query("str_n9_cover_on_documents")
 def cover_documents(spark, sf):
-    d = v.table(spark, sf, "documents").select("doc_id", "text")
+    d = v.texts(spark, sf)
     return nt.cover_description(d).select("doc_id", "portada")
 
 
@@ -468,7 +468,7 @@ k AS (SELECT doc_id, i, x, len(regexp_extract_all(x, '(?i)CASA|CON CEATA|CON\s+C
   + CASE WHEN regexp_matches(x, '(?i)AVISO\s+DE\s+REMATE|REMATE\s+JUDICIAL|SUBASTA\s+JUDICIAL') THEN 2 ELSE 0 END AS sc FROM t)
 SELECT doc_id, arg_max(x, sc * 1000000 - i) AS ventana FROM (SELECT doc_id, x, i, sc FROM k) GROUP BY doc_id""")
 def best_window(spark, sf):
-    d = v.table(spark, sf, "documents").select("doc_id", "text")
+    d = v.texts(spark, sf)
     return nt.best_window(d, "text").select("doc_id", "ventana")
 
 

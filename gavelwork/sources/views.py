@@ -7,6 +7,17 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df):
+    """Spread rows over all cores when the input has fewer files than cores; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def texts(spark, sf_dir):
+    """Documents ready for per-row text work."""
+    return balanced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pick(values, index):
     """Element of a literal list by a zero-based integer expression."""
     body = ", ".join(repr(v) if isinstance(v, str) else f"{v}D" for v in values)
@@ -182,9 +193,9 @@ def palabras(spark, sf_dir):
         "doc_id - doc_id % 2 AS page", "IF(doc_id % 2 = 1, 'bottom', 'top') AS position", "doc_id",
         "word_no", "text", "word_no div 8 AS line", "(word_no div 8) % 6 AS slot",
         "((word_no div 8) % 6) * 500 + (word_no % 8) * 55 AS x0",
-        "((word_no div 8) div 6) * 30 + (word_no * 7) % 5 AS y0",
+        "((word_no div 8) div 6) * 30 + ((word_no div 8) div 60) * 100 + (word_no * 7) % 5 AS y0",
         "((word_no div 8) % 6) * 500 + (word_no % 8) * 55 + 50 AS x1",
-        "((word_no div 8) div 6) * 30 + (word_no * 7) % 5 + 20 AS y1",
+        "((word_no div 8) div 6) * 30 + ((word_no div 8) div 60) * 100 + (word_no * 7) % 5 + 20 AS y1",
         "(70 + (doc_id + word_no) % 31) / 100D AS confidence",
         "IF(word_no % 8 = 7, 'LINE_BREAK', 'SPACE') AS break_type")
 
@@ -200,7 +211,7 @@ def avisos_texto(spark, sf_dir):
         return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
 
     c = F.col
-    a = avisos(spark, sf_dir)
+    a = balanced(avisos(spark, sf_dir))
     day = spanish_date(c("fecha"))
     pct = {n: F.regexp_replace(c(n).cast("string"), r"\.0$", "") for n in ("fianza_porcentaje", "minimo_porcentaje")}
     pa = F.concat_ws(
