@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["notices", "extraction", "rules", "quality", "layout"]
+MODULES = ["notices", "extraction", "rules", "quality", "layout", "joins"]
 
 
 def load_all():
