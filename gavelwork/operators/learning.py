@@ -103,10 +103,9 @@ def apply_rules(texts, rules, max_rules=2000):
     n = ok.count()
     r = F.broadcast(ok) if n <= max_rules else ok
     j = texts.join(r, "field_name")
-    p = F.concat(F.lit("(?iu)(?m)"), F.col("pattern"))
-    hit = j.filter(F.rlike("text", p))
+    hit = j.withColumn("_p", F.concat(F.lit("(?ium)"), F.col("pattern"))).filter(F.rlike("text", F.col("_p")))
     group = F.regexp_like(F.col("pattern"), F.lit(r"(?<!\\)\((?!\?)"))
-    value = F.when(group, F.regexp_extract(F.col("text"), p, F.lit(1))).otherwise(F.regexp_extract(F.col("text"), p, F.lit(0)))
+    value = F.when(group, F.expr("regexp_extract(text, _p, 1)")).otherwise(F.expr("regexp_extract(text, _p, 0)"))
     best = hit.withColumn("value", strip_all(value)).groupBy("document_id", "field_name").agg(F.max_by(
         F.struct("value", "rule_id", "confidence"), F.struct("created_at", -F.col("rule_id"))).alias("b"))
     return best.select("document_id", "field_name", F.col("b.value").alias("value"), F.col("b.rule_id").alias("rule_id"), F.round(F.col("b.confidence") * 0.9, 4).alias("confidence"))
@@ -201,11 +200,14 @@ def keywords(text, width):
 def apply_learning(notices, corrections, fields, threshold=0.15, recent=500, per_notice=5):
     """Empty fields filled from the correction with the most similar context: Jaccard of words >= 0.15, newest on ties, five fields at most.
 
-    Only the newest 500 corrections of each country are candidates, so the other side is a list of at most 1,000 rows.
+    Only the newest 500 corrections of each country are candidates, so the other side is a list of at most 1,000 rows; of equal
+    word sets only the newest can win, so the others are dropped first.
     """
     latest = top_k(corrections, ["pais"], [F.col("creado_en").desc(), F.col("id").desc()], recent)
     cand = latest.filter((F.trim("valor_nuevo") != "") & (F.col("contexto") != "")).select(
-        "pais", "campo", "id", "valor_nuevo", "creado_en", keywords(F.col("contexto"), 2000).alias("kw"))
+        "pais", "campo", "id", "valor_nuevo", "creado_en", F.array_sort(keywords(F.col("contexto"), 2000)).alias("kw"))
+    newest = F.max_by(F.struct("creado_en", "id", "valor_nuevo"), F.struct("creado_en", "id"))
+    cand = cand.groupBy("pais", "campo", "kw").agg(newest.alias("r")).select("pais", "campo", "kw", "r.*")
     lists = cand.groupBy("pais", "campo").agg(F.collect_list(F.struct("kw", "creado_en", "id", "valor_nuevo")).alias("cs"))
     n = notices.filter(F.length(F.trim("text")) >= 30).withColumn("kw", keywords(F.col("text"), 3000))
     empties = F.array_compact(F.array(*[F.when(F.nullif(F.col(f).cast("string"), F.lit("")).isNull(), F.struct(F.lit(i).alias("orden"), F.lit(f).alias("campo")))

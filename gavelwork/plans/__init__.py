@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["notices", "extraction", "rules", "quality", "layout", "joins"]
+MODULES = ["inputs", "notices", "extraction", "rules", "quality", "layout", "joins", "learning"]
 
 
 def load_all():

@@ -284,11 +284,11 @@ def page_ranges(spark, sf):
 
 
 @query("joi21_contained_documents", oracle=r"""
-WITH w AS (SELECT DISTINCT source AS page, doc_id, unnest(regexp_extract_all(upper(text), '[A-Z]{4,}')) AS w FROM documents), n AS (SELECT page, doc_id, count(*) AS n FROM w GROUP BY 1, 2),
+WITH w AS (SELECT DISTINCT source AS page, doc_id, upper(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS w FROM documents), n AS (SELECT page, doc_id, count(*) AS n FROM w GROUP BY 1, 2),
 m AS (SELECT a.page, a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM w a JOIN w b ON a.page = b.page AND a.w = b.w AND a.doc_id <> b.doc_id GROUP BY 1, 2, 3)
 SELECT m.page, a, b, n FROM m JOIN n ON n.page = m.page AND n.doc_id = a WHERE m.m = n.n""")
 def contained(spark, sf):
-    d = v.table(spark, sf, "documents").select(F.col("source").alias("page"), "doc_id", F.regexp_extract_all(F.upper("text"), F.lit("([A-Z]{4,})"), 1).alias("words"))
+    d = v.table(spark, sf, "documents").select(F.col("source").alias("page"), "doc_id", F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), 1), F.upper).alias("words"))
     return matching.contained_documents(v.balanced(d))
 
 
