@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["inputs", "notices", "extraction", "rules", "quality", "layout", "joins", "learning"]
+MODULES = ["inputs", "notices", "extraction", "rules", "quality", "layout", "joins", "learning", "streams"]
 
 
 def load_all():
