@@ -463,7 +463,8 @@ def label_values(df, key, text="text", section="section", confidence="confidence
             at = F.regexp_instr(t, F.lit(p))
             tail = F.substr(t, at + F.length(F.regexp_extract(t, p, 0)))
             hits.append(F.when(at > 0, tail))
-        after = F.coalesce(*hits)
+        some = "|".join(rf"\b{_escape(label)}\b" for label in labels)
+        after = F.when(t.rlike("(?iuU)" + some), F.coalesce(*hits))
         rest = strip_all(after)
         value = F.regexp_replace(rest, r"^[:;,\-–— ]+", "")
         value = strip_all(F.split_part(strip_all(F.split_part(value, F.lit("\n"), F.lit(1))), F.lit(","), F.lit(1)))

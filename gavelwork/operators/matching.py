@@ -57,13 +57,14 @@ def best_pairing(left, right, fields):
     settled = hit.filter("rid IS NOT NULL").select("id", "document_id", "rid", F.lit(len(fields)).alias("exactos"), F.lit(0).alias("normalizados"))
     rest = hit.filter("rid IS NULL").drop("rid")
     reps = b.withColumn("_rep", F.col("id")).join(exact_first.withColumnRenamed("rid", "_rep"), ["document_id", "_h", "_rep"], "left_semi")
-    j = rest.alias("l").join(reps.alias("r"), "document_id")
-
-    def txt(s, f):
-        return F.coalesce(F.col(f"{s}.{f}").cast("string"), F.lit(""))
-
-    exact = sum((F.when(txt("l", f) == txt("r", f), 1).otherwise(0) for f in fields), F.lit(0))
-    norm = sum((F.when((txt("l", f) != txt("r", f)) & (key_money(txt("l", f)) == key_money(txt("r", f))), 1).otherwise(0) for f in fields), F.lit(0))
+    def sides(df):
+        plain = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+        return df.select("id", "document_id", F.array(*plain).alias("v"), F.array(*[key_money(c) for c in plain]).alias("n"))
+
+    j = sides(rest).alias("l").join(sides(reps).alias("r"), "document_id")
+    exact = sum((F.when(F.get("l.v", F.lit(i)) == F.get("r.v", F.lit(i)), 1).otherwise(0) for i in range(len(fields))), F.lit(0))
+    norm = sum((F.when((F.get("l.v", F.lit(i)) != F.get("r.v", F.lit(i))) & (F.get("l.n", F.lit(i)) == F.get("r.n", F.lit(i))), 1).otherwise(0)
+                for i in range(len(fields))), F.lit(0))
     scored = j.select(F.col("l.id").alias("id"), "document_id", F.col("r.id").alias("rid"), exact.alias("exactos"), norm.alias("normalizados"))
     best = scored.groupBy("id", "document_id").agg(F.max_by(
         F.struct("rid", "exactos", "normalizados"), F.struct(F.col("exactos") * 2 + F.col("normalizados"), -F.col("rid"))).alias("m"))

@@ -483,9 +483,9 @@ CONFUSIONS = {"0": "O", "1": "I", "5": "S", "8": "B"}
 def ocr_defects(df, k=40):
     """Split words, joined words, lost accents, digit-letter confusions and odd symbols, top k of each per country."""
     cls = "A-Za-zÁÉÍÓÚÑáéíóúñ"
-    tokens = df.select("country", F.explode(F.regexp_extract_all("text", F.lit(f"([{cls}0-9']+)"), 1)).alias("t"))
-    words = tokens.groupBy("country", F.upper(F.regexp_replace("t", f"[^{cls}]", "")).alias("w")).agg(F.count("*").alias("n")).filter("w <> ''")
-    key = words.select("country", "w")
+    tokens = df.select("country", F.explode(F.regexp_extract_all("text", F.lit(f"([{cls}0-9']+)"), 1)).alias("t")).groupBy("country", "t").agg(F.count("*").alias("n"))
+    words = tokens.groupBy("country", F.upper(F.regexp_replace("t", f"[^{cls}]", "")).alias("w")).agg(F.sum("n").alias("n")).filter("w <> ''")
+    key = words.select("country", "w")  # the counted tokens are one exchange that all branches reuse
 
     def report(kind, d):
         return d.select("country", F.lit(kind).alias("kind"), "value", F.col("n").cast("bigint").alias("n"))
@@ -504,7 +504,7 @@ def ocr_defects(df, k=40):
     accented = words.filter(F.col("w").rlike("[ÁÉÍÓÚÑ]")).groupBy("country", F.translate("w", "ÁÉÍÓÚÑ", "AEIOUN").alias("plain")).agg(F.min("w").alias("acc"))
     lost = words.filter(~F.col("w").rlike("[ÁÉÍÓÚÑ]") & (F.length("w") >= 3)).join(accented.withColumnRenamed("plain", "w"), ["country", "w"])
     lost = lost.withColumn("value", F.concat("w", F.lit(" (sin acento) -> "), "acc"))
-    digit = tokens.groupBy("country", F.upper("t").alias("t")).agg(F.count("*").alias("n")).filter(F.col("t").rlike("[0-9]") & (F.length("t") >= 3))
+    digit = tokens.groupBy("country", F.upper("t").alias("t")).agg(F.sum("n").alias("n")).filter(F.col("t").rlike("[0-9]") & (F.length("t") >= 3))
     mixed = digit.select("country", "t", "n", F.explode(F.array(*[F.replace("t", F.lit(d), F.lit(c)) for d, c in CONFUSIONS.items()])).alias("w")).filter("t <> w")
     mixed = mixed.join(key, ["country", "w"]).withColumn("value", F.concat("t", F.lit(" -> "), "w"))
     odd = df.select("country", F.explode(F.regexp_extract_all("text", F.lit(f"([^{cls}0-9\\s.,:;()/\"'-])"), 1)).alias("value")).groupBy("country", "value").agg(

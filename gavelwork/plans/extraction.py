@@ -188,7 +188,7 @@ def percent(spark, sf):
 SELECT id, CAST(base AS DOUBLE) AS despues_expediente, CAST(base AS DOUBLE) AS mayor FROM avisos
 WHERE pais = 1 AND base >= 1000""")
 def base_rescue(spark, sf):
-    a = v.avisos(spark, sf, parties=False).filter("pais = 1 AND base >= 1000")
+    a = v.notices(spark, sf).filter("pais = 1 AND base >= 1000")
     t = F.concat(F.lit("AVISO DE REMATE EXP "), F.col("expediente"), F.lit(" hipoteca de ( B/.50.00 ). Servira de base para el remate la cifra de B/."),
                  extract.thousands(F.col("base")), F.lit(" y la suma ( B/."), extract.thousands(F.col("base")),
                  F.lit(" ) AVISO DE REMATE EXP 1 la cifra de B/.9,999,999.00"))
@@ -200,7 +200,7 @@ def base_rescue(spark, sf):
 SELECT id, CASE WHEN pais = 2 THEN 40::DOUBLE ELSE CASE WHEN fianza_porcentaje <> 33 THEN fianza_porcentaje ELSE 10 END END AS fianza_porcentaje,
   CASE id % 3 WHEN 0 THEN 66.67::DOUBLE WHEN 1 THEN 50::DOUBLE ELSE 100::DOUBLE END AS minimo_porcentaje FROM avisos""")
 def percents_near(spark, sf):
-    a = v.avisos(spark, sf, parties=False).withColumn("text", F.expr("""concat('AVISO DE REMATE otro 25% de la base del remate ',
+    a = v.notices(spark, sf).withColumn("text", F.expr("""concat('AVISO DE REMATE otro 25% de la base del remate ',
       'AVISO DE REMATE EXP ', expediente, ' interes de 20% anual, consignar el ',
       IF(pais = 2, '40', IF(fianza_porcentaje = 33, 'diez ( 10', CAST(CAST(fianza_porcentaje AS INT) AS STRING))),
       IF(pais = 1 AND fianza_porcentaje = 33, ' % )', ' %'), ' de la base del remate, postura ',
@@ -215,7 +215,7 @@ SELECT id, CASE id % 6 WHEN 4 THEN '' WHEN 5 THEN '2026-02-31' ELSE strftime(fec
 def iso_dates(spark, sf):
     raw = F.expr("CASE id % 6 WHEN 0 THEN CAST(fecha AS STRING) WHEN 1 THEN date_format(fecha, 'd.M.yyyy') "
                  "WHEN 2 THEN date_format(fecha, ' dd/MM/yyyy') WHEN 3 THEN d WHEN 4 THEN 'ayer' ELSE '2026-02-31' END")
-    a = v.avisos(spark, sf, parties=False).withColumn("d", F.lower(extract.spanish_date(F.col("fecha"))))
+    a = v.notices(spark, sf).withColumn("d", F.lower(extract.spanish_date(F.col("fecha"))))
     return a.select("id", dates.to_iso(raw).alias("iso"), dates.date_format_of(raw).alias("formato"))
 
 
@@ -227,7 +227,7 @@ def auction_dates(spark, sf):
     t = F.when(F.col("id") % 3 == 0, F.concat(F.lit("inscrito el dia 30 de octubre de 2019 "), filler, F.lit(" remate el día "), day)).when(
         F.col("id") % 3 == 1, F.concat(F.lit("el dia "), day, F.lit(" se ha de celebrar. el dia 31 de febrero de 2020 remate"))).otherwise(
         F.concat(F.lit("remate "), filler, F.lit(" el dia "), day))
-    return v.avisos(spark, sf, parties=False).select("id", dates.auction_date(t).alias("fecha"))
+    return v.notices(spark, sf).select("id", dates.auction_date(t).alias("fecha"))
 
 
 @query("dat3_times", oracle="""
@@ -248,7 +248,7 @@ SELECT id, CASE WHEN pais = 2 THEN 'SEJ' WHEN (id // 2) % 4 = 3 THEN NULL
   upper(pagina_prensa) AS codigo_prensa FROM avisos WHERE fecha_prensa IS NOT NULL
 UNION ALL SELECT id, NULL FROM avisos WHERE fecha_prensa IS NULL""")
 def press_code(spark, sf):
-    a = v.avisos(spark, sf, parties=False)
+    a = v.notices(spark, sf)
     return a.select("id", dates.press_code(F.col("periodico"), F.col("pais"), F.col("fecha_prensa"), F.col("pagina_prensa"),
                                            F.lit(None).cast("string")).alias("codigo_prensa"))
 
@@ -258,7 +258,7 @@ SELECT id, CASE id % 3 WHEN 0 THEN 'La Estrella' WHEN 1 THEN 'METRO LIBRE' END A
   CASE WHEN id % 3 < 2 THEN strftime(fecha, '%Y-%m-%d') END AS fecha_prensa,
   CASE WHEN id % 2 = 0 THEN '6B' ELSE '1C' END AS pagina, CASE WHEN id % 4 = 0 THEN 'LE' END AS sigla_archivo FROM avisos""")
 def newspaper_header(spark, sf):
-    a = v.avisos(spark, sf, parties=False).withColumn("d", F.lower(extract.spanish_date(F.col("fecha"))))
+    a = v.notices(spark, sf).withColumn("d", F.lower(extract.spanish_date(F.col("fecha"))))
     t = F.expr("""concat(IF(id % 2 = 0, '6b', 'Ic'), '\\ntexto\\n', CASE id % 3 WHEN 0 THEN concat('La Estrella, Panamá, miércoles ', d)
       WHEN 1 THEN concat('JUEVES ', d, ' METRO LIBRE') ELSE 'El Siglo' END, '\\n')""")
     paper, day = dates.newspaper_header(t)
@@ -272,7 +272,7 @@ SELECT id, 1 + (id % 2)::INT AS fechas, id % 2 = 1 AS varias, id % 4 = 1 AS impo
 def date_checks(spark, sf):
     t = F.expr("concat('el ', CAST(fecha AS STRING), IF(id % 2 = 0, '', IF(id % 4 = 1, ' y 45 de mayo de 2020', ' y 5 de mayo de 2035')))")
     found = dates.dates_in_text(t)
-    return v.avisos(spark, sf, parties=False).select(
+    return v.notices(spark, sf).select(
         "id", F.size(found).alias("fechas"), (F.size(F.array_distinct(found)) > 1).alias("varias"),
         F.exists(found, dates.impossible_date).alias("imposible"))
 
@@ -337,7 +337,7 @@ def boundaries(spark, sf):
                "IF(id % 3 < 2, 'largo texto intermedio hasta el EDICTO No. 12 ', 'presente AVISO DE REMATE '), "
                "IF(id % 3 = 0, 'AVISO DE DISOLUCION', 'fin'))")
     marked = extract.mark_boundaries(t)
-    return v.avisos(spark, sf, parties=False).select(
+    return v.notices(spark, sf).select(
         "id", F.regexp_count(marked, F.lit(extract.BOUNDARY)).alias("marcas"))
 
 

@@ -144,7 +144,7 @@ def detected(spark, sf):
 SELECT id, unnest([1, 2, 3])::BIGINT AS isla, unnest(['HEADER', 'PARTIES', 'VALORES']) AS tipo, unnest([1, 2, 1])::INT AS partes,
   unnest([0.9::DOUBLE, round((0.8::DOUBLE + (id % 10)::DOUBLE / 10) / 2 + 1e-9, 4), 0.5::DOUBLE]) AS confidence FROM avisos""")
 def merged_sections(spark, sf):
-    s = v.avisos(spark, sf, parties=False).selectExpr("id", """posexplode(array(named_struct('text', 'AVISO DE REMATE', 'confidence', 0.9D),
+    s = v.notices(spark, sf).selectExpr("id", """posexplode(array(named_struct('text', 'AVISO DE REMATE', 'confidence', 0.9D),
       named_struct('text', concat('DEMANDANTE ', id), 'confidence', 0.8D), named_struct('text', 'DEMANDADO X', 'confidence', (id % 10) / 10D),
       named_struct('text', 'BASE $ 5 FIANZA', 'confidence', 0.5D))) AS (n, s)""").select("id", "n", "s.*")
     s = s.withColumn("tipo", extract.section_type(F.col("text")))
@@ -155,7 +155,7 @@ def merged_sections(spark, sf):
 SELECT id AS page, 1::BIGINT AS top, CASE WHEN id % 2 = 0 THEN 11 ELSE 12 END::BIGINT AS bottom, CASE WHEN id % 2 = 0 THEN 9 ELSE 5 END::DOUBLE AS score FROM avisos
 UNION ALL SELECT id, 2, 11, 3 FROM avisos WHERE id % 2 = 1""")
 def continuity(spark, sf):
-    a = v.avisos(spark, sf, parties=False)
+    a = v.notices(spark, sf)
     tops = a.selectExpr("id AS page", """inline(array(struct(1L AS frag, 0L AS x0, 100L AS x1, 500L AS y1, 'se remata la propie-' AS text, false AS ends_incomplete),
       struct(2L AS frag, 600L AS x0, 700L AS x1, 500L AS y1, 'fin del texto completo' AS text, false AS ends_incomplete)))""")
     bottoms = a.selectExpr("id AS page", """inline(array(
@@ -184,3 +184,39 @@ SELECT page_id, unnest(range(1, 3))::INT AS pagina, unnest([length(url), length(
 def split_pages(spark, sf):
     p = v.table(spark, sf, "pages").filter("NOT contains(html, '--- P')").select("page_id", F.concat("url", F.lit("\n--- PÁGINA 2 ---\n"), "html").alias("text"))
     return splitting.split_pages(p, ["page_id"]).select("page_id", "pagina", F.length("texto").alias("largo"))
+
+
+@query("win10_profile_columns", views=("palabras",), oracle="""
+WITH it AS (SELECT page, x0, x1 FROM palabras), px AS (SELECT page, unnest(range(greatest(0, least(x0, 2999)), greatest(greatest(0, least(x0, 2999)) + 1, least(x1, 2999)))) AS x FROM it),
+c AS (SELECT page, x, count(*) AS c FROM px GROUP BY 1, 2), g AS (SELECT page, unnest(range(150, 2850)) AS x FROM (SELECT DISTINCT page FROM it)),
+l AS (SELECT g.page, g.x, coalesce(c, 0) < 3 AS low FROM g LEFT JOIN c ON c.page = g.page AND c.x = g.x),
+i AS (SELECT *, x - row_number() OVER (PARTITION BY page, low ORDER BY x) AS k FROM l), r AS (SELECT page, min(x) AS a, max(x) + 1 AS b FROM i WHERE low GROUP BY page, k HAVING count(*) >= 30),
+t AS (SELECT page, (a + b) // 2 AS cut FROM r UNION SELECT DISTINCT page, 150 FROM it UNION SELECT DISTINCT page, 2850 FROM it),
+s AS (SELECT page, cut AS x_ini, lead(cut) OVER (PARTITION BY page ORDER BY cut) AS x_fin FROM t), f AS (SELECT * FROM s WHERE x_fin - x_ini >= 240),
+u AS (SELECT f.page, x_ini, x_fin, count(*) AS items FROM f JOIN it ON it.page = f.page AND (x0 + x1) / 2.0 >= x_ini AND (x0 + x1) / 2.0 < x_fin GROUP BY 1, 2, 3),
+n AS (SELECT *, (row_number() OVER (PARTITION BY page ORDER BY x_ini) - 1)::INT AS columna FROM u) SELECT page, x_ini, x_fin, items, columna FROM n WHERE columna < 4""")
+def profile_columns(spark, sf):
+    return layout.profile_columns(words(spark, sf).select("page", "x0", "x1"), "page", 3000)
+
+
+@query("udtf1_split_notices", views=("avisos_texto",), oracle="""
+SELECT documento_id, n::INT AS n, length(text)::INT AS largo FROM (SELECT documento_id, text || CASE WHEN id = max(id) OVER (PARTITION BY documento_id) THEN '' ELSE chr(10) END AS text,
+  row_number() OVER (PARTITION BY documento_id ORDER BY id) AS n FROM avisos_texto)""")
+def split_notices(spark, sf):
+    t = v.avisos_texto(spark, sf).groupBy("documento_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("ts"))
+    d = t.select("documento_id", F.array_join(F.transform("ts", lambda x: x["text"]), "\n").alias("text"))
+    s = extract.split_notices(d, ["documento_id"])
+    first = s.groupBy("documento_id").agg(F.min("n").alias("base"))
+    return s.join(first, "documento_id").select("documento_id", (F.col("n") - F.col("base") + 1).alias("n"), F.length("segmento").alias("largo"))
+
+
+@query("win17_packed_batches", views=("palabras",), oracle="""
+WITH RECURSIVE s AS (SELECT doc_id, line, sum(length(text) + 1)::BIGINT AS largo, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM palabras GROUP BY 1, 2),
+f(doc_id, k, b, n) AS (SELECT doc_id, k, 0, largo FROM s WHERE k = 1 UNION ALL
+  SELECT s.doc_id, s.k, CASE WHEN f.n > 0 AND f.n + s.largo > 500 THEN f.b + 1 ELSE f.b END, CASE WHEN f.n > 0 AND f.n + s.largo > 500 THEN s.largo ELSE f.n + s.largo END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1)
+SELECT doc_id, max(b)::INT + 1 AS lotes FROM f GROUP BY 1""")
+def packed(spark, sf):
+    w = words(spark, sf).groupBy("doc_id", "line").agg(F.sum(F.length("text") + 1).alias("largo"))
+    p = splitting.pack_segments(w, ["doc_id"], "line", "largo", 500)
+    return p.groupBy("doc_id").agg((F.max("lote") + 1).alias("lotes"))

@@ -27,7 +27,7 @@ WITH {AMOUNTS} SELECT id, fp AS fianza_pct, CAST(CASE WHEN base IS NOT NULL THEN
   CAST(CASE WHEN base IS NOT NULL THEN coalesce(mc, minimo) END AS DOUBLE) AS minimo, array_to_string(dis, ',') AS discrepancias,
   base IS NOT NULL AND pais = 2 AND fianza_porcentaje IS NULL AS asumida FROM am""")
 def amounts(spark, sf):
-    d = rules.amount_rules(v.avisos(spark, sf, parties=False))
+    d = rules.amount_rules(v.notices(spark, sf))
     return d.select("id", "fianza_pct", F.col("fianza_final").cast("double").alias("fianza"), F.col("minimo_final").cast("double").alias("minimo"),
                     F.array_join("discrepancias", ",").alias("discrepancias"), F.col("fianza_asumida_por_regla").alias("asumida"))
 
@@ -41,7 +41,7 @@ SELECT id, mp AS minimo_pct, fp AS fianza_pct,
   CAST(CASE WHEN f1 IS NULL THEN {SHARE.format('fp')} ELSE f1 END AS DOUBLE) AS fianza,
   array_to_string(CASE WHEN ma THEN list_filter(dis, lambda x: NOT contains(x, '_no_leid')) ELSE dis END, ',') AS discrepancias FROM g""")
 def fallbacks(spark, sf):
-    d = rules.amount_fallbacks(rules.amount_rules(v.avisos(spark, sf, parties=False).filter("base > 500")))
+    d = rules.amount_fallbacks(rules.amount_rules(v.notices(spark, sf).filter("base > 500")))
     return d.select("id", F.col("minimo_pct_final").alias("minimo_pct"), F.col("fianza_pct_final").alias("fianza_pct"),
                     F.col("minimo_final").cast("double").alias("minimo"), F.col("fianza_final").cast("double").alias("fianza"),
                     F.array_join("discrepancias", ",").alias("discrepancias"))
@@ -84,7 +84,7 @@ def approval(spark, sf):
 
 def validated(spark, sf):
     """Notices whose text and found fields vary by id."""
-    a = v.avisos(spark, sf, parties=False)
+    a = v.notices(spark, sf)
     t = F.expr("""CASE id % 8 WHEN 0 THEN concat('AVISO DE REMATE\\nEXPEDIENTE ', expediente) WHEN 1 THEN concat('\\nnota\\n Remate  Judicial ', id)
       WHEN 2 THEN 'EDICTO EMPLAZATORIO\\nAVISO DE REMATE' WHEN 3 THEN 'PUBLICIDAD\\ngran oferta y descuento'
       WHEN 4 THEN 'SUBASTA JUDICIAL\\nfinca' WHEN 5 THEN 'texto\\nEDICTO de prueba' WHEN 6 THEN 'oferta\\ndescuento\\nconvocatoria'
@@ -149,7 +149,7 @@ def consistent(spark, sf):
     fields = F.expr("""map('base', CAST(base AS STRING), 'precio_base', IF(id % 5 = 0, '1', CAST(base AS STRING)), 'finca', finca_matr,
       'finca_matr', IF(id % 7 = 0, '9', finca_matr), 'demandante', 'Ana Rios', 'demandado', IF(id % 4 = 0, ' ANA RIOS ', 'Luis'))""")
     t = F.expr("concat('el ', CAST(fecha AS STRING), IF(id % 3 = 0, ' y el 40 de mayo de 2020', ''))")
-    return v.avisos(spark, sf, parties=False).select("id", rules.consistency_issues(fields, dates_in_text(t)).alias("issues"))
+    return v.notices(spark, sf).select("id", rules.consistency_issues(fields, dates_in_text(t)).alias("issues"))
 
 
 LEVEL = "(['UNIQUE', 'LIKELY_DUPLICATED', 'UNIQUE', 'DUPLICATED', 'UNIQUE'])[id % 5 + 1]"
@@ -189,7 +189,7 @@ SELECT id, round(p * 0.4::DOUBLE + o * 0.2::DOUBLE + CASE WHEN nok THEN 1 ELSE 0
     + CASE WHEN val THEN 0.15::DOUBLE ELSE 0 END + k * 0.15::DOUBLE, 4) AS documento
 FROM (SELECT id, (id % 101)::DOUBLE / 100 AS p, (id * 7 % 101)::DOUBLE / 100 AS o, (id * 3 % 11)::DOUBLE / 10 AS k, id % 2 = 0 AS nok, id % 3 = 0 AS val FROM avisos)""")
 def confidence(spark, sf):
-    d = v.avisos(spark, sf, parties=False).selectExpr("id", "(id % 101) / 100D AS p", "(id * 7 % 101) / 100D AS o", "(id * 3 % 11) / 10D AS k",
+    d = v.notices(spark, sf).selectExpr("id", "(id % 101) / 100D AS p", "(id * 7 % 101) / 100D AS o", "(id * 3 % 11) / 10D AS k",
                                                       "id % 2 = 0 AS nok", "id % 3 = 0 AS val")
     c = F.col
     field, reason = rules.field_confidence(c("p"), c("o"), c("nok"), c("k"), c("val"))
@@ -290,7 +290,7 @@ def provenance(spark, sf):
 SELECT id, CASE id % 3 WHEN 0 THEN 'completa' WHEN 1 THEN categoria ELSE '' END AS descripcion,
   coalesce(plano, finca_matr) AS ubicacion FROM avisos""")
 def description_source(spark, sf):
-    a = v.avisos(spark, sf, parties=False).selectExpr(
+    a = v.notices(spark, sf).selectExpr(
         "id", "CASE id % 3 WHEN 0 THEN 'completa' WHEN 1 THEN '' END AS c", "IF(id % 3 = 2, NULL, categoria) AS d", "plano", "finca_matr")
     return a.select("id", F.coalesce(F.nullif("c", F.lit("")), F.nullif("d", F.lit("")), F.lit("")).alias("descripcion"),
                     F.coalesce("plano", "finca_matr").alias("ubicacion"))
@@ -322,7 +322,7 @@ SELECT id, id % 5 < 3 AS cabecera FROM avisos""")
 def furniture(spark, sf):
     t = F.expr("CASE id % 5 WHEN 0 THEN 'AVISO DE REMATE IC PUBLICA tus judiciales' WHEN 1 THEN 'EDICTO 810 ' WHEN 2 THEN 'tel 204-0000' "
                "WHEN 3 THEN concat('EDICTO 810 de ', id) ELSE expediente END")
-    return v.avisos(spark, sf, parties=False).select("id", nt.is_furniture(t).alias("cabecera"))
+    return v.notices(spark, sf).select("id", nt.is_furniture(t).alias("cabecera"))
 
 
 @query("fil12_advert_edict", views=("avisos",), oracle="""
@@ -344,7 +344,7 @@ def header(spark, sf):
 @query("fil14_auction_body", views=("avisos",), oracle="SELECT id, id % 4 = 0 AS cuerpo FROM avisos")
 def auction_body(spark, sf):
     t = F.expr("concat('SERVIRÁ de base para\\n el remate ', expediente, IF(id % 2 = 0, ' postura', ''), IF(id % 4 < 2, ' pública subasta', ''))")
-    return v.avisos(spark, sf, parties=False).select("id", nt.is_auction_body(t).alias("cuerpo"))
+    return v.notices(spark, sf).select("id", nt.is_auction_body(t).alias("cuerpo"))
 
 
 @query("fil15_cover_and_full", views=("avisos",), oracle="""
@@ -352,14 +352,14 @@ SELECT id, id % 4 IN (0, 1, 3) AS portada, id % 4 = 2 AS completo FROM avisos"""
 def cover_full(spark, sf):
     t = F.expr("CASE id % 4 WHEN 0 THEN concat('FINCA ', finca_matr, ' en venta') WHEN 1 THEN 'Remate hoy' "
                "WHEN 2 THEN concat('AVISO DE REMATE FINCA No. ', finca_matr, ' BASE $ DEMANDANTE X') ELSE 'Resumen de la semana' END")
-    return v.avisos(spark, sf, parties=False).select("id", nt.cover_summary(t).alias("portada"), nt.full_notice(t).alias("completo"))
+    return v.notices(spark, sf).select("id", nt.cover_summary(t).alias("portada"), nt.full_notice(t).alias("completo"))
 
 
 @query("ext7_section_types", views=("avisos",), oracle="""
 SELECT id, (['HEADER','VALORES','PARTIES','UBICACION','DESCRIPCION','VALORES','UNKNOWN'])[id % 7 + 1] AS tipo FROM avisos""")
 def section_types(spark, sf):
     t = F.expr("element_at(array('AVISO DE REMATE', 'Base: $ 10 y fianza', 'demandante Ana', 'Provincia de Colón', 'lote 4', 'canon', 'nada'), CAST(id % 7 AS INT) + 1)")
-    return v.avisos(spark, sf, parties=False).select("id", extract.section_type(t).alias("tipo"))
+    return v.notices(spark, sf).select("id", extract.section_type(t).alias("tipo"))
 
 
 @query("ext6_label_values", views=("avisos",), oracle="""
@@ -367,7 +367,7 @@ SELECT id, unnest(['expediente', 'proceso', 'demandante', 'fecha', 'provincia'])
   unnest([expediente, expediente, 'Ana Rios', '5 de mayo', 'COLON']) AS value,
   unnest([1.0::DOUBLE, 1.0::DOUBLE, 0.9::DOUBLE, 0.9::DOUBLE, 0.9::DOUBLE]) AS confidence FROM avisos""")
 def label_values(spark, sf):
-    s = v.avisos(spark, sf, parties=False).selectExpr("id", "expediente", "posexplode(array(concat('Expediente: ', expediente, ', de oficio'), "
+    s = v.notices(spark, sf).selectExpr("id", "expediente", "posexplode(array(concat('Expediente: ', expediente, ', de oficio'), "
                                                       "'Demandante: Ana Rios\\nFecha: 5 de mayo', 'Provincia: COLON')) AS (section, text)")
     s = s.withColumn("confidence", F.expr("IF(section = 0, 0.85D, 0D)"))
     return extract.label_values(s, ["id"])
@@ -379,7 +379,7 @@ SELECT id, (['VEHICULO','APARTAMENTO','CASA','MISCELANEO','MISCELANEO','TERRENO'
 def goods_category(spark, sf):
     g = F.expr("element_at(array('camioneta 2010', 'Aparamento 3', 'cas. 4', 'CUOTA PARTE', 'garaje', 'predio'), CAST(id % 6 AS INT) + 1)")
     p = F.expr("element_at(array('insolvencia judicial', 'Monitorio', 'ejecutivo hipotecario', 'Ejecutivo', 'sumario', 'otro juicio'), CAST(id % 6 AS INT) + 1)")
-    return v.avisos(spark, sf, parties=False).select("id", extract.goods_category(g).alias("categoria"), extract.process_of(p).alias("proceso"))
+    return v.notices(spark, sf).select("id", extract.goods_category(g).alias("categoria"), extract.process_of(p).alias("proceso"))
 
 
 @query("ext10_replies", oracle="""
@@ -408,7 +408,7 @@ def banners(spark, sf):
                "judiciales@laestrella.com.pa 10 estrellaonline laestrellaonline\\n', 'judiciales@laestrella.com.pa\\n'), expediente, '  \\n\\n\\n', "
                "IF(id % 3 = 0, 'edicto 44  fin', 'fin'))")
     cleaned = nt.remove_banners(t)
-    return v.avisos(spark, sf, parties=False).select("id", F.regexp_replace(F.regexp_replace(cleaned, r" +\n", "\n"), r"\n +", "\n").alias("limpio"))
+    return v.notices(spark, sf).select("id", F.regexp_replace(F.regexp_replace(cleaned, r" +\n", "\n"), r"\n +", "\n").alias("limpio"))
 
 
 @query("str_n8_sentences", oracle=r"""
@@ -430,7 +430,7 @@ def cover(spark, sf):
     t = F.expr("""CASE id % 3 WHEN 0 THEN concat('Se vende ', 100 + id % 900, '.50 M2, LAGO AZUL, CORR: ARENA, DIST: CENTRO, ', repeat('mas texto ', 30))
       WHEN 1 THEN concat('Aviso corto ', id, '\\nAviso corto ', id) ELSE concat('EXPEDIENTE\\n', repeat('', 1), 'Bien situado numero ', id, ' de la calle. ',
       repeat('palabras sobrantes del texto ', 20), '.') END""")
-    d = v.avisos(spark, sf, parties=False).select("id", F.when(F.col("id") % 3 == 2, F.regexp_replace(t, "EXPEDIENTE\n", "")).otherwise(t).alias("text"))
+    d = v.notices(spark, sf).select("id", F.when(F.col("id") % 3 == 2, F.regexp_replace(t, "EXPEDIENTE\n", "")).otherwise(t).alias("text"))
     return nt.cover_description(d).select("id", "portada")
 
 
@@ -445,7 +445,7 @@ SELECT id, CASE id % 3 WHEN 0 THEN 'finca ' || finca_matr WHEN 1 THEN array_to_s
   ELSE 'corta ' || finca_matr END AS resumen FROM avisos""")
 def summary(spark, sf):
     t = F.expr("CASE id % 3 WHEN 0 THEN concat('finca ', finca_matr, ', Linderos: ', repeat('norte ', 40)) WHEN 1 THEN repeat('pal ', 50) ELSE concat(' corta ', finca_matr) END")
-    return v.avisos(spark, sf, parties=False).select("id", nt.summarize(t).alias("resumen"))
+    return v.notices(spark, sf).select("id", nt.summarize(t).alias("resumen"))
 
 
 @query("str_n10_map_location", views=("avisos",), oracle="""
@@ -477,7 +477,7 @@ SELECT id, 'previo ' || expediente || ' cuerpo ' AS ventana FROM avisos""")
 def anchor_slice(spark, sf):
     from gavelwork.operators.splitting import slice_at_docket
     t = F.expr("concat('previo ', expediente, ' cuerpo AVISO DE REMATE otro ', id)")
-    return v.avisos(spark, sf, parties=False).select("id", slice_at_docket(t, F.col("expediente")).alias("ventana"))
+    return v.notices(spark, sf).select("id", slice_at_docket(t, F.col("expediente")).alias("ventana"))
 
 
 @query("jsn1_tolerant_json", views=("avisos",), oracle="""
@@ -488,7 +488,7 @@ def tolerant_json(spark, sf):
     t = F.expr("""CASE id % 4 WHEN 0 THEN '[{"e":"a","c":"1.0"},{"e":"b","c":"x"}]' WHEN 1 THEN '[{"e":"a","c":0.5},{"e":"b","c":0.'
       WHEN 2 THEN 'sin json' ELSE '[]' END""")
     arr = tolerant_array(t, "array<struct<e:string,c:string>>")
-    return v.avisos(spark, sf, parties=False).select("id", F.when(arr.isNotNull(), F.size(arr)).alias("avisos"),
+    return v.notices(spark, sf).select("id", F.when(arr.isNotNull(), F.size(arr)).alias("avisos"),
                                                      F.get(arr, F.lit(0))["c"].try_cast("double").alias("confianza"))
 
 

@@ -93,6 +93,11 @@ def avisos(spark, sf_dir, parties=True):
     return out.drop("o_custkey", "c_custkey", "c_name", "nk", "p")
 
 
+def notices(spark, sf_dir):
+    """Notices without the customer join, spread over the cores for per-row text work."""
+    return balanced(avisos(spark, sf_dir, parties=False))
+
+
 def _split(block):
     """Split a projection list on top-level commas."""
     parts, depth, quote, cur = [], 0, False, ""
