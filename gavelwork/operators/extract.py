@@ -299,7 +299,7 @@ def split_notices(df, key, text="text", drop_cited=True):
     guard = r"(?<!(?i:PRESENTE)[\s\S]{0,32})(?<!(?i:FIJA)[\s\S]{0,36})"
     if drop_cited:
         guard += r"(?<!(?i:DE UN AVISO)[\s\S]{0,29})"
-    parts = F.split(F.col(text), guard + f"(?={HEADER})")
+    parts = F.split(F.col(text), f"(?={HEADER})" + guard)
     d = df.select(*key, F.posexplode(parts).alias("n", "segmento"), parts.alias("_parts"))
     lead = F.when(F.col("n") > 0, F.right(F.get("_parts", F.col("n") - 1), F.lit(150))).otherwise("")
     return d.filter(F.col("segmento").rlike(f"^{HEADER}")).select(
@@ -316,7 +316,7 @@ DOCUMENT_HEADERS = (
 def mark_boundaries(text):
     """Boundary marker before each document header that is not a mention inside a sentence."""
     guard = r"(?<!(?i:PRESENTE)[\s\S]{0,22})(?<!(?i:FIJA)[\s\S]{0,26})"
-    return F.regexp_replace(text, guard + f"({DOCUMENT_HEADERS})", f"\n{BOUNDARY}\n$1")
+    return F.regexp_replace(text, f"(?={DOCUMENT_HEADERS})" + guard + f"({DOCUMENT_HEADERS})", f"\n{BOUNDARY}\n$1")
 
 
 # ---- Colombia tables ----

@@ -46,7 +46,8 @@ def best_pairing(left, right, fields):
     """Best right notice for each left notice of the same document.
 
     Score = (exact + half of the normalised agreements) / number of fields; the first right notice wins ties. Readings that agree
-    on every field are settled by a hash join on the whole record; only the rest is compared inside the document.
+    on every field are settled by a hash join on the whole record; equal readings share one comparison, and only the distinct rest
+    is compared inside the document.
     """
     def record(df):
         return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])), 256)
@@ -55,7 +56,9 @@ def best_pairing(left, right, fields):
     exact_first = b.groupBy("document_id", "_h").agg(F.min("id").alias("rid"))
     hit = a.join(exact_first, ["document_id", "_h"], "left")
     settled = hit.filter("rid IS NOT NULL").select("id", "document_id", "rid", F.lit(len(fields)).alias("exactos"), F.lit(0).alias("normalizados"))
-    rest = hit.filter("rid IS NULL").drop("rid")
+    open_rows = hit.filter("rid IS NULL").drop("rid")
+    owner = open_rows.groupBy("document_id", "_h").agg(F.min("id").alias("owner"))
+    rest = open_rows.join(owner, ["document_id", "_h"]).filter("id = owner").drop("owner")
     reps = b.withColumn("_rep", F.col("id")).join(exact_first.withColumnRenamed("rid", "_rep"), ["document_id", "_h", "_rep"], "left_semi")
     def sides(df):
         plain = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
@@ -68,7 +71,9 @@ def best_pairing(left, right, fields):
     scored = j.select(F.col("l.id").alias("id"), "document_id", F.col("r.id").alias("rid"), exact.alias("exactos"), norm.alias("normalizados"))
     best = scored.groupBy("id", "document_id").agg(F.max_by(
         F.struct("rid", "exactos", "normalizados"), F.struct(F.col("exactos") * 2 + F.col("normalizados"), -F.col("rid"))).alias("m"))
-    out = settled.unionByName(best.select("id", "document_id", "m.rid", "m.exactos", "m.normalizados"))
+    found = best.select(F.col("id").alias("owner"), "m.rid", "m.exactos", "m.normalizados")
+    shared = open_rows.join(owner, ["document_id", "_h"]).join(found, "owner").select("id", "document_id", "rid", "exactos", "normalizados")
+    out = settled.unionByName(shared)
     return out.withColumn("score", F.round((F.col("exactos") + F.col("normalizados") * 0.5) / len(fields), 4))
 
 
@@ -78,12 +83,15 @@ def docket_anchors(texts, dockets):
     The number of distinct docket lengths is tiny (digits of a docket), so each text yields a few substrings per position.
     """
     d = dockets.withColumn("_t", digits(F.col("expediente"))).filter("_t <> ''")
-    lengths = [r[0] for r in d.select(F.length("_t")).distinct().limit(40).collect()]
+    lengths = [r[0] for r in d.select(F.length("_t")).distinct().collect()]
+    if len(lengths) > 64:
+        raise ValueError("docket lengths are not those of dockets")
     stream = texts.withColumn("_s", digits(F.col("text")))
     subs = [F.transform(F.when(F.length("_s") >= n, F.sequence(F.lit(1), F.length("_s") - (n - 1))), _cut(n)) for n in lengths]
     subs = [F.coalesce(s, F.array().cast("array<struct<at:int,t:string>>")) for s in subs]
     grams = stream.select("document_id", F.explode(F.concat(*subs)).alias("g")).select("document_id", "g.at", F.col("g.t").alias("_t"))
-    first = grams.groupBy("document_id", "_t").agg(F.min("at").alias("at"))
+    keys = d.select("_t").distinct()
+    first = grams.join(keys, "_t", "left_semi").groupBy("document_id", "_t").agg(F.min("at").alias("at"))
     return d.join(first, "_t").drop("_t")
 
 
@@ -113,19 +121,26 @@ def first_document(anchors, golden, documents):
 
 
 def contained_documents(df):
-    """Pairs (a, b) of one page where every distinct word of a is in b.
+    """Word sets of one page that lie inside another: (a, b, words of a, copies of a, copies of b), by representative document.
 
-    b must hold the word of a that is rarest on the page, so only those documents are compared.
+    Documents with the same words are one set, so a pile of copies costs one row; a set with copies is listed with itself. b must hold
+    the word of a that is rarest on the page, so only those sets are compared.
     """
-    words = df.select("page", "doc_id", F.explode(F.array_distinct("words")).alias("w"))
+    d = df.select("page", "doc_id", F.array_sort(F.array_distinct("words")).alias("ws")).filter(F.size("ws") > 0)
+    d = d.withColumn("h", F.sha2(F.array_join("ws", " "), 256))
+    sets = d.groupBy("page", "h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copias"), F.first("ws").alias("ws"), F.first(F.size("ws")).alias("n"))
+    words = sets.select("page", "doc_id", F.explode("ws").alias("w"))
+    info = sets.select("page", "doc_id", "copias", F.col("n").cast("bigint").alias("n"))
     freq = words.groupBy("page", "w").agg(F.count("*").alias("df"))
-    size = words.groupBy("page", "doc_id").agg(F.count("*").alias("n"))
     rare = words.join(freq, ["page", "w"]).groupBy("page", "doc_id").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
     cand = rare.withColumnRenamed("doc_id", "a").join(words.withColumnRenamed("doc_id", "b"), ["page", "w"]).filter("a <> b").select("page", "a", "b")
-    aw = words.withColumnRenamed("doc_id", "a")
-    bw = words.withColumnRenamed("doc_id", "b")
-    hits = cand.join(aw, ["page", "a"]).join(bw, ["page", "b", "w"]).groupBy("page", "a", "b").agg(F.count("*").alias("m"))
-    return hits.join(size.withColumnRenamed("doc_id", "a"), ["page", "a"]).filter("m = n").select("page", "a", "b", "n")
+    small = info.select("page", F.col("doc_id").alias("a"), F.col("n"), F.col("copias").alias("copias_a"))
+    large = info.select("page", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("copias").alias("copias_b"))
+    cand = cand.join(small, ["page", "a"]).join(large, ["page", "b"]).filter("n < nb")
+    aw, bw = words.withColumnRenamed("doc_id", "a"), words.withColumnRenamed("doc_id", "b")
+    inside = cand.join(aw, ["page", "a"]).join(bw, ["page", "b", "w"]).groupBy("page", "a", "b", "n", "copias_a", "copias_b").agg(F.count("*").alias("m")).filter("m = n").drop("m")
+    same = info.filter("copias > 1").select("page", F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "n", F.col("copias").alias("copias_a"), F.col("copias").alias("copias_b"))
+    return inside.unionByName(same)
 
 
 def latest_per_key(df, keys, order):

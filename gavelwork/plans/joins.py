@@ -284,9 +284,11 @@ def page_ranges(spark, sf):
 
 
 @query("joi21_contained_documents", oracle=r"""
-WITH w AS (SELECT DISTINCT source AS page, doc_id, upper(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS w FROM documents), n AS (SELECT page, doc_id, count(*) AS n FROM w GROUP BY 1, 2),
-m AS (SELECT a.page, a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM w a JOIN w b ON a.page = b.page AND a.w = b.w AND a.doc_id <> b.doc_id GROUP BY 1, 2, 3)
-SELECT m.page, a, b, n FROM m JOIN n ON n.page = m.page AND n.doc_id = a WHERE m.m = n.n""")
+WITH d AS (SELECT source AS page, doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{4,}'), lambda x: upper(x)))) AS ws FROM documents),
+s AS (SELECT page, ws, min(doc_id) AS id, count(*) AS c FROM d WHERE len(ws) > 0 GROUP BY 1, 2), w AS (SELECT page, id, unnest(ws) AS w FROM s),
+m AS (SELECT a.page, a.id AS a, b.id AS b, count(*) AS m FROM w a JOIN w b ON a.page = b.page AND a.w = b.w AND a.id <> b.id GROUP BY 1, 2, 3)
+SELECT m.page, a, b, m AS n, x.c AS copias_a, y.c AS copias_b FROM m JOIN s x ON x.id = a AND x.page = m.page JOIN s y ON y.id = b AND y.page = m.page WHERE m = len(x.ws)
+UNION ALL SELECT page, id, id, len(ws)::BIGINT, c, c FROM s WHERE c > 1""")
 def contained(spark, sf):
     d = v.table(spark, sf, "documents").select(F.col("source").alias("page"), "doc_id", F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), 1), F.upper).alias("words"))
     return matching.contained_documents(v.balanced(d))

@@ -129,7 +129,7 @@ def split_words(spark, sf):
 SELECT documento_id, count(*) AS avisos, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lineas FROM avisos_texto GROUP BY 1""")
 def header_groups(spark, sf):
     t = v.avisos_texto(spark, sf).select("documento_id", "id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    g = layout.header_groups(t, ["documento_id"], ["id", "n"]).filter("grupo > 0")
+    g = layout.header_groups(t, ["documento_id"], ["id", "n"], bucket=F.floor(F.col("id") / 1000)).filter("grupo > 0")
     return g.groupBy("documento_id").agg(F.count_distinct("grupo").alias("avisos"), F.count("*").alias("lineas"))
 
 
@@ -137,7 +137,7 @@ def header_groups(spark, sf):
 SELECT documento_id, (row_number() OVER (PARTITION BY documento_id ORDER BY id))::BIGINT AS grupo, text AS texto, 'AVISO DE REMATE' AS cabecera FROM avisos_texto""")
 def detected(spark, sf):
     t = v.avisos_texto(spark, sf).select("documento_id", "id", F.lit(0.9).alias("confidence"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    return layout.detected_notices(t, ["documento_id"], ["id", "n"]).select("documento_id", "grupo", "texto", "cabecera")
+    return layout.detected_notices(t, ["documento_id"], ["id", "n"], bucket=F.floor(F.col("id") / 1000)).select("documento_id", "grupo", "texto", "cabecera")
 
 
 @query("win5_merged_sections", views=("avisos",), oracle="""
