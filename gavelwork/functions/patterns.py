@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from gavelwork.functions.text import collapse, strip_all
+from gavelwork.functions.text import collapse, let, strip_all
 
 FLAGS = "(?iuUmd)"
 
@@ -141,6 +141,10 @@ COLOMBIA = {
     "minimo_porcentaje": _percent_rules(_MIN),
 }
 
+# fixed values: phrases that show a party pattern ran over its end; such a match gives way to the next pattern
+PARTY_NOISE = ["MEDIO DEL PRESENTE", "PRESENTE AVISO", "PRESENTE EDICTO", "PRESENTE PUBLICACION", "HA PROMOVIDO", "SEGUN", "PARA QUE"]
+REJECTED = {"demandante": "|".join(PARTY_NOISE), "demandado": "|".join(PARTY_NOISE)}
+
 REGISTRY = {("PA", "REMATE"): PANAMA, ("CO", "REMATE"): COLOMBIA}
 
 
@@ -152,19 +156,20 @@ def register_extractor(country, doc_type, table):
     REGISTRY[(country, doc_type)] = table
 
 
-def first_match(text, rules, flags=FLAGS):
-    """Group 1 (or the whole match) of the first rule that matches, trimmed and collapsed."""
+def first_match(text, rules, flags=FLAGS, reject=None):
+    """Group 1 (or the whole match) of the first rule that matches, trimmed and collapsed; ``reject`` skips noisy matches."""
     options = []
     for rule in rules:
         p = flags + rule
-        whole = F.nullif(F.regexp_extract(text, p, 0), F.lit(""))
+        found = [F.nullif(F.regexp_extract(text, p, 0), F.lit(""))]
         if re.compile(rule).groups:
-            options.append(F.nullif(F.regexp_extract(text, p, 1), F.lit("")))
-        options.append(whole)
+            found.insert(0, F.nullif(F.regexp_extract(text, p, 1), F.lit("")))
+        value = F.coalesce(*found)
+        options.append(let(value, lambda x: F.when(~F.upper(x).rlike(reject), x)) if reject else value)
     return collapse(strip_all(F.coalesce(*options)))
 
 
 def extract_fields(df, country, doc_type="REMATE", text="text"):
     """All fields of one registered table in a single projection."""
     table = REGISTRY[(country, doc_type)]
-    return df.select("*", *[first_match(F.col(text), rules).alias(f) for f, rules in table.items()])
+    return df.select("*", *[first_match(F.col(text), rules, reject=REJECTED.get(f)).alias(f) for f, rules in table.items()])

@@ -105,14 +105,9 @@ def minimum_percent(text, spaced=False):
             .otherwise(near.cast("double")))
 
 
-# fixed values: phrases that show a party pattern ran over its end
-PARTY_NOISE = ["MEDIO DEL PRESENTE", "PRESENTE AVISO", "PRESENTE EDICTO", "PRESENTE PUBLICACION", "HA PROMOVIDO",
-               "SEGUN", "PARA QUE"]
-
-
 def clean_party(c):
     s = strip_all(F.regexp_replace(strip_all(collapse(c)), r"[,.]+$", ""))
-    return let(s, lambda x: F.when((F.length(x) >= 3) & (x == F.upper(x)) & ~x.rlike("|".join(PARTY_NOISE)), x))
+    return let(s, lambda x: F.when((F.length(x) >= 3) & (x == F.upper(x)) & ~x.rlike("|".join(patterns.PARTY_NOISE)), x))
 
 
 def parties(text):
