@@ -179,15 +179,17 @@ def learn_aliases(df):
         "status", F.when(F.col("confidence") >= 0.8, "APPROVED").otherwise("PENDING"))
 
 
-def normalize_with_aliases(df, aliases, text="text", limit=1000):
-    """Built-in then learned aliases replaced in the text, in order; the learned list is checked to be small before it is used."""
-    rows = aliases.orderBy(F.when(F.col("status") == "APPROVED", 0).otherwise(1), F.col("confidence").desc(), "source").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("too many aliases for one rewriting pass; narrow them by field first")
+def normalize_with_aliases(df, aliases, text="text"):
+    """Built-in then learned aliases of the field replaced in the text, one after the other; approved ones before pending ones."""
+    quoted = F.concat(F.lit(r"(?iu)\Q"), F.col("source"), F.lit(r"\E"))
+    order = [F.when(F.col("status") == "APPROVED", 0).otherwise(1).alias("o"), (-F.col("confidence")).alias("c"), F.col("source").alias("s")]
+    learned = aliases.groupBy("field_name").agg(F.array_sort(F.collect_list(F.struct(*order, quoted.alias("p"), F.regexp_replace("target", r"\$", r"\\\$").alias("t")))).alias("_as"))
     out = F.col(text)
-    for src, tgt in [*BUILTIN_ALIASES.items(), *((r["source"], r["target"]) for r in rows)]:
-        out = F.regexp_replace(out, "(?iu)" + "".join("\\" + ch if not ch.isalnum() else ch for ch in src), tgt.replace("$", r"\$"))
-    return df.withColumn("normalizado", out)
+    for src, tgt in BUILTIN_ALIASES.items():
+        out = F.regexp_replace(out, rf"(?iu)\Q{src}\E", tgt)
+    d = df.withColumn("_t", out).join(learned, "field_name", "left")
+    done = F.aggregate(F.coalesce("_as", F.array().cast(learned.schema["_as"].dataType)), F.col("_t"), lambda acc, a: F.regexp_replace(acc, a["p"], a["t"]))
+    return d.withColumn("normalizado", done).drop("_t", "_as")
 
 
 KEYWORD = r"[A-ZÁÉÍÓÚÑa-záéíóúñ]{4,}"

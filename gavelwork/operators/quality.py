@@ -414,7 +414,7 @@ def column_profile(df, catalog, columns):
     """Non-empty count of each column against a catalog table: priority by frequency, produced / consumed / orphan, score."""
     counts = df.agg(*[F.count(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns])
     long = counts.unpivot([], list(columns), "field", "frecuencia")
-    j = F.broadcast(catalog).join(long, "field", "full")
+    j = catalog.join(long, "field", "full")
     n = F.coalesce("frecuencia", F.lit(0))
     produced, consumed = n > 0, F.coalesce("consumed", F.lit(False))
     known = F.col("data_type").isNotNull()

@@ -111,19 +111,19 @@ def table_rows(spark, sf):
     return rows.select("id", (F.col("p") + 1).alias("fila"), F.length("f").cast("bigint").alias("largo"))
 
 
-CO_ROW = ("concat(1 + id % 28, '-jul 8:30 ', IF(id % 4 = 1, 'A.M', 'P.M'), ' CALLE ', id % 90, ' APARTAMENTO 50N-', 20000 + id,"
-          " ' EJ. HP. No.001-2017-', 10000 + id, ' 00 ', demandante_l, ' Vs.', demandado_l, "
-          "' $ 2.000.000 70 $ ', replace(format_number(CAST(floor(base) AS BIGINT), '#,##0'), ',', '.'), ' 12 C.M CALI')")
+CO_ROW = ("concat(1 + id % 28, '-jul 8:30 ', IF(id % 4 = 1, 'A.M', 'P.M'), ' CALLE ', 200 + id % 90, ' APARTAMENTO 50N-', 20000 + id,"
+          " ' EJ. HP. No.001-2017-', 10000 + id, ' 00 ', demandante_l, ' Vs.', coalesce(demandado_l, 'NADIE'), "
+          "' $ 2.000.000 70 $ ', replace(format_number(CAST(floor(coalesce(base, 1000000)) AS BIGINT), '#,##0'), ',', '.'), ' 12 C.M CALI')")
 
 
 @query("ext4_colombia_table", views=("avisos",), oracle=f"""
 SELECT id, '2025-07-' || lpad((1 + id % 28)::VARCHAR, 2, '0') AS fecha, CASE WHEN id % 4 = 1 THEN '08:30' ELSE '20:30' END AS hora,
-  'CALLE ' || (id % 90)::VARCHAR AS direccion, 'APARTAMENTO' AS categoria, '001-2017-' || (10000 + id)::VARCHAR AS expediente,
-  'EJECUTIVO HIPOTECARIO' AS proceso, 'VALLE DEL CAUCA' AS provincia, floor(CAST(base AS DOUBLE)) AS base,
-  CASE WHEN id % 90 = 50 THEN 50::DOUBLE ELSE 70::DOUBLE END AS minimo_porcentaje, '50N-' || (20000 + id)::VARCHAR AS finca_matr
-FROM avisos WHERE pais = 2 AND base IS NOT NULL AND demandado IS NOT NULL AND id % 90 <> 70 AND id < 60000""")
+  'CALLE ' || (200 + id % 90)::VARCHAR AS direccion, 'APARTAMENTO' AS categoria, '001-2017-' || (10000 + id)::VARCHAR AS expediente,
+  'EJECUTIVO HIPOTECARIO' AS proceso, 'VALLE DEL CAUCA' AS provincia, floor(CAST(coalesce(base, 1000000) AS DOUBLE)) AS base,
+  70::DOUBLE AS minimo_porcentaje, '50N-' || (20000 + id)::VARCHAR AS finca_matr
+FROM avisos WHERE pais = 2""")
 def colombia_table(spark, sf):
-    a = v.avisos(spark, sf).filter("pais = 2 AND base IS NOT NULL AND demandado IS NOT NULL AND id % 90 <> 70 AND id < 60000")
+    a = v.avisos(spark, sf).filter("pais = 2")
     a = a.withColumns({"demandante_l": F.translate("demandante", *v.LETTERS), "demandado_l": F.translate("demandado", *v.LETTERS)})
     rows = a.select("id", F.expr(CO_ROW).alias("fila"))
     cols = ["id", "fecha", "hora", "direccion", "categoria", "expediente", "proceso", "provincia", "base", "minimo_porcentaje",
@@ -146,18 +146,15 @@ def money_generic(spark, sf):
 
 
 @query("num2_money_panama", oracle="""
-SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 2 THEN CASE WHEN o_totalprice < 1000 OR o_totalprice >= 100000 THEN o_totalprice
-  ELSE o_totalprice END WHEN 5 THEN floor(o_totalprice) ELSE o_totalprice END AS monto FROM orders WHERE o_totalprice >= 1000
-  AND o_totalprice < 100000""")
+SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 5 THEN floor(o_totalprice) ELSE o_totalprice END AS monto FROM orders""")
 def money_panama(spark, sf):
     d = "CAST(o_totalprice AS DECIMAL(18,2))"
     f = f"format_number({d}, '#,##0.00')"
-    raw = F.expr(f"""CASE o_orderkey % 6 WHEN 0 THEN concat('B/.', {f}) WHEN 1 THEN replace({f}, ',', '.')
-      WHEN 2 THEN concat('B / ', split_part({f}, ',', 1), '.', replace(split_part({f}, ',', 2), '.', ''))
-      WHEN 3 THEN concat(CAST({d} AS STRING), '.') WHEN 4 THEN translate({f}, ',.', '.,')
-      ELSE replace(format_number(floor({d}), '#,##0'), ',', '.') END""")
-    return v.table(spark, sf, "orders").filter("o_totalprice >= 1000 AND o_totalprice < 100000").select(
-        F.col("o_orderkey").alias("id"), money.parse_panama(raw).alias("monto"))
+    raw = F.expr(f"""CASE WHEN o_orderkey % 6 = 1 THEN replace({f}, ',', '.')
+      WHEN o_orderkey % 6 = 2 AND o_totalprice >= 1000 AND o_totalprice < 100000 THEN concat('B / ', split_part({f}, ',', 1), '.', replace(split_part({f}, ',', 2), '.', ''))
+      WHEN o_orderkey % 6 = 3 THEN concat(CAST({d} AS STRING), '.') WHEN o_orderkey % 6 = 4 AND o_totalprice >= 1000 THEN translate({f}, ',.', '.,')
+      WHEN o_orderkey % 6 = 5 THEN replace(format_number(floor({d}), '#,##0'), ',', '.') ELSE concat('B/.', {f}) END""")
+    return v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), money.parse_panama(raw).alias("monto"))
 
 
 @query("num3_money_colombia", oracle="""
@@ -185,10 +182,9 @@ def percent(spark, sf):
 
 
 @query("num6_base_rescue", views=("avisos",), oracle="""
-SELECT id, CAST(base AS DOUBLE) AS despues_expediente, CAST(base AS DOUBLE) AS mayor FROM avisos
-WHERE pais = 1 AND base >= 1000""")
+SELECT id, CAST(base AS DOUBLE) AS despues_expediente, CAST(base AS DOUBLE) AS mayor FROM avisos""")
 def base_rescue(spark, sf):
-    a = v.notices(spark, sf).filter("pais = 1 AND base >= 1000")
+    a = v.notices(spark, sf)
     t = F.concat(F.lit("AVISO DE REMATE EXP "), F.col("expediente"), F.lit(" hipoteca de ( B/.50.00 ). Servira de base para el remate la cifra de B/."),
                  extract.thousands(F.col("base")), F.lit(" y la suma ( B/."), extract.thousands(F.col("base")),
                  F.lit(" ) AVISO DE REMATE EXP 1 la cifra de B/.9,999,999.00"))

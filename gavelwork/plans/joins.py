@@ -177,12 +177,14 @@ def mode_differences(spark, sf):
 
 
 @query("joi19_field_differences", views=("resultados_campo",), oracle="""
-WITH s AS (SELECT DISTINCT field, source FROM resultados_campo WHERE status = 'FOUND' AND part % 50 = 0)
+WITH s AS (SELECT DISTINCT field, source FROM resultados_campo WHERE status = 'FOUND' AND (source <> 'ai' OR field IN ('fecha_remate', 'lugar')) AND (source <> 'parser' OR field <> 'lugar'))
 SELECT 'parser' AS lado, field FROM (SELECT field FROM s WHERE source = 'parser' EXCEPT SELECT field FROM s WHERE source = 'ai')
 UNION ALL SELECT 'ai', field FROM (SELECT field FROM s WHERE source = 'ai' EXCEPT SELECT field FROM s WHERE source = 'parser')
 UNION ALL SELECT 'catalogo', field FROM (SELECT unnest(['expediente', 'finca', 'plano', 'hora']) AS field EXCEPT SELECT field FROM s)""")
 def field_differences(spark, sf):
-    s = v.resultados_campo(spark, sf).filter("status = 'FOUND' AND part % 50 = 0").select("field", "source").distinct()
+    from gavelwork.operators.search import AI_ALLOWED
+    found = v.resultados_campo(spark, sf).filter("status = 'FOUND'")
+    s = found.filter(((F.col("source") != "ai") | F.col("field").isin(AI_ALLOWED)) & ((F.col("source") != "parser") | (F.col("field") != "lugar"))).select("field", "source").distinct()
     p, a = s.filter("source = 'parser'").select("field"), s.filter("source = 'ai'").select("field")
     catalog = spark.createDataFrame([(c,) for c in ("expediente", "finca", "plano", "hora")], "field string")
     tag = lambda d, n: d.select(F.lit(n).alias("lado"), "field")
@@ -254,20 +256,25 @@ def document_texts(spark, sf):
         F.col("documento_id").alias("document_id"), "text")
 
 
-@query("joi10_docket_anchors", views=("avisos_texto",), oracle=r"""
-WITH doc AS (SELECT documento_id AS document_id, string_agg(regexp_replace(text, '\D', '', 'g'), '' ORDER BY id) AS s FROM avisos_texto GROUP BY 1)
-SELECT a.expediente, a.documento_id AS document_id, instr(s, replace(a.expediente, '-', ''))::INT AS at FROM avisos_texto a JOIN doc ON doc.document_id = a.documento_id""")
+ANCHOR = r"""doc AS (SELECT documento_id AS document_id, string_agg(regexp_replace(text, '\D', '', 'g'), '' ORDER BY id) AS s FROM avisos_texto GROUP BY 1),
+ga AS (SELECT DISTINCT expediente, replace(expediente, '-', '') AS t FROM avisos_texto), le AS (SELECT DISTINCT length(t) AS n FROM ga),
+gr AS (SELECT document_id, s, n, unnest(range(1, (length(s) - n + 2)::BIGINT)) AS i FROM doc, le WHERE length(s) >= n),
+an AS (SELECT expediente, document_id, min(i)::INT AS at FROM ga JOIN gr ON substr(s, i, n) = t AND n = length(t) GROUP BY 1, 2)"""
+
+
+@query("joi10_docket_anchors", views=("avisos_texto",), oracle=f"WITH {ANCHOR} SELECT * FROM an")
 def docket_anchors(spark, sf):
-    golden = v.avisos(spark, sf, parties=False).select("expediente", F.col("documento_id").alias("own"))
-    got = matching.docket_anchors(document_texts(spark, sf), golden)
-    return got.filter("document_id = own").select("expediente", "document_id", "at")
+    golden = v.avisos(spark, sf, parties=False).select("expediente").distinct()
+    return matching.docket_anchors(document_texts(spark, sf), golden).select("expediente", "document_id", "at")
 
 
-@query("joi24_first_document")
+@query("joi24_first_document", views=("avisos_texto",), oracle=f"""
+WITH {ANCHOR}, f AS (SELECT expediente, min(document_id) AS d FROM an GROUP BY 1)
+SELECT a.expediente, coalesce(d, (SELECT min(document_id) FROM doc)) AS document_id FROM avisos_texto a LEFT JOIN f USING (expediente)""")
 def first_document(spark, sf):
     docs = document_texts(spark, sf)
     golden = v.avisos(spark, sf, parties=False).select("expediente")
-    anchors = matching.docket_anchors(docs, golden)
+    anchors = matching.docket_anchors(docs, golden.distinct())
     order = docs.select("document_id", F.col("document_id").alias("orden"))
     return matching.first_document(anchors, golden, order)
 

@@ -73,13 +73,13 @@ def gutters(spark, sf):
 
 
 @query("win10_histogram_columns", views=("palabras",), oracle="""
-WITH p AS (SELECT page, (x0 + x1) // 2 AS cx FROM palabras WHERE slot IN (0, 1, 5)), d AS (SELECT page, max(cx) AS hi, min(cx) AS lo FROM p GROUP BY 1 HAVING max(cx) - min(cx) >= 450),
+WITH p AS (SELECT page, CASE WHEN slot < 3 THEN 0 ELSE 2000 END + ((x0 + x1) // 2) % 1000 AS cx FROM palabras), d AS (SELECT page, max(cx) AS hi, min(cx) AS lo FROM p GROUP BY 1 HAVING max(cx) - min(cx) >= 450),
 h AS (SELECT page, cx // 1000 AS b, count(*) AS n FROM p JOIN d USING (page) GROUP BY 1, 2),
 i AS (SELECT *, sum(k) OVER (PARTITION BY page ORDER BY b) AS isla FROM (SELECT *, CASE WHEN b - lag(b) OVER (PARTITION BY page ORDER BY b) <= 1 THEN 0 ELSE 1 END AS k FROM h)),
 c AS (SELECT page, isla, min(b) AS s, max(b) AS e, arg_min(n, b) AS n FROM i GROUP BY 1, 2 HAVING arg_min(n, b) >= 3)
 SELECT page, s * 1000 AS x_ini, (e + 1) * 1000 AS x_fin FROM c QUALIFY count(*) OVER (PARTITION BY page) >= 2""")
 def histogram_columns(spark, sf):
-    w = words(spark, sf).filter("slot IN (0, 1, 5)").select("page", F.floor((F.col("x0") + F.col("x1")) / 2).alias("cx"), F.lit(3000).alias("width"))
+    w = words(spark, sf).select("page", F.expr("IF(slot < 3, 0, 2000) + ((x0 + x1) div 2) % 1000 AS cx"), F.lit(3000).alias("width"))
     return layout.histogram_columns(w, "page", 3)
 
 
@@ -180,9 +180,9 @@ def chunks(spark, sf):
 
 
 @query("udtf1_split_pages", oracle="""
-SELECT page_id, unnest(range(1, 3))::INT AS pagina, unnest([length(url), length(html)])::INT AS largo FROM pages WHERE NOT contains(html, '--- P')""")
+SELECT page_id, unnest(range(1, 3))::INT AS pagina, unnest([length(url), length(html)])::INT AS largo FROM pages""")
 def split_pages(spark, sf):
-    p = v.table(spark, sf, "pages").filter("NOT contains(html, '--- P')").select("page_id", F.concat("url", F.lit("\n--- PÁGINA 2 ---\n"), "html").alias("text"))
+    p = v.table(spark, sf, "pages").select("page_id", F.concat("url", F.lit("\n--- PÁGINA 2 ---\n"), "html").alias("text"))
     return splitting.split_pages(p, ["page_id"]).select("page_id", "pagina", F.length("texto").alias("largo"))
 
 

@@ -194,8 +194,9 @@ def alias_learning(spark, sf):
 @query("rul15_alias_normalize", views=("correcciones",), oracle="""
 SELECT id, 'EXPEDIENTEDIENTE ' || id::VARCHAR || ' EN PANAMA CALLE 5' AS normalizado FROM correcciones""")
 def alias_normalize(spark, sf):
-    aliases = spark.createDataFrame([("PNAMA", "PANAMA", "APPROVED", 0.9)], "source string, target string, status string, confidence double")
-    t = v.correcciones(spark, sf).select("id", F.expr("concat('exp ', id, ' EN pnama c/ 5')").alias("text"))
+    aliases = v.correcciones(spark, sf).filter("valor_anterior = 'PNAMA'").groupBy(F.col("campo").alias("field_name"), F.col("valor_anterior").alias("source")).agg(
+        F.lit("PANAMA").alias("target"), F.lit("APPROVED").alias("status"), F.lit(0.9).alias("confidence"))
+    t = v.correcciones(spark, sf).select("id", F.col("campo").alias("field_name"), F.expr("concat('exp ', id, ' EN pnama c/ 5')").alias("text"))
     out = ln.normalize_with_aliases(t, aliases)
     return out.select("id", F.regexp_replace("normalizado", " +", " ").alias("normalizado"))
 

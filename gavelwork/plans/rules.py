@@ -492,14 +492,18 @@ def tolerant_json(spark, sf):
                                                      F.get(arr, F.lit(0))["c"].try_cast("double").alias("confianza"))
 
 
-@query("map1_normalize_by_type", views=("avisos",), oracle="""
+PLACE = """CASE upper(provincia) WHEN 'PANAMA' THEN 'Panamá' WHEN 'PANAMA OESTE' THEN 'Panamá Oeste' WHEN 'COLON' THEN 'Colón' WHEN 'CHIRIQUI' THEN 'Chiriquí' WHEN 'COCLE' THEN 'Coclé'
+  WHEN 'BOCAS DEL TORO' THEN 'Bocas del Toro' WHEN 'BOGOTA' THEN 'Bogotá' WHEN 'CORDOBA' THEN 'Córdoba' WHEN 'LOS SANTOS' THEN 'Los Santos' WHEN 'ZONA LIBRE' THEN 'Zona Libre'
+  ELSE upper(left(provincia, 1)) || lower(substr(provincia, 2)) END"""
+
+
+@query("map1_normalize_by_type", views=("avisos",), oracle=f"""
 SELECT id, unnest(['fecha', 'base', 'demandante', 'provincia', 'fianza_porcentaje', 'proceso']) AS field,
-  unnest([strftime(fecha, '%Y-%m-%d'), format('{:.2f}', CAST(base AS DOUBLE)), 'Customer ' || right(demandante, 9),
-    CASE WHEN upper(provincia) = 'ZONA LIBRE' THEN 'Zona Libre' END, format('{:.2f}', fianza_porcentaje), proceso]) AS normalized
-FROM avisos WHERE id % 37 = 0""")
+  unnest([strftime(fecha, '%Y-%m-%d'), format('{{:.2f}}', CAST(base AS DOUBLE)), 'Customer ' || right(demandante, 9), {PLACE}, format('{{:.2f}}', fianza_porcentaje), proceso]) AS normalized
+FROM avisos""")
 def normalize_by_type(spark, sf):
     from gavelwork.operators.normalize import normalize_long
-    a = v.avisos(spark, sf).filter("id % 37 = 0")
+    a = v.balanced(v.avisos(spark, sf))
     cols = ["fecha", "base", "demandante", "provincia", "fianza_porcentaje", "proceso"]
     long = a.select("id", *[F.col(c).cast("string").alias(c) for c in cols]).unpivot("id", cols, "field", "value")
     return normalize_long(long).select("id", "field", "normalized")
