@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gavelwork.operators.boards import mean_of, percent, top_values
+from gavelwork.session import checkpoint_dir
 
 
 def union(frames):
@@ -484,16 +485,17 @@ def ocr_defects(df, k=40):
     """Split words, joined words, lost accents, digit-letter confusions and odd symbols, top k of each per country."""
     cls = "A-Za-zÁÉÍÓÚÑáéíóúñ"
     tokens = df.select("country", F.explode(F.regexp_extract_all("text", F.lit(f"([{cls}0-9']+)"), 1)).alias("t")).groupBy("country", "t").agg(F.count("*").alias("n"))
+    checkpoint_dir(df.sparkSession)
+    tokens = tokens.checkpoint()  # distinct spellings only; every branch below starts from them
     words = tokens.groupBy("country", F.upper(F.regexp_replace("t", f"[^{cls}]", "")).alias("w")).agg(F.sum("n").alias("n")).filter("w <> ''")
-    key = words.select("country", "w")  # the counted tokens are one exchange that all branches reuse
+    key = words.select("country", "w")
 
     def report(kind, d):
         return d.select("country", F.lit(kind).alias("kind"), "value", F.col("n").cast("bigint").alias("n"))
 
-    pairs = df.select("country", F.explode(F.arrays_zip(
-        F.regexp_extract_all("text", F.lit(f"([{cls}]{{3,}})\\s*-\\s*([{cls}]{{3,}})"), 1).alias("a"),
-        F.regexp_extract_all("text", F.lit(f"([{cls}]{{3,}})\\s*-\\s*([{cls}]{{3,}})"), 2).alias("b"))).alias("p"))
-    split = pairs.select("country", F.upper("p.a").alias("a"), F.upper("p.b").alias("b")).groupBy("country", "a", "b").agg(F.count("*").alias("n"))
+    pairs = df.select("country", F.explode(F.regexp_extract_all("text", F.lit(f"([{cls}]{{3,}}\\s*-\\s*[{cls}]{{3,}})"), 1)).alias("p"))
+    sides = F.split(F.regexp_replace(F.upper("p"), r"\s", ""), "-")
+    split = pairs.groupBy("country", sides[0].alias("a"), sides[1].alias("b")).agg(F.count("*").alias("n"))
     split = split.withColumn("w", F.concat("a", "b")).join(key, ["country", "w"]).withColumn("value", F.concat("a", F.lit("-"), "b", F.lit(" -> "), "w"))
     cuts = words.filter(F.length("w") >= 6).select("country", "w", "n", F.explode(F.sequence(F.lit(3), F.length("w") - 3)).alias("i"))
     cuts = cuts.select("country", "w", "n", "i", F.left("w", F.col("i")).alias("a"), F.substr("w", F.col("i") + 1).alias("b")).filter("a <> b")

@@ -119,7 +119,7 @@ def _split(block):
 def republicaciones(spark, sf_dir):
     """Notices plus later copies of every 7th one; every 70th copy has another base."""
     cols = ["id", "pais", "expediente", "finca_matr", "lote_casa", "base", "fecha"]
-    orig = avisos(spark, sf_dir, parties=False).select(*cols)
+    orig = notices(spark, sf_dir).select(*cols)
     copies = orig.filter("id % 7 = 0").selectExpr(
         "id + 1000000000 AS id", "pais", "expediente", "finca_matr", "lote_casa",
         "IF(id % 70 = 0, CAST(base + 1000 AS DECIMAL(18,2)), base) AS base",
