@@ -255,7 +255,7 @@ def notice_intelligence(df):
     reasons = F.concat(
         low, F.array_compact(F.array(F.when(waiting & (F.size(low) == 0), "pendiente_revision_cliente"),
                                      F.when(pct.isNotNull() & ~_legal(pct, pais, lk.LEGAL_DEPOSIT), "fianza_pct_no_legal"))))
-    source = F.col("codigo_fuente")
+    source = F.col("codigo_fuente")  # fixed values: prefixes written by each extraction engine
     engine = F.when(source.startswith("det-"), "deterministico").when(source.rlike("^(ai-|claude|gemini)"), "ia").otherwise("desconocido")
     missing = missing_fields(lk.FUNDAMENTAL_FIELDS)
     n = len(lk.FUNDAMENTAL_FIELDS)

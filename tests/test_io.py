@@ -67,3 +67,12 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     from gavelwork.session import checkpoint_dir
     assert checkpoint_dir(spark)
     assert F is not None
+
+
+def test_client_reports_are_written(spark, sf, tmp_path):
+    from gavelwork.operators.reports import client_reports
+    r = client_reports(v.avisos(spark, sf), v.correcciones(spark, sf), v.auditoria(spark, sf))
+    sinks.write_reports(r, str(tmp_path))
+    assert len(r) == 7
+    for name in r:
+        assert spark.read.json(str(tmp_path / name)).count() > 0

@@ -142,3 +142,13 @@ def test_contained_documents_with_many_copies(spark):
 
 def test_views_keep_every_notice(spark, sf):
     assert v.avisos(spark, sf).count() == v.table(spark, sf, "orders").count()
+
+
+def test_similarity_of_matched_pairs(spark):
+    import difflib
+    pairs = [("AVISO DE REMATE finca 1", "aviso de remate finca 2"), ("uno", "otro texto"), ("", "x")]
+    df = spark.createDataFrame([(i, a, b, "LIKELY_DUPLICATED") for i, (a, b) in enumerate(pairs)], "id long, text string, _text string, nivel string")
+    got = {r["id"]: (r["similarity"], r["nivel"]) for r in dedup.near_text(df).collect()}
+    for i, (a, b) in enumerate(pairs):
+        want = round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 4) if a and b else 0.0
+        assert got[i] == (want, "DUPLICATED" if want > 0.9 else "LIKELY_DUPLICATED")
