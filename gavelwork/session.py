@@ -1,6 +1,7 @@
 """Session settings shared by tests, benchmark and command-line use."""
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,14 +25,20 @@ def get_spark(app="gavelwork", cores=None, partitions=None):
     return spark
 
 
-def checkpoint_dir(spark):
-    """Shared checkpoint folder named by the cluster; a temporary one only where none is set."""
+def shared_base(spark):
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else a folder below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+def shared_folder(spark, name):
+    """A new path below the shared folder, for a table or files written between two jobs."""
+    return f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint_dir(spark):
+    """The checkpoint folder in use; set to the shared folder where the session has none."""
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        if not configured:
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured or current
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
+    return spark.conf.get("spark.checkpoint.dir", None) or current or shared_base(spark)
