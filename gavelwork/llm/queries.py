@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gavelwork.llm import flow_mix, kd_shards, packing, topk_blocks
+from gavelwork.llm import cross_parse, flow_mix, kd_shards, line_frequency, packing, quality_llr, topk_blocks, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -22,12 +22,53 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP1 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS kept FROM p GROUP BY h),
+d AS (SELECT page_id, kept, octet_length(b) AS payload_bytes, sha1(b) AS hex FROM p JOIN g USING (h)),
+bits AS (SELECT *, list_transform(range(32), lambda i: CAST(('0x' || substr(hex, 1 + CAST(5 * i // 4 AS INT), 2) || CASE WHEN 1 + 5 * i // 4 = 40 THEN '0' ELSE '' END) AS INT) // CAST(pow(2, 3 - 5 * i % 4) AS INT) % 32) AS q FROM d)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(q, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM bits"""
+
+
+@query("op1_arc_to_warc", OP1)
+def op1(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op2_best_fit_packing")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@query("op3_ngram_likelihood_rules")
+def op3(spark, sf_dir):
+    return quality_llr.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+u AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM d),
+c AS (SELECT source, line, count(*) AS n FROM u WHERE line <> '' GROUP BY ALL),
+b AS (SELECT c.source, list(line) AS often FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 10 AND n > 0.1 * pages GROUP BY c.source),
+k AS (SELECT d.*, list_filter(lines, lambda x: NOT coalesce(list_contains(often, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), false)) AS kept
+  FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(lines, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) END AS n_lines,
+  CASE WHEN text IS NULL THEN 0 ELSE len(lines) - len(kept) END AS n_removed, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text FROM k"""
+
+
+@query("op4_site_line_frequency", OP4)
+def op4(spark, sf_dir):
+    return line_frequency.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_removed", "text")
+
+
+@query("op5_cross_parsing_language")
+def op5(spark, sf_dir):
+    return cross_parse.predicted(table(spark, sf_dir, "documents"))
+
+
 @query("op8_kd_tree_sharding")
 def op8(spark, sf_dir):
     return kd_shards.sharded(table(spark, sf_dir, "documents"))
