@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from gavelwork.llm.common import BLANKS, stored
 
-BUCKETS = 10_000
+BUCKETS = 65_536
 TRUSTED = 20_000
-PRIOR = 10_000.0
-THRESHOLD = -0.5
+PRIOR = 1_000_000.0
+THRESHOLD = -0.085
 SYMBOLS = "[#*$%&|<>]"
 
 
