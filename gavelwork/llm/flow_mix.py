@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gavelwork.llm.common import BLANKS, stored
 
 WEIGHTS = (5, 2, 1)
-CELLS = 1 << 16
+CELL_BITS = 12
 
 
 def targets(sizes, weights=WEIGHTS, share=1.5, most=2.0):
@@ -88,7 +88,7 @@ def min_cost_flow(supply, quota, epochs=2):
 
 def _select(docs, quota):
     """``docs`` (pattern, size, seed, n) with words taken: one use of all plus a seeded part, or a seeded part only."""
-    cell = F.shiftrightunsigned("seed", 48)
+    cell = F.shiftrightunsigned("seed", 64 - CELL_BITS)
     sums = docs.groupBy("pattern", cell.alias("cell")).agg(F.sum("size").alias("w"))
     over = Window.partitionBy("pattern").orderBy("cell")
     reach = F.sum("w").over(over)
@@ -97,7 +97,7 @@ def _select(docs, quota):
     edges = edges.groupBy("pattern").agg(F.min(F.struct("cell", "before", "upto")).alias("e"), F.first("part").alias("part"), F.first("uses").alias("uses"))
     edges = edges.select(F.col("pattern").alias("ep"), "part", "uses", F.col("e.cell").alias("edge"), F.col("e.before").alias("before"))
     rows = docs.withColumn("cell", cell).join(edges, F.col("pattern") == F.col("ep"), "left")
-    # only documents of one cell in ``CELLS`` of a pattern need an order among themselves
+    # only documents of one cell in 2 ** CELL_BITS of a pattern need an order among themselves
     inside = rows.where(F.col("cell") == F.col("edge"))
     order = Window.partitionBy("pattern", "cell").orderBy("seed", "n").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
