@@ -6,10 +6,11 @@ extended by one token per class, and pairs of tokens of a class are indexed: sha
 more foreign tokens than similar sets may have. The number of classes follows the size of a set, and a set near a step is indexed for both
 sides of it, so any two similar sets share a signature.
 
-Equal sets are one set first. Of the sets that share a signature each is compared with one of them, the hub; what that links becomes a
-component, and only sets of a signature that are still in different components are compared with each other, after bounds on sizes and
-on the overlap of prefixes have thinned them out. Candidates are verified on whole sets, recomputed from the texts. So a group of copies
-never expands into its pairs, yet no component is missed.
+Equal sets are one set first. Of the sets that share a signature each is compared with one of them, the hub, on whole texts; links make
+components. Two sets of one hub that are similar to each other, but not yet in one component, either share enough with the hub itself,
+which fixes their sizes, or share a token that the hub has not: such tokens, rarest first, are the signatures of the next round, with hubs
+of their own. After ``rounds`` rounds, or when no signature holds two components, the few pairs left are compared directly. A group of copies never expands into its pairs, yet no link between
+components is missed.
 
 The list of frequent tokens is the ``FREQUENT`` most frequent by counts over all documents (of tokens that repeat within some ``CHUNK``
 tokens); it only orders tokens, results do not depend on it. Null and empty texts have no tokens and link with nothing; a text of fewer
@@ -195,57 +196,89 @@ def _describe(width, percent, frequent):
     return run
 
 
-def _sets(width):
-    schema = pa.schema([("grp", pa.int64()), ("doc", pa.int64()), ("tokens", pa.binary())])
+def _compare(width, percent, frequent):
+    """Overlap of the texts of every pair, and the tokens of a that b has not, rarest first, as far as a similar third set must share one."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("both", pa.int64()), ("own", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b in batches:
-            sets = token_sets(b.column(2).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
-
-    return run
-
-
-def _verify(percent):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                s, t = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-                at = np.minimum(np.searchsorted(s, t), len(s) - 1)
-                both = int((s[at] == t).sum()) if len(s) and len(t) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
+        tokens, counts = frequent.value
+        last, other = None, None
+        for batch in batches:
+            sets, rows = token_sets(batch.column(2).to_pylist(), width), []
+            for a, b, s, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, batch.column(3)):
+                if b != last:
+                    last, other = b, token_sets([text.as_py()], width)[0]
+                at = np.minimum(np.searchsorted(other, s), max(0, len(other) - 1))
+                shared = other[at] == s if len(other) else np.zeros(len(s), bool)
+                own = s[~shared]
+                k = np.minimum(np.searchsorted(tokens, own), max(0, len(tokens) - 1))
+                often = np.where(tokens[k] == own, counts[k], 0) if len(tokens) else np.zeros(len(own), np.int64)
+                rows.append((a, b, len(s), len(other), int(shared.sum()), own[np.lexsort((own, often))][: len(s) * (100 - percent) // 100 + 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
     return run
 
 
-def _possible(pairs, sets, percent):
-    """Pairs (a, b) whose sizes allow the similarity, and whose prefixes do where both are plain."""
-    x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("plain").alias("pa"), F.col("sigs").alias("sa"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("plain").alias("pb"), F.col("sigs").alias("sb"))
-    p = pairs.join(x, "a").join(y, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    end = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
-    p = p.withColumns({"end": end, "both": F.size(F.array_intersect("sa", "sb"))})
-    upto = lambda c: F.size(F.filter(c, lambda t: t <= F.col("end")))
-    most = F.col("both") + F.least(F.col("na") - upto("sa"), F.col("nb") - upto("sb"))
-    enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    return p.where(~(F.col("pa") & F.col("pb")) | enough).select("a", "b")
-
-
-def _linked(pairs, docs, width, percent):
-    """Pairs (a, b) that are similar on whole sets; b is shared by many pairs, so its set is joined to theirs."""
-    own = pairs.select(F.col("b").alias("grp"), F.col("a").alias("doc"))
-    hubs = pairs.select(F.col("b").alias("grp"), F.col("b").alias("doc")).distinct()
-    make = lambda wanted: wanted.join(docs, F.col("doc") == F.col("doc_id")).select("grp", "doc", "text").mapInArrow(_sets(width), "grp long, doc long, tokens binary")
-    right = make(hubs).select(F.col("grp").alias("b"), F.col("tokens").alias("hub_tokens"))
-    joined = make(own).join(right, F.col("grp") == F.col("b"))
-    return joined.select(F.col("doc").alias("a"), "b", "tokens", "hub_tokens").mapInArrow(_verify(percent), "a long, b long")
+def _compared(pairs, docs, width, percent, frequent):
+    """(a, b, na, nb, both, own) of pairs (a, b), from whole texts; many pairs may share b."""
+    text = docs.select(F.col("doc_id").alias("d"), "text")
+    left = pairs.join(text, F.col("a") == F.col("d")).select("a", "b", "text")
+    right = pairs.select("b").distinct().join(text, F.col("b") == F.col("d")).select(F.col("b").alias("h"), F.col("text").alias("hub_text"))
+    joined = left.join(right, F.col("b") == F.col("h")).select("a", "b", "text", "hub_text")
+    return stored(joined.mapInArrow(_compare(width, percent, frequent), "a long, b long, na long, nb long, both long, own array<long>"), "compared")
+
+
+def _hub_pairs(members):
+    """(doc, hub) for rows (sig, doc): the hub of a signature is its least document."""
+    rows = members.withColumn("hub", F.min("doc").over(Window.partitionBy("sig")))
+    return rows.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _band(n):
+    """Sizes in steps of two per cent."""
+    return F.floor(F.log(F.greatest(n, F.lit(1))) * 50).cast("long")
+
+
+def _still_open(seen, roots, percent):
+    """What compared documents of one hub may still have in common: ((sig, doc, root, n) rows, (a, b) pairs).
+
+    Two documents similar to each other share no less than their least overlap with the hub, or tokens that the hub has not. The latter
+    make signatures: per band of partners' sizes among the hub's documents as many, rarest first, as the least overlap leaves. The former
+    fixes the sizes of a partner, and is met band by band.
+    """
+    of = lambda c, r: roots.select(F.col("node").alias(c + "_node"), F.col("root").alias(r))
+    g = seen.join(of("a", "ra"), F.col("a") == F.col("a_node"), "left").join(of("b", "rb"), F.col("b") == F.col("b_node"), "left")
+    g = g.select("a", "b", "na", "both", "own", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), _band(F.col("na")).alias("band"))
+    g = stored(g, "placed")
+    mixed = stored(g.groupBy("b").agg(F.min("ra").alias("lo"), F.max("ra").alias("hi")).where("lo <> hi").select("b"), "mixed")
+    g = g.join(mixed, "b", "left_semi")
+    # sizes that a hub's documents have: few, and no more than a partner may have of bands
+    sizes = g.groupBy("b", "band").agg(F.min("na").alias("lo")).select(F.col("b").alias("hub"), F.col("band").alias("theirs"), "lo")
+    fits = g.withColumn("theirs", F.explode(F.sequence(_band(F.ceil(F.col("na") * percent / 100)), _band(F.floor(F.col("na") * 100 / percent)))))
+    fits = fits.join(sizes.withColumnRenamed("theirs", "t"), (F.col("b") == F.col("hub")) & (F.col("theirs") == F.col("t")))
+    need = F.col("na") - F.ceil(percent * (F.col("na") + F.greatest("lo", F.ceil(F.col("na") * percent / 100))) / (100 + percent)) + 1
+    rows = fits.where(need > 0).select("b", "band", "theirs", "a", "ra", "na", F.explode(F.slice("own", F.lit(1), need.cast("int"))).alias("token"))
+    sig = F.xxhash64("b", F.least("band", "theirs"), F.greatest("band", "theirs"), "token")
+    rows = stored(rows.select(sig.alias("sig"), F.col("a").alias("doc"), F.col("ra").alias("root"), F.col("na").alias("n")), "own")
+    several = stored(rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig"), "several")
+    members = rows.join(several, "sig", "left_semi")
+    most = F.floor(F.col("both") * (100 + percent) / percent).cast("long") - F.col("na")
+    least = F.ceil(F.col("na") * percent / 100)
+    out = g.where((F.col("ra") != F.col("rb")) & (most >= least)).select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("ra").alias("rx"), most.alias("most"), least.alias("least"))
+    out = out.withColumn("band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("most")))))
+    y = g.select("b", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("ra").alias("ry"), most.alias("ymost"), "band")
+    near = out.join(y, ["b", "band"]).where("x <> y AND rx <> ry AND ny BETWEEN least AND most AND nx <= ymost")
+    return members, near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _all_pairs(members, percent):
+    """Pairs of different components that share a signature: what is left when most of a group is one component."""
+    x, y = (members.select("sig", F.col("doc").alias(d), F.col("root").alias("r" + d), F.col("n").alias("n" + d)) for d in "ab")
+    alike = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return x.join(y, "sig").where(alike).select("a", "b").distinct()
 
 
-def near_components(docs, width=4, percent=85):
+def near_components(docs, width=4, percent=85, rounds=3):
     """doc_id, n_shingles and component_id (smallest id that links reach) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
@@ -255,23 +288,20 @@ def near_components(docs, width=4, percent=85):
     equal = stored(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "equal")
     reps = sets.where("n > 0").join(equal.select("rep").where("rep IS NOT NULL").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     sigs = reps.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
-    group = Window.partitionBy("sig")
-    members = sigs.withColumns({"hub": F.min("doc").over(group), "m": F.count("*").over(group)}).where("m > 1").drop("m")
-    members = stored(members, "members")
-    pairs = members.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stored(_linked(stored(_possible(pairs, reps, percent), "pairs"), docs, width, percent), "links")
-    found = stored(components(links), "components")
-    # signatures whose sets are not one component yet: all pairs of different components but those with the hub
-    placed = members.join(found, F.col("doc") == F.col("node"), "left").select("sig", "hub", "doc", F.coalesce("root", "doc").alias("root"))
-    placed = stored(placed, "placed")
-    mixed = placed.where("doc <> hub").groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    open_ = placed.where("doc <> hub").join(stored(mixed, "mixed"), "sig", "left_semi").join(reps.select(F.col("doc_id").alias("doc"), "n"), "doc")
-    open_ = stored(open_.select("sig", "doc", "root", "n"), "open")
-    x, y = open_.select("sig", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), open_.select("sig", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    alike = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = x.join(y, "sig").where(alike).select("a", "b").distinct()
-    more = _linked(stored(_possible(rest, reps, percent), "pairs"), docs, width, percent)
-    roots = stored(components(links.unionByName(stored(more, "links"))), "components")
+    similar = lambda t: t.where((F.col("both") > 0) & (100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))).select("a", "b")
+    pairs, links = stored(_hub_pairs(sigs), "pairs"), None
+    for left in reversed(range(rounds)):
+        seen = _compared(pairs, docs, width, percent, frequent)
+        links = similar(seen) if links is None else links.unionByName(similar(seen))
+        roots = stored(components(links), "components")
+        members, direct = _still_open(seen, roots, percent)
+        pairs = stored(_hub_pairs(members) if left else _all_pairs(members, percent), "pairs")
+        direct = stored(direct if left else direct.unionByName(pairs).distinct(), "direct")
+        if not direct.isEmpty():
+            links = links.unionByName(similar(_compared(direct, docs, width, percent, frequent)))
+        if pairs.isEmpty():
+            break
+    roots = stored(components(links), "components")
     of_key = equal.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("component"))
     out = sets.join(of_key, F.col("key") == F.col("k"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
