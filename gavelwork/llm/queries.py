@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gavelwork.llm import cross_parse, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, topk_blocks, warc
+from gavelwork.llm import cross_parse, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, repeated_bytes, topk_blocks, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -74,6 +74,11 @@ def op6(spark, sf_dir):
     return jaccard_join.near_components(table(spark, sf_dir, "documents"))
 
 
+@query("op7_repeated_bytes")
+def op7(spark, sf_dir):
+    return repeated_bytes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 @query("op8_kd_tree_sharding")
 def op8(spark, sf_dir):
     return kd_shards.sharded(table(spark, sf_dir, "documents"))
