@@ -6,11 +6,12 @@ extended by one token per class, and pairs of tokens of a class are indexed: sha
 more foreign tokens than similar sets may have. The number of classes follows the size of a set, and a set near a step is indexed for both
 sides of it, so any two similar sets share a signature.
 
-Equal sets are one set first. Of the sets that share a signature each is compared with one of them, the hub, on whole texts; links make
-components. Two sets of one hub that are similar to each other, but not yet in one component, either share enough with the hub itself,
-which fixes their sizes, or share a token that the hub has not: such tokens, rarest first, are the signatures of the next round, with hubs
-of their own. After ``rounds`` rounds, or when no signature holds two components, the few pairs left are compared directly. A group of copies never expands into its pairs, yet no link between
-components is missed.
+Equal sets are one set first. Of the sets that share a signature each is held against one of them, the hub: first bounds on sizes and on the
+overlap of prefixes, then whole texts. Links make components. Two sets of one hub that are similar to each other, but not yet in one
+component, either share enough with the hub itself, which fixes their sizes, or share a token that the hub has not: such tokens, rarest
+first, are the signatures of the next round, with hubs of their own. After ``rounds`` rounds, or when no signature holds two components,
+the few pairs left are compared directly; so are pairs of which the bounds had kept one from the hub. A group of copies never expands
+into its pairs, yet no link between components is missed.
 
 The list of frequent tokens is the ``FREQUENT`` most frequent by counts over all documents (of tokens that repeat within some ``CHUNK``
 tokens); it only orders tokens, results do not depend on it. Null and empty texts have no tokens and link with nothing; a text of fewer
@@ -228,6 +229,28 @@ def _compared(pairs, docs, width, percent, frequent):
     return stored(joined.mapInArrow(_compare(width, percent, frequent), "a long, b long, na long, nb long, both long, own array<long>"), "compared")
 
 
+def _possible(pairs, sets, percent):
+    """Pairs (a, b) whose sizes allow the similarity, and whose prefixes do where both hold all rare tokens up to their last."""
+    part = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("plain").alias("p" + c), F.col("sigs").alias("s" + c))
+    p = pairs.join(part("a"), "a").join(part("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    p = p.withColumns({"end": F.least(F.element_at("sa", -1), F.element_at("sb", -1)), "both": F.size(F.array_intersect("sa", "sb"))})
+    upto = lambda c: F.size(F.filter(c, lambda t: t <= F.col("end")))
+    most = F.col("both") + F.least(F.col("na") - upto("sa"), F.col("nb") - upto("sb"))
+    return p.where(~(F.col("pa") & F.col("pb")) | ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
+def _beside_hub(members, asked, roots, percent):
+    """Pairs of one signature of which the hub's comparison says nothing, because bounds had ruled out one of the two beside it."""
+    known = asked.select(F.col("a").alias("ka"), F.col("b").alias("kb"))
+    rows = members.where("doc <> hub AND m > 2").join(known, (F.col("doc") == F.col("ka")) & (F.col("hub") == F.col("kb")), "left")
+    rows = rows.join(roots, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", F.col("ka").isNull().alias("ruled_out"), F.coalesce("root", "doc").alias("root"))
+    rows = stored(rows, "beside")
+    x, y = (rows.select("sig", F.col("doc").alias(d), F.col("root").alias("r" + d), F.col("n").alias("n" + d), F.col("ruled_out").alias("o" + d)) for d in "xy")
+    alike = "rx <> ry AND (NOT oy OR x > y)"
+    both = x.where("ox").join(y, "sig").where(F.expr(alike) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def _hub_pairs(members):
     """(doc, hub) for rows (sig, doc): the hub of a signature is its least document."""
     rows = members.withColumn("hub", F.min("doc").over(Window.partitionBy("sig")))
@@ -287,14 +310,20 @@ def near_components(docs, width=4, percent=85, rounds=3):
     sets = stored(docs.mapInArrow(_describe(width, percent, frequent), "doc_id long, n long, key binary, plain boolean, sigs array<long>"), "sets")
     equal = stored(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "equal")
     reps = sets.where("n > 0").join(equal.select("rep").where("rep IS NOT NULL").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    sigs = reps.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
+    reps = stored(reps, "reps")
+    group = Window.partitionBy("sig")
+    sigs = reps.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"), "n")
+    first = stored(sigs.withColumns({"hub": F.min("doc").over(group), "m": F.count("*").over(group)}).where("m > 1"), "members")
+    asked = stored(_possible(first.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), reps, percent), "asked")
     similar = lambda t: t.where((F.col("both") > 0) & (100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))).select("a", "b")
-    pairs, links = stored(_hub_pairs(sigs), "pairs"), None
+    pairs, links = asked, None
     for left in reversed(range(rounds)):
         seen = _compared(pairs, docs, width, percent, frequent)
         links = similar(seen) if links is None else links.unionByName(similar(seen))
         roots = stored(components(links), "components")
         members, direct = _still_open(seen, roots, percent)
+        if pairs is asked:
+            direct = direct.unionByName(_possible(_beside_hub(first, asked, roots, percent), reps, percent)).distinct()
         pairs = stored(_hub_pairs(members) if left else _all_pairs(members, percent), "pairs")
         direct = stored(direct if left else direct.unionByName(pairs).distinct(), "direct")
         if not direct.isEmpty():
