@@ -12,6 +12,7 @@ an empty table gives an empty result; without labelled text every document is ``
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -143,13 +144,14 @@ _PARSERS = {}
 
 
 def _predict(texts, keep):
-    schema = pa.schema([*[(k, t) for k, t in keep], ("lang_pred", pa.string()), ("score", pa.float64()), ("n_phrases", pa.int64()), ("n_symbols", pa.int64())])
+    """Columns ``keep`` and the prediction for every row; the text is the last column."""
+    schema = pa.schema([*keep, ("lang_pred", pa.string()), ("score", pa.float64()), ("n_phrases", pa.int64()), ("n_symbols", pa.int64())])
     key = tuple(sorted(texts.items()))
 
     def run(batches):
         parser = _PARSERS.get(key) or _PARSERS.setdefault(key, Parser(texts))
         for b in batches:
-            codes = [parser.symbols.codes(t.as_py() or "") for t in b.column(b.schema.get_field_index("text"))]
+            codes = [parser.symbols.codes(t.as_py() or "") for t in b.column(b.num_columns - 1)]
             counts = parser.phrases(codes)
             lang, score, best = [], [], []
             for i, c in enumerate(codes):
@@ -161,15 +163,46 @@ def _predict(texts, keep):
                 others = np.delete(got, k)
                 lang.append(parser.langs[k]), best.append(int(got[k]))
                 score.append(float(1 - got[k] / others.min()) if len(others) else float(1 - got[k] / len(c)))
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k, _ in keep], pa.array(lang), pa.array(score, pa.float64()), pa.array(best, pa.int64()), pa.array([len(c) for c in codes], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.int64()), pa.array([len(c) for c in codes], pa.int64())], schema=schema)
 
     return run
 
 
 def predicted(docs):
-    """doc_id, text, held_out, lang_pred, score, n_phrases, n_symbols. Predictions see the text alone."""
+    """doc_id, held_out, lang_pred, score, n_phrases, n_symbols. Predictions see the text alone."""
     small_batches(docs.sparkSession)
     texts = labelled_text(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     keep = [("doc_id", pa.int64()), ("held_out", pa.bool_())]
     return rows.mapInArrow(_predict(texts, keep), "doc_id long, held_out boolean, lang_pred string, score double, n_phrases long, n_symbols long")
+
+
+def accepted(docs, strange):
+    """Rows of ``docs`` whose text has letters and needs at most ``strange`` phrases a symbol (and three), with the predicted language as ``lang``."""
+    small_batches(docs.sparkSession)
+    texts = labelled_text(docs)
+    whole = docs.select(F.struct("*").alias("row"))
+    kept = whole.select("row", F.col("row.text").cast("string").alias("text"))
+    fields = docs.schema.simpleString()
+    out = kept.mapInArrow(_accept(texts, strange), f"row {fields}")
+    return out.select("row.*")
+
+
+def _accept(texts, strange):
+    predict = _predict(texts, [])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            got = next(predict(iter([pa.RecordBatch.from_arrays([b.column(1)], names=["text"])])))
+            lang, phrases, size = (got.column(k) for k in (0, 2, 3))
+            ok = pa.compute.and_(pa.compute.not_equal(lang, UND), pa.compute.less_equal(phrases, pa.compute.add(pa.compute.multiply(size, strange), 3.0)))
+            if not texts:
+                ok = pa.array([any(c.isalpha() for c in t.as_py() or "") for t in b.column(1)], pa.bool_())
+            row = b.column(0)
+            fields = [row.type.field(k) for k in range(row.type.num_fields)]
+            cols = [lang.cast(f.type) if f.name == "lang" and texts else row.field(k) for k, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(cols, fields=fields)], names=["row"]).filter(ok)
+
+    return run

@@ -106,6 +106,11 @@ def _select(docs, quota):
     return inside.unionByName(rest).withColumn("taken", F.col("size") * (F.col("more") + F.coalesce("uses", F.lit(0)))).drop("ep", "part", "uses", "edge", "before", "cell", "more")
 
 
+def _seed(seed):
+    """Place of a document in the order of its pattern; the same in every run."""
+    return F.xxhash64(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(seed))
+
+
 def mixed(docs, seed=42, weights=WEIGHTS, share=1.5, members=None):
     """``docs`` with size, source_size, target (of the row's source), taken. ``members``: array column of a row's sources (default: its own).
 
@@ -116,7 +121,7 @@ def mixed(docs, seed=42, weights=WEIGHTS, share=1.5, members=None):
     size = F.size(F.array_remove(F.split(text, BLANKS), "")).cast("long")
     own = F.col("source").cast("string")
     pattern = F.array_sort(F.array_distinct(members)) if members is not None else F.array(own)
-    rows = stored(docs.select("doc_id", own.alias("source"), size.alias("size"), pattern.alias("pattern"), F.xxhash64(F.col("doc_id"), F.xxhash64(text), F.lit(seed)).alias("seed"), F.crc32(text).alias("n")), "sizes")
+    rows = stored(docs.select("doc_id", own.alias("source"), size.alias("size"), pattern.alias("pattern"), _seed(seed).alias("seed"), F.crc32(text).alias("n")), "sizes")
     found = rows.groupBy("pattern").agg(F.sum("size").alias("w")).collect()
     supply = {tuple(r["pattern"]): r["w"] for r in found}
     size_of = {}
@@ -131,4 +136,11 @@ def mixed(docs, seed=42, weights=WEIGHTS, share=1.5, members=None):
     quota = spark.createDataFrame([(list(p), words[p] - uses(p) * supply[p], uses(p)) for p in supply], "pattern array<string>, part long, uses int")
     of = spark.createDataFrame([(s, size_of[s], float(want[s])) for s in order], "s string, source_size long, target double")
     taken = _select(rows, quota)
-    return taken.join(of, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.join(of, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "source", "size", "source_size", "target", "taken", "seed")
+
+
+def repeated(docs, seed=42):
+    """Rows of ``docs`` as often as the mix takes them; documents without words are not taken."""
+    times = mixed(docs, seed).where("taken > 0").groupBy(F.col("seed").alias("_s")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
+    rows = docs.withColumn("_seed", _seed(seed)).join(times, F.col("_seed") == F.col("_s"))
+    return rows.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

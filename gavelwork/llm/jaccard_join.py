@@ -334,3 +334,13 @@ def near_components(docs, width=4, percent=85, rounds=3):
     of_key = equal.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("component"))
     out = sets.join(of_key, F.col("key") == F.col("k"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs, width=5, percent=80):
+    """``docs`` with one row of every component (that of the smallest id) and of every id; rows without words or id stay."""
+    groups = near_components(docs, width, percent)
+    gone = stored(groups.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    twice = stored(kept.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "twice")
+    same = F.col("doc_id") == F.col("_id")
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 
+import corpus_pipeline
 from gavelwork.llm import cross_parse, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, repeated_bytes, topk_blocks, warc
 
 QUERIES = {}
@@ -101,3 +102,8 @@ def op9(spark, sf_dir):
 @query("op10_source_mixing")
 def op10(spark, sf_dir):
     return flow_mix.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
