@@ -134,8 +134,8 @@ def newspaper_header(text):
 
 
 def page_code(text):
-    """Page code alone on a line of the first 2,000 characters; a leading I is read as 1."""
-    code = F.upper(found(r"(?m)^\s*([0-9I][A-Za-z]{1,2})\s*$", F.substring(text, 1, 2000)))
+    """Page code alone on a line; a leading I is read as 1."""
+    code = F.upper(found(r"(?m)^\s*([0-9I][A-Za-z]{1,2})\s*$", text))
     return F.regexp_replace(code, r"^I(?=[A-Z]+$)", "1")
 
 

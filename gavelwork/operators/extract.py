@@ -220,7 +220,7 @@ def base_after_docket(text, docket):
 
 
 def _base_at(text, pos):
-    tail = F.substr(text, pos, F.lit(15000))
+    tail = F.substr(text, pos)
     nxt = F.position(F.lit("AVISO DE REMATE"), F.substr(tail, F.lit(2)))
     window = F.when(nxt > 0, F.substr(tail, F.lit(1), nxt)).otherwise(tail)
     return let(F.when(pos > 0, window), lambda w: _base_in_window(w, text, pos))
@@ -233,8 +233,7 @@ def _base_in_window(window, text, pos):
         r"base para el remate\s*,?\s*la\s+suma\s+de[^)]{0,200}?\(?\s*[B8]?\s*/\s*\.\s*([\d.,]+)",
         r"CUANT[IÍ]A\s+DEL\s+EMBARGO\s*:.*?\(\s*[B8]\s*/\s*\.\s*([\d.,]+)\s*\)"]
     chosen = F.coalesce(*[found(I + p, window) for p in special])
-    rest = F.upper(F.substr(text, pos, F.lit(4000)))
-    crowded = F.regexp_count(rest, F.lit("AVISO DE REMATE")) > 1
+    crowded = F.regexp_count(F.upper(F.substr(text, pos)), F.lit("AVISO DE REMATE")) > 1
     generic = r"[B8]\s*/\s*\.\s*([\d.,]{5,})"
     at = F.regexp_instr(window, F.lit(generic))
     lead = F.greatest(at - 80, F.lit(1))
@@ -265,10 +264,9 @@ def percents_near_docket(df, text="text", docket="expediente", pais="pais"):
     t, e = F.col(text), F.col(docket)
     pos = docket_position(t, e)
     d = df.withColumn("_pos", pos)
-    first = F.greatest(F.col("_pos") - 10000, F.lit(1))
-    head = F.substr(t, first, F.col("_pos") - first)
+    head = F.substr(t, F.lit(1), F.col("_pos") - 1)
     own = F.element_at(F.split(head, "AVISO DE REMATE"), -1)
-    tail = F.substr(t, F.col("_pos"), F.lit(30000))
+    tail = F.substr(t, F.col("_pos"))
     nxt = F.position(F.lit("AVISO DE REMATE"), F.substr(tail, F.lit(2)))
     rest = F.when(nxt > 0, F.substr(tail, F.lit(1), nxt)).otherwise(tail)
     d = d.withColumn("_w", F.when(F.col("_pos") > 0, F.concat(own, rest)))
@@ -397,7 +395,7 @@ def colombia_row(df, row="fila", year="2025"):
     clock = r"(?i)^.*?\d{1,2}[.:]\s*\d{2}\s*(?:A\.?M|P\.?M)"
     rest = strip_all(F.when(F.col("hora").isNotNull(), F.regexp_replace(r, clock, "")).otherwise(F.regexp_replace(r, head, "")))
     address = F.coalesce(strip_all(found(r"(?i)^(.+?)(?:PREDIO|APARTAMENTO|VEHICULO|CASA|CUOTA PARTE|LOCAL|GARAJE|MOTO|PLACAS)", rest)),
-                         F.substring(rest, 1, 80))
+                         rest)
     return d.withColumn("direccion", address).withColumn("prevista", F.concat_ws(", ", "direccion", "ciudad"))
 
 
@@ -463,7 +461,7 @@ def label_values(df, key, text="text", section="section", confidence="confidence
         rest = strip_all(after)
         value = F.regexp_replace(rest, r"^[:;,\-–— ]+", "")
         value = strip_all(F.split_part(strip_all(F.split_part(value, F.lit("\n"), F.lit(1))), F.lit(","), F.lit(1)))
-        value = F.substring(F.regexp_replace(value, r"^\s*[:\s]+\s*", ""), 1, 200)
+        value = F.regexp_replace(value, r"^\s*[:\s]+\s*", "")
         own = F.when(F.col(confidence) > 0, F.col(confidence)).otherwise(0.7)
         boost = F.when(rest.rlike(r"^[\s:;\-–—=]+"), 0.1).otherwise(0.0) + F.when(F.length(rest) > 2, 0.1).otherwise(0.0)
         pairs.append(F.when(after.isNotNull(), F.struct(

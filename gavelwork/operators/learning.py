@@ -14,7 +14,7 @@ def _suggestion(df, tipo, value, ref, count, conf, alternatives=None):
         conf.alias("confianza"), (alternatives if alternatives is not None else F.lit(None).cast("string")).alias("alternativas"))
 
 
-def suggestions(df, total, k=50):
+def suggestions(df, total, k=None):
     """Repeated corrections, spelling aliases, labels outside the vocabulary and fields often empty; Panama first.
 
     ``total`` is the number of corrections; values are grouped before anything is ranked. A group shows its smallest spelling.
@@ -35,12 +35,12 @@ def suggestions(df, total, k=50):
     prov = (F.col("campo") == "provincia") & (((F.col("pais") == 1) & ~F.col("new_n").isin(pa)) | ((F.col("pais") == 2) & ~F.col("new_n").isin(co)))
     new = d.filter((val != "") & (cat | prov)).select("campo", "pais", val.alias("v")).distinct()
     label = _suggestion(new, "etiqueta_nueva", F.col("v"), none, F.lit(1), F.lit(0.5))
-    empty = usable.filter("era_vacio").groupBy("campo").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(n.desc(), "campo").limit(8).withColumn("pais", F.lit(None).cast("int"))
+    empty = usable.filter("era_vacio").groupBy("campo").agg(F.count("*").alias("n")).filter("n >= 2").withColumn("pais", F.lit(None).cast("int"))
     vacio = _suggestion(empty, "campo_vacio_frecuente", none, none, n, F.least(F.lit(0.9), F.lit(0.4) + n / F.lit(float(total))))
     every = union([repeated, alias, label, vacio])
     best = top_k(every, ["tipo", "campo", "pais", "valor_sugerido"], [F.col("confianza").desc(), "n", "valor_referencia"], 1)
     order = [F.when(F.col("pais") == 1, 0).otherwise(1), F.col("confianza").desc(), "tipo", "campo", "pais", "valor_sugerido"]
-    return best.orderBy(*order).limit(k)
+    return best.orderBy(*order).limit(k) if k else best
 
 
 MONEY_CONTEXT = r"B/?\.|\$|USD|BALBOAS|PESOS|DÓLARES|BASE|VALOR|PRECIO|AVALÚO|AVALUO"
@@ -66,7 +66,7 @@ def common_prefix(low, high):
 
 # fixed values: pattern of each category
 CATEGORY_PATTERN = {"MONEY": r"([\$B/\.\s]*[\d\.,]+(?:\s*(?:B/?\.|USD|dólares|pesos))?)", "DATE": r"(\d{1,2}\s+DE\s+[A-ZÁÉÍÓÚÑ]+\s+DE\s*\d{2,4})",
-                    "CASE_NUMBER": r"([\d\-]+)", "PROPERTY": r"([\d]+)".replace(r"[\d]", r"[\d\-]")}
+                    "CASE_NUMBER": r"([\d\-]+)", "PROPERTY": r"([\d\-]+)"}
 
 
 def escape_regex(c):
@@ -93,16 +93,13 @@ def evidence_sample(df, k=5):
     return top_k(df.select("campo", "id", "contexto"), ["campo"], ["id"], k)
 
 
-def apply_rules(texts, rules, max_rules=2000):
+def apply_rules(texts, rules):
     """First approved rule, newest first, whose pattern matches the text of its field; value = group 1 or the match, confidence x 0.9.
 
-    The rule table is small reference data: it is folded into one array per field and joined on the field. Beyond ``max_rules`` rules
-    the same result comes from a join on the field and a max_by, without broadcasting anything.
+    A join on the field and a max_by; whether the rules are broadcast is left to the planner and their measured size.
     """
     ok = rules.filter("status = 'approved'").select("field_name", "rule_id", "pattern", "confidence", "created_at")
-    n = ok.count()
-    r = F.broadcast(ok) if n <= max_rules else ok
-    j = texts.join(r, "field_name")
+    j = texts.join(ok, "field_name")
     hit = j.withColumn("_p", F.concat(F.lit("(?ium)"), F.col("pattern"))).filter(F.rlike("text", F.col("_p")))
     group = F.regexp_like(F.col("pattern"), F.lit(r"(?<!\\)\((?!\?)"))
     value = F.when(group, F.expr("regexp_extract(text, _p, 1)")).otherwise(F.expr("regexp_extract(text, _p, 0)"))
@@ -195,34 +192,41 @@ def normalize_with_aliases(df, aliases, text="text"):
 KEYWORD = r"[A-ZÁÉÍÓÚÑa-záéíóúñ]{4,}"
 
 
-def keywords(text, width):
-    return F.array_distinct(F.regexp_extract_all(F.upper(F.left(text, F.lit(width))), F.lit(f"({KEYWORD})"), 1))
+def keywords(text):
+    return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(f"({KEYWORD})"), 1))
 
 
-def apply_learning(notices, corrections, fields, threshold=0.15, recent=500, per_notice=5):
+def apply_learning(notices, corrections, fields, threshold=0.15, per_notice=5):
     """Empty fields filled from the correction with the most similar context: Jaccard of words >= 0.15, newest on ties, five fields at most.
 
-    Only the newest 500 corrections of each country are candidates, so the other side is a list of at most 1,000 rows; of equal
-    word sets only the newest can win, so the others are dropped first.
+    All corrections are candidates. Of equal word sets only the newest can win, so the others are dropped first, and equal word sets of
+    notices are matched once. Sets meet in a join on (country, field, word); a set of n words needs only its n - ceil(threshold x n) + 1
+    rarest ones there, whose overlap no similar pair can do without.
     """
-    latest = top_k(corrections, ["pais"], [F.col("creado_en").desc(), F.col("id").desc()], recent)
-    cand = latest.filter((F.trim("valor_nuevo") != "") & (F.col("contexto") != "")).select(
-        "pais", "campo", "id", "valor_nuevo", "creado_en", F.array_sort(keywords(F.col("contexto"), 2000)).alias("kw"))
+    cand = corrections.filter((F.trim("valor_nuevo") != "") & (F.col("contexto") != "")).select(
+        "pais", "campo", "id", "valor_nuevo", "creado_en", F.array_sort(keywords(F.col("contexto"))).alias("ckw"))
     newest = F.max_by(F.struct("creado_en", "id", "valor_nuevo"), F.struct("creado_en", "id"))
-    cand = cand.groupBy("pais", "campo", "kw").agg(newest.alias("r")).select("pais", "campo", "kw", "r.*")
-    lists = cand.groupBy("pais", "campo").agg(F.collect_list(F.struct("kw", "creado_en", "id", "valor_nuevo")).alias("cs"))
-    n = notices.filter(F.length(F.trim("text")) >= 30).withColumn("kw", keywords(F.col("text"), 3000))
+    cand = cand.groupBy("pais", "campo", "ckw").agg(newest.alias("r")).select("pais", "campo", "ckw", "r.*")
+    n = notices.filter(F.length(F.trim("text")) >= 30).withColumn("kw", F.array_sort(keywords(F.col("text"))))
     empties = F.array_compact(F.array(*[F.when(F.nullif(F.col(f).cast("string"), F.lit("")).isNull(), F.struct(F.lit(i).alias("orden"), F.lit(f).alias("campo")))
                                         for i, f in enumerate(fields)]))
     long = n.select(F.col("id").alias("aviso_id"), "pais", "kw", F.explode(empties).alias("e")).select("aviso_id", "pais", "kw", "e.orden", "e.campo")
-    j = long.join(F.broadcast(lists), ["pais", "campo"])
-
-    def score(c):
-        inter = F.size(F.array_intersect(c["kw"], F.col("kw")))
-        return F.struct((inter / (F.size(c["kw"]) + F.size(F.col("kw")) - inter)).alias("sim"), c["creado_en"].alias("creado_en"), c["id"].alias("id"),
-                        c["valor_nuevo"].alias("valor"))
-
-    best = j.withColumn("best", F.array_max(F.transform("cs", score))).filter(F.col("best.sim") >= threshold)
-    ranked = best.withColumn("rn", F.row_number().over(W.partitionBy("aviso_id").orderBy("orden")))
+    sets = long.select("pais", "campo", "kw").distinct()
+    often = cand.select("pais", "campo", F.explode("ckw").alias("w")).groupBy("pais", "campo", "w").agg(F.count("*").alias("df"))
+
+    def rarest(df, kw, keys):
+        words = df.select(*keys, kw, F.explode(kw).alias("w")).join(often, ["pais", "campo", "w"])
+        ranked = words.groupBy(*keys, kw).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+        most = (F.size(kw) - F.ceil(F.lit(threshold) * F.size(kw)) + 1).cast("int")
+        return ranked.select(*keys, kw, F.explode(F.slice("ws", F.lit(1), F.greatest(most, F.lit(1)))).alias("x")).select(*keys, kw, "x.w")
+
+    left = rarest(sets, "kw", ["pais", "campo"])
+    right = rarest(cand, "ckw", ["pais", "campo", "id", "valor_nuevo", "creado_en"])
+    pairs = left.join(right, ["pais", "campo", "w"]).groupBy("pais", "campo", "kw", "id").agg(F.first(F.struct("ckw", "creado_en", "valor_nuevo")).alias("c"))
+    inter = F.size(F.array_intersect("kw", "c.ckw"))
+    sim = (inter / (F.size("kw") + F.size("c.ckw") - inter)).alias("sim")
+    scored = pairs.select("pais", "campo", "kw", F.struct(sim, F.col("c.creado_en").alias("creado_en"), "id", F.col("c.valor_nuevo").alias("valor")).alias("b"))
+    best = scored.groupBy("pais", "campo", "kw").agg(F.max("b").alias("best")).filter(F.col("best.sim") >= threshold)
+    ranked = long.join(best, ["pais", "campo", "kw"]).withColumn("rn", F.row_number().over(W.partitionBy("aviso_id").orderBy("orden")))
     return ranked.filter(F.col("rn") <= per_notice).select("aviso_id", "campo", F.col("best.valor").alias("valor"), F.col("best.id").alias("correccion_id"),
                                                           F.round("best.sim", 4).alias("similitud"))

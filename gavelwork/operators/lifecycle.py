@@ -75,6 +75,6 @@ def edit_corrections(before, after, fields, documents):
     changed = j.filter((strip_all(F.col("valor_anterior")) != strip_all(F.col("valor_nuevo"))) & (strip_all(F.col("valor_nuevo")) != "")
                        & ~F.col("campo").isin(NOT_LEARNABLE))
     info = after.select("id", "pais", "documento_id")
-    ctx = documents.select("documento_id", F.left("texto_ocr", F.lit(4000)).alias("contexto"))
+    ctx = documents.select("documento_id", F.col("texto_ocr").alias("contexto"))
     out = changed.join(info, "id").join(ctx, "documento_id", "left")
     return out.withColumn("era_vacio", strip_all(F.col("valor_anterior")) == "")

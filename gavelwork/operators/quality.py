@@ -186,8 +186,8 @@ def ai_feedback(df):
         mean_of(F.col("confidence"), None, 4, 4).alias("confianza_media"))
 
 
-def message_top(df, col, k=10, width=160):
-    return top_values(df.select(F.left(F.col(col), F.lit(width)).alias("mensaje")), "mensaje", "n", k)
+def message_top(df, col, k=10):
+    return top_values(df.select(F.col(col).alias("mensaje")), "mensaje", "n", k)
 
 
 def histogram(df, *cols):
@@ -236,13 +236,11 @@ def problem_fields(df, k=10):
         F.count_distinct(key_alnum(F.col("valor_nuevo"))).alias("variantes")).orderBy(F.col("veces").desc(), "campo").limit(k)
 
 
-def duplicate_keys(df, k=20, ids=20):
-    """Repeated (docket, property) keys: their size and their smallest ids, at most ``ids`` of them listed."""
+def duplicate_keys(df):
+    """One row per notice of a repeated (docket, property) key, with the key's size."""
     key = F.concat_ws("|", F.coalesce("expediente", F.lit("")), F.coalesce("finca_matr", F.lit("")))
     d = df.select("id", key.alias("clave")).filter(F.length(F.regexp_replace("clave", r"^\|+|\|+$", "")) > 2)
-    sizes = d.groupBy("clave").agg(F.count("*").alias("n")).filter("n > 1").orderBy("clave").limit(k)
-    listed = top_k(d.join(F.broadcast(sizes), "clave"), ["clave"], ["id"], ids)
-    return listed.groupBy("clave").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    return d.join(d.groupBy("clave").agg(F.count("*").alias("n")).filter("n > 1"), "clave").select("clave", "n", "id")
 
 
 # ---- text statistics ----
@@ -272,9 +270,10 @@ STAT_PATTERNS = [
 ]
 
 
-def country_statistics(df, patterns=STAT_PATTERNS, k=40):
+def country_statistics(df, patterns=STAT_PATTERNS, k=None):
+    """Frequencies of every kind per country, all of them unless the caller asks for the ``k`` most frequent."""
     m = pattern_matches(df, patterns).groupBy("country", "kind", F.upper("value").alias("value")).agg(F.count("*").alias("n"))
-    return top_k(m, ["country", "kind"], [F.col("n").desc(), "value"], k)
+    return top_k(m, ["country", "kind"], [F.col("n").desc(), "value"], k) if k else m
 
 
 def word_frequency(df, k=100, keys=("country",)):

@@ -150,7 +150,7 @@ def validate(df, text="text", fields="campos"):
     applied = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in passed.items() if n != "structural_coherence"]))
     failed = F.array_compact(F.array(*[F.when(~p, F.lit(n)) for n, p in passed.items()]))
     d = d.withColumns({
-        "reglas_aplicadas": applied, "reglas_fallidas": failed, "cabecera": F.substring(F.col("_h")["header"], 1, 80),
+        "reglas_aplicadas": applied, "reglas_fallidas": failed, "cabecera": F.col("_h")["header"],
         "cabecera_valida": F.col("_r1"), "estructura_valida": F.col("_r5"),
         "campos_encontrados": F.array_sort(F.array_intersect(F.col("_f"), names_array(
             lk.STRONG_FIELDS + lk.MEDIUM_FIELDS + lk.WEAK_FIELDS))),

@@ -24,37 +24,35 @@ def split_pages(df, keys, text="text"):
     return out.select(*keys, F.col("p.pagina").cast("int").alias("pagina"), F.col("p.texto").alias("texto")).filter(F.trim("texto") != "")
 
 
-def cut_points(text, limit, overlap):
-    """(start, end) of overlapping chunks; cuts fall on a blank line, else a line break, in the overlap before the limit."""
-    n = len(text)
-    if n <= limit:
-        return [(0, n)]
-    spans, start = [], 0
-    while start < n:
-        end = min(start + limit, n)
-        if end < n:
-            for mark in ("\n\n", "\n"):
-                at = text.rfind(mark, start + limit - overlap, end)
-                if at > start:
-                    end = at
-                    break
-        spans.append((start, end))
-        if end >= n:
-            break
-        start = max(end - overlap, start + 1)
-    return spans
+def _last_before(part, mark):
+    """Characters of ``part`` before its last ``mark``, null if there is none."""
+    back = F.instr(F.reverse(part), mark)
+    return F.when(back > 0, F.length(part) - back - (len(mark) - 1))
 
 
-def chunk_texts(df, keys, text="text", limit=45_000, overlap=8_000):
-    """Texts cut into chunks of at most ``limit`` characters; each cut depends on the one before, so one text is folded at a time."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+def chunk_spans(text, limit, overlap):
+    """Array of (inicio, fin): a chunk ends at the last blank line, else line break, else nowhere special, of its last ``overlap`` characters.
+
+    Every chunk but the last reaches at least ``limit - overlap`` characters and the next begins ``overlap`` before its end, which bounds
+    the number of chunks.
+    """
+    n = F.length(text)
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(n / F.lit(max(1, limit - 2 * overlap))), F.lit(1)).cast("int"))
+
+    def chunk(spans, _):
+        last = F.coalesce(F.element_at(spans, -1)["fin"], F.lit(0))
+        begin = F.when(F.size(spans) == 0, 0).otherwise(F.greatest(last - overlap, F.element_at(spans, -1)["inicio"] + 1))
+        tail = F.substr(text, begin + (limit - overlap) + 1, F.lit(overlap))
+        cut = F.coalesce(_last_before(tail, "\n\n"), _last_before(tail, "\n"))
+        end = F.when(begin + limit >= n, n).otherwise(begin + F.coalesce(cut + (limit - overlap), F.lit(limit)))
+        return F.when((F.size(spans) > 0) & (last >= n), spans).otherwise(F.concat(spans, F.array(F.struct(begin.cast("int").alias("inicio"), end.cast("int").alias("fin")))))
 
-    @pandas_udf("array<struct<inicio:int,fin:int>>")
-    def spans(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"inicio": a, "fin": b} for a, b in cut_points(t or "", limit, overlap)])
+    return F.aggregate(steps, F.array().cast("array<struct<inicio:int,fin:int>>"), chunk)
 
-    d = df.select(*keys, text, F.posexplode(spans(text)).alias("n", "s"))
+
+def chunk_texts(df, keys, text="text", limit=45_000, overlap=8_000):
+    """Texts cut into chunks of at most ``limit`` characters, at a blank line or line break near the end of each."""
+    d = df.select(*keys, text, F.posexplode(chunk_spans(F.coalesce(F.col(text), F.lit("")), limit, overlap)).alias("n", "s"))
     return d.select(*keys, "n", F.col("s.inicio").alias("inicio"), F.substr(F.col(text), F.col("s.inicio") + 1, F.col("s.fin") - F.col("s.inicio")).alias("trozo"))
 
 

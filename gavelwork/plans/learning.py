@@ -24,11 +24,11 @@ e AS (SELECT DISTINCT 'etiqueta_nueva', campo, pais, trim(valor_nuevo), NULL::VA
   ((campo = 'categoria' AND upper(trim(valor_nuevo)) NOT IN ('CASA', 'APARTAMENTO', 'TERRENO', 'VEHICULO', 'MISCELANEO')) OR (campo = 'provincia' AND
    ((pais = 1 AND nn NOT IN ({PA})) OR (pais = 2 AND nn NOT IN ({CO})))))),
 w AS (SELECT 'campo_vacio_frecuente', campo, NULL::INT, NULL::VARCHAR, NULL::VARCHAR, count(*) AS n, least(0.9, 0.4 + count(*) / any_value(total)), NULL::VARCHAR FROM c WHERE era_vacio
-  GROUP BY campo HAVING count(*) >= 2 ORDER BY n DESC, campo LIMIT 8),
+  GROUP BY campo HAVING count(*) >= 2 ),
 u AS (SELECT * FROM r UNION ALL SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT * FROM w),
 d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY tipo, campo, pais, valor_sugerido ORDER BY confianza DESC, n, valor_referencia NULLS FIRST) = 1)
 SELECT tipo, campo, pais, valor_sugerido, valor_referencia, n, round(confianza::DOUBLE, 6) AS confianza, alternativas FROM d
-ORDER BY CASE WHEN pais = 1 THEN 0 ELSE 1 END, d.confianza DESC, tipo, campo, pais NULLS FIRST, valor_sugerido NULLS FIRST LIMIT 50""")
+ORDER BY CASE WHEN pais = 1 THEN 0 ELSE 1 END, d.confianza DESC, tipo, campo, pais NULLS FIRST, valor_sugerido NULLS FIRST""")
 def suggestions(spark, sf):
     c = v.correcciones(spark, sf)
     return ln.suggestions(c, c.count()).withColumn("confianza", F.round("confianza", 6))
@@ -201,13 +201,13 @@ def alias_normalize(spark, sf):
     return out.select("id", F.regexp_replace("normalizado", " +", " ").alias("normalizado"))
 
 
-KW = "list_distinct(regexp_extract_all(upper(left({0}, {1})), '[A-ZÁÉÍÓÚÑa-záéíóúñ]{{4,}}'))"
+KW = "list_distinct(regexp_extract_all(upper({0}), '[A-ZÁÉÍÓÚÑa-záéíóúñ]{{4,}}'))"
 
 
 @query("joi9_apply_learning", views=("avisos_texto", "correcciones"), oracle=f"""
-WITH l AS (SELECT * FROM correcciones QUALIFY row_number() OVER (PARTITION BY pais ORDER BY creado_en DESC, id DESC) <= 500),
-c AS (SELECT pais, campo, id, valor_nuevo, creado_en, {KW.format('contexto', 2000)} AS kw FROM l),
-n AS (SELECT id AS aviso_id, pais, {KW.format('text', 3000)} AS kw, unnest([CASE WHEN id % 2 = 0 THEN 'provincia' END, CASE WHEN id % 3 = 0 THEN 'lugar' END, CASE WHEN id % 5 = 0 THEN 'categoria' END]) AS campo FROM avisos_texto),
+WITH l AS (SELECT * FROM correcciones),
+c AS (SELECT pais, campo, id, valor_nuevo, creado_en, {KW.format('contexto')} AS kw FROM l),
+n AS (SELECT id AS aviso_id, pais, {KW.format('text')} AS kw, unnest([CASE WHEN id % 2 = 0 THEN 'provincia' END, CASE WHEN id % 3 = 0 THEN 'lugar' END, CASE WHEN id % 5 = 0 THEN 'categoria' END]) AS campo FROM avisos_texto),
 p AS (SELECT aviso_id, n.campo, c.id AS correccion_id, valor_nuevo AS valor, creado_en, len(list_intersect(n.kw, c.kw))::DOUBLE AS i, len(n.kw) + len(c.kw) AS s FROM n JOIN c ON n.pais = c.pais AND n.campo = c.campo),
 q AS (SELECT *, i / (s - i) AS sim FROM p)
 SELECT aviso_id, campo, valor, correccion_id, round(sim, 4) AS similitud FROM q WHERE sim >= 0.15

@@ -8,9 +8,8 @@ def table(spark, sf_dir, name):
 
 
 def balanced(df):
-    """Spread rows over all cores when the input has fewer files than cores; large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Rows dealt evenly for per-row text work: adaptive execution sizes the parts, whatever the files were."""
+    return df.hint("rebalance")
 
 
 def texts(spark, sf_dir):
