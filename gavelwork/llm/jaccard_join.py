@@ -220,9 +220,10 @@ def _compare(width, percent, frequent):
     return run
 
 
-def _compared(pairs, docs, width, percent, frequent):
-    """(a, b, na, nb, both, own) of pairs (a, b), from whole texts; many pairs may share b."""
+def _compared(pairs, docs, width, percent, frequent, hint="auto"):
+    """(a, b, na, nb, both, own) of pairs (a, b), from whole texts; many pairs may share b. ``hint``: how the texts are joined."""
     text = docs.select(F.col("doc_id").alias("d"), "text")
+    text = text if hint == "auto" else text.hint(hint)
     left = pairs.join(text, F.col("a") == F.col("d")).select("a", "b", "text")
     right = pairs.select("b").distinct().join(text, F.col("b") == F.col("d")).select(F.col("b").alias("h"), F.col("text").alias("hub_text"))
     joined = left.join(right, F.col("b") == F.col("h")).select("a", "b", "text", "hub_text")
@@ -275,11 +276,13 @@ def _still_open(seen, roots, percent):
     g = stored(g, "placed")
     mixed = stored(g.groupBy("b").agg(F.min("ra").alias("lo"), F.max("ra").alias("hi")).where("lo <> hi").select("b"), "mixed")
     g = g.join(mixed, "b", "left_semi")
-    # sizes that a hub's documents have: few, and no more than a partner may have of bands
-    sizes = g.groupBy("b", "band").agg(F.min("na").alias("lo")).select(F.col("b").alias("hub"), F.col("band").alias("theirs"), "lo")
+    # per band of sizes that documents of other components have: what they share with the hub at most, so what they must share beside it
+    sizes = g.groupBy("b", "band").agg(F.min("na").alias("lo"), F.max("both").alias("share"), F.min("ra").alias("r0"), F.max("ra").alias("r1"))
+    sizes = sizes.select(F.col("b").alias("hub"), F.col("band").alias("t"), "lo", "share", "r0", "r1")
     fits = g.withColumn("theirs", F.explode(F.sequence(_band(F.ceil(F.col("na") * percent / 100)), _band(F.floor(F.col("na") * 100 / percent)))))
-    fits = fits.join(sizes.withColumnRenamed("theirs", "t"), (F.col("b") == F.col("hub")) & (F.col("theirs") == F.col("t")))
-    need = F.col("na") - F.ceil(percent * (F.col("na") + F.greatest("lo", F.ceil(F.col("na") * percent / 100))) / (100 + percent)) + 1
+    fits = fits.join(sizes, (F.col("b") == F.col("hub")) & (F.col("theirs") == F.col("t"))).where("r0 <> ra OR r1 <> ra")
+    overlap = F.ceil(percent * (F.col("na") + F.greatest("lo", F.ceil(F.col("na") * percent / 100))) / (100 + percent))
+    need = F.col("na") - F.col("both") - overlap + F.least("both", "share") + 1
     rows = fits.where(need > 0).select("b", "band", "theirs", "a", "ra", "na", F.explode(F.slice("own", F.lit(1), need.cast("int"))).alias("token"))
     sig = F.xxhash64("b", F.least("band", "theirs"), F.greatest("band", "theirs"), "token")
     rows = stored(rows.select(sig.alias("sig"), F.col("a").alias("doc"), F.col("ra").alias("root"), F.col("na").alias("n")), "own")
@@ -318,7 +321,8 @@ def near_components(docs, width=4, percent=85, rounds=3):
     similar = lambda t: t.where((F.col("both") > 0) & (100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))).select("a", "b")
     pairs, links = asked, None
     for left in reversed(range(rounds)):
-        seen = _compared(pairs, docs, width, percent, frequent)
+        # the first round's pairs grow with the input: one plan at every size
+        seen = _compared(pairs, docs, width, percent, frequent, "merge" if pairs is asked else "auto")
         links = similar(seen) if links is None else links.unionByName(similar(seen))
         roots = stored(components(links), "components")
         members, direct = _still_open(seen, roots, percent)
