@@ -16,12 +16,16 @@ def slice_at_docket(text, docket, before=2000, after=4000):
 
 
 def split_pages(df, keys, text="text"):
-    """One row per page of a text with ``--- PÁGINA N ---`` markers: page number and text."""
+    """One row per page of a text with ``--- PÁGINA N ---`` markers: page number, text, and its place (inicio, fin) in the whole text."""
     marker = r"\n?--- PÁGINA \d+ ---\n?"
     numbers = F.concat(F.array(F.lit("1")), F.regexp_extract_all(F.col(text), F.lit(r"--- PÁGINA (\d+) ---"), 1))
-    pages = F.arrays_zip(F.split(F.col(text), marker).alias("texto"), numbers.alias("pagina"))
-    out = df.select(*keys, F.explode(pages).alias("p"))
-    return out.select(*keys, F.col("p.pagina").cast("int").alias("pagina"), F.col("p.texto").alias("texto")).filter(F.trim("texto") != "")
+    d = df.select(*keys, F.split(F.col(text), marker).alias("_parts"), F.regexp_extract_all(F.col(text), F.lit(f"({marker})"), 1).alias("_marks"), numbers.alias("_numbers"))
+    steps = F.transform("_parts", lambda p, i: F.length(p) + F.coalesce(F.length(F.get("_marks", i)), F.lit(0)))
+    starts = F.aggregate(steps, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    pages = F.arrays_zip(F.col("_parts").alias("texto"), F.col("_numbers").alias("pagina"), F.slice(starts, F.lit(1), F.size("_parts")).alias("inicio"))
+    out = d.select(*keys, F.explode(pages).alias("p"))
+    out = out.select(*keys, F.col("p.pagina").cast("int").alias("pagina"), F.col("p.texto").alias("texto"), "p.inicio")
+    return out.withColumn("fin", F.col("inicio") + F.length("texto")).filter(F.trim("texto") != "")
 
 
 def _last_before(part, mark):

@@ -180,10 +180,11 @@ def chunks(spark, sf):
 
 
 @query("udtf1_split_pages", oracle="""
-SELECT page_id, unnest(range(1, 3))::INT AS pagina, unnest([length(url), length(html)])::INT AS largo FROM pages""")
+WITH p AS (SELECT page_id, url || chr(10) || '--- PÁGINA 2 ---' || chr(10) || html AS text, url, html FROM pages)
+SELECT page_id, 1 AS pagina, 0 AS inicio, length(url)::INT AS fin FROM p UNION ALL SELECT page_id, 2, (length(text) - length(html))::INT, length(text)::INT FROM p""")
 def split_pages(spark, sf):
     p = v.table(spark, sf, "pages").select("page_id", F.concat("url", F.lit("\n--- PÁGINA 2 ---\n"), "html").alias("text"))
-    return splitting.split_pages(p, ["page_id"]).select("page_id", "pagina", F.length("texto").alias("largo"))
+    return splitting.split_pages(p, ["page_id"]).select("page_id", "pagina", "inicio", "fin")
 
 
 @query("win10_profile_columns", views=("palabras",), oracle="""
