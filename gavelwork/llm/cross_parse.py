@@ -143,13 +143,21 @@ class Parser:
 _PARSERS = {}
 
 
+def _parser(key, texts):
+    """The parser of these texts; a worker keeps one at a time."""
+    if key not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[key] = Parser(texts)
+    return _PARSERS[key]
+
+
 def _predict(texts, keep):
     """Columns ``keep`` and the prediction for every row; the text is the last column."""
     schema = pa.schema([*keep, ("lang_pred", pa.string()), ("score", pa.float64()), ("n_phrases", pa.int64()), ("n_symbols", pa.int64())])
     key = tuple(sorted(texts.items()))
 
     def run(batches):
-        parser = _PARSERS.get(key) or _PARSERS.setdefault(key, Parser(texts))
+        parser = _parser(key, texts)
         for b in batches:
             codes = [parser.symbols.codes(t.as_py() or "") for t in b.column(b.num_columns - 1)]
             counts = parser.phrases(codes)

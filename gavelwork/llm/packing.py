@@ -21,7 +21,7 @@ from gavelwork.llm.common import numbered, small_batches
 
 CAPACITY = 1024
 END = 2
-CACHED = 400_000
+CACHED = 150_000
 TWO_BLANKS = re.compile(r"\s\s")
 
 
