@@ -29,6 +29,13 @@ def located(df):
     return df.withColumns({"_pid": F.shiftright(at, 33).cast("int"), "_row": at.bitwiseAND((1 << 33) - 1)})
 
 
+def one_row_per_id(docs, id_col="doc_id"):
+    """``docs`` with one row of every id (rows without one stay). Only rows whose id repeats are regrouped."""
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    twice, same = stored(twice, "twice"), F.col(id_col) == F.col("_id")
+    return docs.join(twice, same, "left_anti").unionByName(docs.join(twice, same, "left_semi").dropDuplicates([id_col]))
+
+
 def _counter(key, out):
     def run(batches):
         seen = {}

@@ -40,7 +40,7 @@ def labelled_text(docs):
     ids = stored(least.withColumn("r", rank).where(F.col("r") <= SAMPLE).select(F.col("lang").alias("l"), F.col("o.id").alias("id"), "r"), "sample")
     rows = fit.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
     out = {}
-    for r in sorted(rows.select("lang", "r", F.substring("text", 1, 8000).alias("t")).collect()):
+    for r in sorted(rows.groupBy("lang", "r").agg(F.min(F.substring("text", 1, 8000)).alias("t")).collect()):
         out[r["lang"]] = (out.get(r["lang"], "") + r["t"] + "\\n")[:CHARS]
     return out
 

@@ -83,7 +83,12 @@ def min_cost_flow(supply, quota, epochs=2):
         for a, i in path:
             graph[a][i][1] -= push
             graph[graph[a][i][0]][graph[a][i][3]][1] += push
-    return {(p, s): back_edge for p in supply for s in p for back_edge in [next(graph[at[("s", s)]][e[3]][1] for e in graph[at[("p", p)]] if e[0] == at[("s", s)])]}
+    out = {}
+    for p in supply:
+        for b, _, _, back_at in graph[at[("p", p)]]:
+            if names[b][0] == "s":
+                out[(p, names[b][1])] = graph[b][back_at][1]  # what the reverse edge could take back
+    return out
 
 
 def _select(docs, quota):

@@ -15,7 +15,7 @@ into its pairs, yet no link between components is missed.
 
 The list of frequent tokens is the ``FREQUENT`` most frequent by counts over all documents (of tokens that repeat within some ``CHUNK``
 tokens); it only orders tokens, results do not depend on it. Null and empty texts have no tokens and link with nothing; a text of fewer
-words than n is one token; repeated rows are equal sets; null ids get the component of their set and cannot name one; an empty table
+words than n is one token; repeated rows are equal sets, and an id is taken to name one text; null ids get the component of their set and cannot name one; an empty table
 gives an empty result. Tokens are 64-bit hashes.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import small_batches, stored
+from gavelwork.llm.common import one_row_per_id, small_batches, stored
 from gavelwork.llm.components import components
 
 FREQUENT = 500_000
@@ -313,7 +313,7 @@ def near_components(docs, width=4, percent=85, rounds=3):
     sets = stored(docs.mapInArrow(_describe(width, percent, frequent), "doc_id long, n long, key binary, plain boolean, sigs array<long>"), "sets")
     equal = stored(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "equal")
     reps = sets.where("n > 0").join(equal.select("rep").where("rep IS NOT NULL").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps, "reps")
+    reps, docs = stored(reps, "reps"), one_row_per_id(docs)
     group = Window.partitionBy("sig")
     sigs = reps.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"), "n")
     first = stored(sigs.withColumns({"hub": F.min("doc").over(group), "m": F.count("*").over(group)}).where("m > 1"), "members")
@@ -344,7 +344,4 @@ def one_of_each(docs, width=5, percent=80):
     """``docs`` with one row of every component (that of the smallest id) and of every id; rows without words or id stay."""
     groups = near_components(docs, width, percent)
     gone = stored(groups.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    twice = stored(kept.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "twice")
-    same = F.col("doc_id") == F.col("_id")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    return one_row_per_id(docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti"))

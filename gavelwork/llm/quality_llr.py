@@ -45,11 +45,8 @@ def log_ratios(docs, trusted, text="text"):
     """List of ``BUCKETS`` smoothed log ratios."""
     rows = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
     cells = with_words(rows, text).select(F.col("trusted_id").isNotNull().alias("t"), F.explode(_grams(F.col("words"))).alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count("*").alias("raw"), F.count_if("t").alias("good"))
-    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    found = stored(counts, "cells")
+    found = stored(cells.groupBy("cell").agg(F.count("*").alias("raw"), F.count_if("t").alias("good")), "cells")
     n = found.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
-    del total
     raw = F.col("raw") / F.lit(float(n["raw"] or 1))
     rows = found.select("cell", F.log((F.col("good") + PRIOR * raw) / (n["good"] + PRIOR) / raw).alias("w")).collect()
     out = [0.0] * BUCKETS
