@@ -30,7 +30,7 @@ from gavelwork.llm.common import one_row_per_id, small_batches, stored
 from gavelwork.llm.components import components
 
 FREQUENT = 500_000
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 BLANK = np.zeros(256, bool)
@@ -50,7 +50,7 @@ _POWERS = {}
 def _powers(n):
     have = _POWERS.get("p")
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         have = _POWERS["p"] = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, m, np.uint64)))) for m in (MULTIPLIER, INVERSE))
     return have
 
@@ -75,7 +75,7 @@ def token_sets(texts, width):
         b = t.encode("utf-8", "surrogatepass").lower() if t else b""
         held.append(b)
         size += len(b) + 1
-        if size > 1_000_000:
+        if size > 250_000:
             out += _token_sets(held, width)
             held, size = [], 0
     return out + _token_sets(held, width)
