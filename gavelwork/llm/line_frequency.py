@@ -5,7 +5,9 @@ pages of the host decide, so a host's own menu goes whatever its size; a line mu
 three pages every line would exceed any ratio. At most (lines of a page / ratio) lines of a host can exceed it, which bounds the table of
 boilerplate lines per host; a host's pages are never gathered.
 
-Null texts stay null, a null host is a host of its own, repeated rows are pages of their own, an empty table gives an empty result.
+Null texts stay null, a null host is a host of its own, an empty table gives an empty result. Repeated rows are pages of their own as long
+as ``copies`` is set; without it a group of exact copies counts once, in a line's pages and in the host's, and so cannot make its own lines
+boilerplate.
 """
 
 from pyspark.sql import functions as F
@@ -24,19 +26,21 @@ def _key(line):
     return F.struct(F.xxhash64(_trimmed(line)).alias("a"), F.hash(_trimmed(line)).alias("b"))
 
 
-def boilerplate(docs, host, text="text", ratio=0.1, least=10):
+def boilerplate(docs, host, text="text", ratio=0.1, least=10, copies=True):
     """host, array of the keys of its boilerplate lines."""
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: _trimmed(x) != "")
-    keys = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(lines, _key))).alias("k"))
-    on = keys.groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    pages = stored(docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("pages")), "hosts")
+    page = F.struct(F.xxhash64(text).alias("c"), F.hash(text).alias("d")).alias("page")
+    keys = docs.select(F.col(host).alias("host"), *([] if copies else [page]), F.explode(F.array_distinct(F.transform(lines, _key))).alias("k"))
+    on = (keys if copies else keys.distinct()).groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    every = docs.select(F.col(host).alias("h"), *([] if copies else [page]))
+    pages = stored((every if copies else every.distinct()).groupBy("h").agg(F.count("*").alias("pages")), "hosts")
     often = on.join(pages, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("pages"))
     return stored(often.groupBy(F.col("host").alias("h")).agg(F.collect_set("k").alias("often")), "boilerplate")
 
 
-def cleaned(docs, host="source", text="text", ratio=0.1, least=10):
-    """``docs`` with ``text`` cleaned, n_lines and n_removed."""
-    often = boilerplate(docs, host, text, ratio, least)
+def cleaned(docs, host="source", text="text", ratio=0.1, least=10, copies=True):
+    """``docs`` with ``text`` cleaned, n_lines and n_removed. Without ``copies``, equal texts of a host are counted as one page."""
+    often = boilerplate(docs, host, text, ratio, least, copies)
     rows = docs.join(often, F.col(host).eqNullSafe(F.col("h")), "left").drop("h")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("often"), _key(x)))

@@ -32,3 +32,15 @@ def test_stages_take_empty_tables_and_nulls(spark, docs):
     for _, stage in cp.STAGES:
         assert stage(spark, rows.limit(0), "").count() == 0
     assert cp.near_duplicates(spark, rows, "").count() == 5
+
+
+def test_copies_leave_one_document_with_its_text(spark, docs):
+    text = "\n".join(f"copied {w} line of one and the same page" for w in ("first", "second", "third"))
+    rows = docs([(i, text if i < 20 else f"page {i * 7919} has words{i} of{i} its{i} own{i}\nand line{i} number{i} two{i} here{i}", None, "s") for i in range(60)])
+    for name, stage in cp.STAGES[:-1]:
+        rows = cp.stored(stage(spark, rows, ""), "test")
+        if name == "ngram jaccard join":
+            assert [r["text"] for r in rows.collect() if r["doc_id"] < 20] == [text]
+            assert rows.count() == 41
+    packed = {r["doc_id"] for r in cp.STAGES[-1][1](spark, rows, "").select("doc_id").collect()}
+    assert len([d for d in packed if d < 20]) == 1 and len(packed) == 41
