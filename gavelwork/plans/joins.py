@@ -86,7 +86,7 @@ def matched_keys(spark, sf):
 @query("str_n11_text_similarity")
 def text_similarity(spark, sf):
     d = duplicate_input(spark, sf)
-    m = dedup.matched_keys(dedup.duplicate_levels(d).filter("matched_id IS NOT NULL"), d)
+    m = dedup.matched_keys(dedup.near_levels(d).filter("matched_id IS NOT NULL"), d)
     return dedup.near_text(v.balanced(m)).select("id", "matched_id", "nivel", "similarity")
 
 

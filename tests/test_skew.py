@@ -152,3 +152,33 @@ def test_similarity_of_matched_pairs(spark):
     for i, (a, b) in enumerate(pairs):
         want = round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 4) if a and b else 0.0
         assert got[i] == (want, "DUPLICATED" if want > 0.9 else "LIKELY_DUPLICATED")
+
+
+def test_near_texts_match_any_earlier_notice(spark):
+    import difflib
+    cols = "id long, expediente string, finca string, base string, bbox string, text string"
+    three = [(1, "E", "F1", None, None, "AVISO DE REMATE de la finca inscrita al folio."), (2, "E", "F2", None, None, "otra cosa"), (3, "E", "F3", None, None, "AVISO DE REMATE de la finca inscrita al folio")]
+    r = random.Random(3)
+    bodies = [" ".join(r.choice(["remate", "finca", "juzgado", "folio", "base", "panama", "venta"]) + str(r.randint(0, 9)) for _ in range(n)) for n in (1, 2, 4, 6, 9, 30)]
+
+    def changed(t):
+        for _ in range(r.randint(0, max(1, len(t) // 9))):
+            i = r.randrange(len(t))
+            t = t[:i] + r.choice(["", "x", t[i] + "y", t[i].upper()]) + t[i + 1:]
+        return t
+    many = [row[:5] + (changed(r.choice(bodies)) if i % 20 else r.choice(["", None]),) for i, row in enumerate(rows(240, 5))]
+    for data in (three, many):
+        want = {}
+        for k, cur in enumerate(data):
+            want[cur[0]] = ("UNIQUE", None)
+            for old in data[:k]:
+                same = sum(1 for a, b in zip(cur[1:5], old[1:5]) if a is not None and a == b)
+                near = same and cur[5] and old[5] and difflib.SequenceMatcher(None, cur[5].lower(), old[5].lower()).ratio() > 0.9
+                if same >= 2 or near:
+                    want[cur[0]] = ("DUPLICATED", old[0])
+                    break
+                if same:
+                    want[cur[0]] = ("LIKELY_DUPLICATED", old[0])
+        for direct in (0, 64):
+            got = {x["id"]: (x["nivel"], x["matched_id"]) for x in dedup.near_levels(spark.createDataFrame(data, cols), width=20, direct=direct).collect()}
+            assert {i: (g, want[i]) for i, g in got.items() if g != want[i]} == {} and len(got) == len(want)
