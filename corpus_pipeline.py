@@ -26,8 +26,9 @@ def lines(spark, docs, sf_dir):
     """Drops boilerplate lines of each source; ``n_chars`` follows the text.
 
     Near duplicates are still in ``docs``: equal texts count as one page, else a large group of copies would lose all of its lines here.
+    Sources of a few pages are cleaned too: only what stands on fewer than three pages is never boilerplate.
     """
-    out = line_frequency.cleaned(docs, copies=False)
+    out = line_frequency.cleaned(docs, least=3, copies=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -44,3 +44,10 @@ def test_copies_leave_one_document_with_its_text(spark, docs):
             assert rows.count() == 41
     packed = {r["doc_id"] for r in cp.STAGES[-1][1](spark, rows, "").select("doc_id").collect()}
     assert len([d for d in packed if d < 20]) == 1 and len(packed) == 41
+
+
+def test_small_sources_lose_their_footers(spark, docs):
+    rows = [(i, f"own text {i}\nfooter", None, "nine") for i in range(9)] + [(100 + i, f"own text {i}" + "\nshared" * (i < 9), None, "fifty") for i in range(50)]
+    rows += [(200 + i, f"own text {i}\nboth", None, "two") for i in range(2)]
+    got = {r["doc_id"]: r["text"] for r in cp.lines(spark, docs(rows), "").collect()}
+    assert got == {d: t if source == "two" else t.split("\n")[0] for d, t, _, source in rows}
