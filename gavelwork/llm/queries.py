@@ -1,9 +1,10 @@
 """Registered queries of the corpus operators, each over its whole table, with the SQL that checks it where SQL can say it."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gavelwork.llm import cross_parse, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, repeated_bytes, topk_blocks, warc
+from gavelwork.llm import cross_parse, fill_middle, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, repeated_bytes, token_counts, topk_blocks, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -104,6 +105,31 @@ def op10(spark, sf_dir):
     return flow_mix.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+  list_transform(range(4), lambda k: CAST('0x' || substr(hex, CAST(8 * k + 1 AS INT), 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT doc_id, t, units, CAST(len(units) AS BIGINT) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS one, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS rest FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(one) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || one || '<S>' || rest || '<M>' || mid ELSE '<S>' || rest || '<P>' || one || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+@query("op12_fill_in_middle", OP12)
+def op12(spark, sf_dir):
+    out = fill_middle.transformed(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query("op13_token_counts")
+def op13(spark, sf_dir):
+    out = token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
