@@ -11,10 +11,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def stored(df, name):
+def stored(df, name, **options):
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, has a known size."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

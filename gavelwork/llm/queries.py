@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gavelwork.llm import cross_parse, fill_middle, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, repeated_bytes, token_counts, topk_blocks, warc
+from gavelwork.llm import cross_parse, fill_middle, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, repeated_bytes, token_align, token_counts, topk_blocks, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -105,6 +105,12 @@ def op10(spark, sf_dir):
     return flow_mix.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    return token_align.aligned(table(spark, sf_dir, "documents"), *paths).select("doc_id", *token_align.MEASURES, "groups_sha256")
+
+
 OP12 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
 u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,

@@ -66,6 +66,12 @@ class Lengths:
         self._add(counts, batch, owners)
         return counts
 
+    def ids(self, text):
+        """Ids of one text."""
+        cuts = [*self.parts(text)]
+        found = self.model.encode([ANCHOR + text[a:b] if a else text[:b] for a, b in cuts], num_threads=1)
+        return [i for (a, _), ids in zip(cuts, found) for i in (ids[self.anchor :] if a else ids)]
+
     def _add(self, counts, batch, owners):
         for (k, less), ids in zip(owners, self.model.encode(batch, num_threads=1)):
             counts[k] += len(ids) - less

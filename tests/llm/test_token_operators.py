@@ -1,5 +1,6 @@
 """Token counts, fill-in-middle and alignment against brute force: nulls, empty and long texts, repeated rows, clashing names, empty tables."""
 
+import collections
 import hashlib
 import random
 import re
@@ -9,8 +10,9 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from gavelwork.llm import fill_middle, token_counts
+from gavelwork.llm import byte_bpe, fill_middle, token_align, token_counts
 
+PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -95,3 +97,61 @@ def test_cache_forgets_the_older_generation(monkeypatch):
         x, y = sorted(((10**9 + 7) % (len(u) + 1), 5 % (len(u) + 1)))
         assert (n, a, b) == (len(u), len("".join(u[:x])), len("".join(u[:y])))
     assert sum(map(len, (*cache.young, *cache.old))) < 4000 + 2 * fill_middle.MOST
+
+
+def test_both_encoders_split_low_characters_alike():
+    both = byte_bpe.ByteBpe(*PATHS, special=False)
+    for c in map(chr, range(0x240)):
+        for t in (f"a{c}b {c}{c} 1{c}2 {c}", f"{c} x{c}", f"  {c}\n{c}9"):
+            assert both.ranked.encode_ordinary(t) == both.whole.encode(t, add_special_tokens=False).ids, hex(ord(c))
+
+
+def measured(rows):
+    """Per row (n_a, n_b, n_groups, n_links, n_best, count_sum, groups) by comparing all tokens of a text."""
+    both = token_align.Aligner(*PATHS, PIECES)
+    kept = []
+    for _, t in rows:
+        ids = both.ids(t, t.encode()) if t else None
+        if ids is None:
+            kept.append(None)
+            continue
+        spans = []
+        for tokens, table in zip(ids, (both.bytes_a, both.bytes_b)):
+            at, out = 0, []
+            for i in tokens.tolist():
+                out.append((at, at := at + len(table[i]), i))
+            spans.append(out)
+        links = [(x[2], y[2]) for x in spans[0] for y in spans[1] if x[0] < y[1] and y[0] < x[1]]
+        cuts = sorted({x[1] for x in spans[0]} & {y[1] for y in spans[1]})
+        inside = lambda side, a, b: ",".join(str(x[2]) for x in side if a < x[1] <= b)
+        kept.append((len(ids[0]), len(ids[1]), links, ";".join(f"{inside(spans[0], a, b)}|{inside(spans[1], a, b)}" for a, b in zip([0, *cuts], cuts)), len(cuts)))
+    count = collections.Counter(p for k in kept if k for p in k[2])
+    most = collections.defaultdict(int)
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    none = (0, 0, 0, 0, 0, 0, "")
+    return [(k[0], k[1], k[4], len(k[2]), sum(count[p] == most[p[1]] for p in k[2]), sum(count[p] for p in k[2]), k[3]) if k else none for k in kept]
+
+
+@pytest.mark.parametrize("head", [200_000, 40, 0])
+def test_alignment_equals_all_overlaps(docs, head):
+    """A small head sends most pairs through the shuffle, none sends all of them."""
+    rows = [(d, (t or "")[:900] if t is not None else None) for d, t in texts(6, 25)]
+    rows += [(1000 + i, "hot copy, viele Male") for i in range(60)]
+    table = docs(rows).withColumns({"key": F.lit("own"), "id": F.lit("own"), "n_a": F.lit("old")}).repartition(4)
+    got = token_align.aligned(table, *PATHS, PIECES, keep_groups=True, head=head).collect()
+    want = [(str(d), *m[:6], hashlib.sha256(m[6].encode()).hexdigest() if m[0] else "", m[6]) for (d, _), m in zip(rows, measured(rows))]
+    assert sorted((str(r["doc_id"]), *(r[c] for c in token_align.MEASURES), r["groups_sha256"], r["groups"]) for r in got) == sorted(want)
+    assert {r["key"] for r in got} == {r["id"] for r in got} == {"own"}
+
+
+def test_alignment_of_an_empty_table(docs):
+    assert token_align.aligned(docs([]).limit(0), *PATHS, PIECES).count() == 0
+    only = token_align.aligned(docs([(1, None), (2, ""), (3, "a▁b")]), *PATHS, PIECES).collect()
+    assert sorted((r["doc_id"], r["n_a"], r["count_sum"], r["groups_sha256"]) for r in only) == [(1, 0, 0, ""), (2, 0, 0, ""), (3, 0, 0, "")]
+
+
+def test_long_texts_align_as_whole_texts():
+    both = token_align.Aligner(*PATHS, PIECES)
+    for t in (t for _, t in texts(8, 6) if t):
+        assert both.b.ids(t) == both.b.model.encode(t)
