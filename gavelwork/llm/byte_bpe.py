@@ -6,6 +6,7 @@ the tokenizer itself.
 """
 
 import base64
+import json
 
 import numpy as np
 
@@ -17,14 +18,23 @@ class ByteBpe:
     def __init__(self, tokenizer_path, ranks_path, special=True):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer_path)
-        self.whole.encode_special_tokens = not special
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()] if special else []
+        self.path, self.special_counts, self._whole = tokenizer_path, special, None
+        with open(tokenizer_path) as f:
+            self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]] if special else []
         with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @property
+    def whole(self):
+        """The tokenizer itself, read when a text needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = not self.special_counts
+        return self._whole
 
     def ids(self, text, raw=None):
         """Ids of ``text`` as 32-bit numbers; ``raw``: its UTF-8 bytes, if at hand."""

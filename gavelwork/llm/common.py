@@ -1,7 +1,10 @@
 """Helpers shared by the corpus operators: tables between jobs, gapless numbering, packed numpy columns."""
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,9 +21,51 @@ def stored(df, name, **options):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark, rows=2000):
-    """Whole texts go to Python in batches of this many rows, so that a worker's memory follows the row count, not the partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark):
+    """Texts go to Python in batches of ``BATCH_BYTES`` at most. The setting stays in the session: plans are made after an operator returns.
+
+    It bounds buffers only; results are the same under any setting.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def released(batches):
+    """The batches; after the last one the worker gives freed memory back, since it serves other stages next."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def sliced(batches, size=BATCH_BYTES):
+    """The batches in slices of about ``size`` bytes of text, so that what a worker makes of a slice is bounded whatever the rows weigh."""
+    for b in released(batches):
+        weight = np.ones(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                weight += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, at = np.cumsum(weight), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+_RESIDENT = {}
+
+
+def resident(key, make):
+    """``make()``, kept in the worker as long as no other operator's object takes its place: workers serve many stages."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
 
 
 def located(df):
@@ -29,11 +74,21 @@ def located(df):
     return df.withColumns({"_pid": F.shiftright(at, 33).cast("int"), "_row": at.bitwiseAND((1 << 33) - 1)})
 
 
-def one_row_per_id(docs, id_col="doc_id"):
-    """``docs`` with one row of every id (rows without one stay). Only rows whose id repeats are regrouped."""
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
-    twice, same = stored(twice, "twice"), F.col(id_col) == F.col("_id")
-    return docs.join(twice, same, "left_anti").unionByName(docs.join(twice, same, "left_semi").dropDuplicates([id_col]))
+def text_hash(text="text"):
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def repeated_ids(docs, id_col="doc_id"):
+    """Stored table ``_id`` of the ids that several rows have: usually empty, so that later joins with it are cheap."""
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
+    return stored(twice.select("_id"), "twice")
+
+
+def one_row_per(docs, keys, twice):
+    """``docs`` with one row of every combination of ``keys``; only rows whose first key is in ``twice`` are regrouped."""
+    same = F.col(keys[0]) == F.col("_id")
+    return docs.join(twice, same, "left_anti").unionByName(docs.join(twice, same, "left_semi").dropDuplicates(keys))
 
 
 def _counter(key, out):

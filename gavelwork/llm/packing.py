@@ -10,87 +10,36 @@ A document longer than the capacity is cut into full pieces after a shorter firs
 its end id. Repeated rows are packed as rows; an empty table gives an empty result.
 """
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import numbered, small_batches
+from gavelwork.llm.byte_bpe import ByteBpe
+from gavelwork.llm.common import bounded_batches, numbered, resident, sliced
 
 CAPACITY = 1024
 END = 2
-CACHED = 150_000
-TWO_BLANKS = re.compile(r"\s\s")
-
-
-class Ids(dict):
-    """Ids of space-led words as little-endian 32-bit bytes, kept while there is room.
-
-    Every pre-token of the byte-level pattern begins at a blank that stands alone between two words, so words can be encoded one by one.
-    Words of plain Latin letters go through the rank table of the same vocabulary, which is quicker for single words; others, and texts
-    with adjacent blanks or the special token's string, through the tokenizer itself.
-    """
-
-    def __init__(self, tokenizer_path, ranks_path):
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def exact(self, text):
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def of(self, word):
-        plain = word.isascii() or max(word) < "ɐ"
-        return np.array(self.ranked.encode_ordinary(word), dtype="<u4").tobytes() if plain else self.exact(word)
-
-    def __missing__(self, word):
-        if len(self) >= CACHED:
-            self.clear()
-        got = self[word] = self.of(" " + word)
-        return got
-
-    def encode(self, text):
-        if not text:
-            return b""
-        if TWO_BLANKS.search(text) or any(s in text for s in self.special):
-            return self.exact(text)
-        first, *words = text.split(" ")
-        get = self.__getitem__
-        return (self.of(first) if first else b"") + b"".join([get(w) for w in words])
-
-
-_IDS = {}
 
 
 def pieces_of(ids, capacity=CAPACITY, end=END):
-    """[(start, bytes)] of one document's ids with the end id: a shorter first piece, then full ones."""
-    ids += np.array([end], dtype="<u4").tobytes()
-    n = len(ids) // 4
-    first = n % capacity or capacity
-    cuts = [0, *range(first, n + 1, capacity)]
-    return [(a, ids[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
+    """[(start, ids)] of one document's ids with the end id: a shorter first piece, then full ones."""
+    ids = np.append(ids, np.uint32(end)).astype("<u4")
+    cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+    return [(a, ids[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def _tokenize(paths, capacity):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        ids = _IDS.get(paths) or _IDS.setdefault(paths, Ids(*paths))
-        for b in batches:
+        vocabulary = resident(("packing", paths), lambda: ByteBpe(*paths))
+        for b in sliced(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for k, (start, x) in enumerate(pieces_of(ids.encode(text.as_py()), capacity)):
-                    rows.append((doc, k, start, len(x) // 4, zlib.crc32(x)))
+                for k, (start, x) in enumerate(pieces_of(vocabulary.ids(text.as_py() or ""), capacity)):
+                    rows.append((doc, k, start, len(x), zlib.crc32(x)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
     return run
@@ -158,7 +107,7 @@ def packed(pieces, capacity=CAPACITY):
 
 def packed_documents(docs, tokenizer_path, ranks_path, capacity=CAPACITY):
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents of (doc_id, text)."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = rows.mapInArrow(_tokenize((tokenizer_path, ranks_path), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return packed(pieces, capacity)
