@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
+from gavelwork.llm.common import bounded_batches, released
+
 WINDOW = 32
 BITS = 9
 LEAST, MOST = 64, 8192
@@ -110,7 +112,7 @@ class Chunks:
 @arrow_udf(StructType([StructField(k, LongType()) for k in CUT]))
 def cut_places(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     chunks = Chunks()
-    for texts, one, two in batches:
+    for texts, one, two in released(batches):
         rows = [chunks.cuts(t.as_py(), a, b) for t, a, b in zip(texts.cast(pa.binary()), one.to_pylist(), two.to_pylist())]
         yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], CUT)
 
@@ -120,6 +122,7 @@ def transformed(docs, seed=42, rate=50, spm=80, doc_id="doc_id", text="text"):
 
     Of 100 documents ``rate`` are transformed, of 100 of these ``spm`` with the suffix first.
     """
+    bounded_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 256)
     h1, h2, h3, h4 = (F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gavelwork.llm.byte_bpe import ByteBpe
-from gavelwork.llm.common import stored
+from gavelwork.llm.common import bounded_batches, released, resident, stored
 from gavelwork.llm.token_counts import Lengths
 
 HEAD = 200_000
@@ -81,7 +81,6 @@ class Aligner:
         return links, int(both.sum()), out.tobytes().translate(None, b"\0")[:-1]
 
 
-_ALIGNERS = {}
 SCHEMA = "key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, pairs array<long>, uses array<int>"
 ARROW = pa.schema([("key", pa.binary()), *((k, pa.int64()) for k in ("copies", *MEASURES[:4])), ("groups", pa.string()), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("uses", pa.list_(pa.int32()))])
 
@@ -94,9 +93,9 @@ def _align(paths, keep_groups):
         return pa.RecordBatch.from_arrays([*flat, *lists], schema=ARROW)
 
     def run(batches):
-        aligner = _ALIGNERS.get(paths) or _ALIGNERS.setdefault(paths, Aligner(*paths))
+        aligner = resident(("aligner", paths), lambda: Aligner(*paths))
         none = np.empty(0, np.int64)
-        for batch in batches:
+        for batch in released(batches):
             rows, held = [], 0
             for text, copies in zip(batch.column("text"), batch.column("copies").to_pylist()):
                 text = text.as_py()
@@ -121,6 +120,7 @@ def _align(paths, keep_groups):
 
 def aligned_texts(docs, paths, keep_groups=False, text="text"):
     """One row of every distinct non-empty text: key (SHA-256 of the text), copies, measures, groups, its distinct pairs and their uses."""
+    bounded_batches(docs.sparkSession)
     distinct = docs.select(F.col(text).cast("string").alias("text")).where("text <> ''").groupBy("text").agg(F.count("*").alias("copies"))
     return distinct.mapInArrow(_align(paths, keep_groups), SCHEMA)
 

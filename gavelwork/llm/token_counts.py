@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
+from gavelwork.llm.common import bounded_batches, released, resident
+
 BATCH = 1 << 19
 PIECE = 1 << 10
 LIMIT = 4096
@@ -77,16 +79,13 @@ class Lengths:
             counts[k] += len(ids) - less
 
 
-_LENGTHS = {}
-
-
 def lengths_udf(model_path):
     """Arrow function: texts -> numbers of tokens."""
 
     @arrow_udf(LongType())
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = _LENGTHS.get(model_path) or _LENGTHS.setdefault(model_path, Lengths(model_path))
-        for texts in batches:
+        counter = resident(("lengths", model_path), lambda: Lengths(model_path))
+        for texts in released(batches):
             yield pa.array(counter.of(x.as_py() for x in texts), pa.int64())
 
     return lengths
@@ -94,6 +93,7 @@ def lengths_udf(model_path):
 
 def counted(docs, model_path, limit=LIMIT, text="text"):
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens)."""
+    bounded_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     tokens = lengths_udf(model_path)(whole)
     return docs.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": tokens}).withColumn("over_limit", F.col("n_tokens") > limit)
