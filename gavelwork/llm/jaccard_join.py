@@ -15,8 +15,8 @@ into its pairs, yet no link between components is missed.
 
 The list of frequent tokens is the ``FREQUENT`` most frequent by counts over all documents (of tokens that repeat within some ``CHUNK``
 tokens); it only orders tokens, results do not depend on it. Null and empty texts have no tokens and link with nothing; a text of fewer
-words than n is one token; repeated rows are equal sets, and an id is taken to name one text; null ids get the component of their set and cannot name one; an empty table
-gives an empty result. Tokens are 64-bit hashes.
+words than n is one token; rows that share an id are compared as texts of their own; null ids get the component of their set and cannot name
+one; an empty table gives an empty result. Tokens and texts of one id are told apart by 64-bit hashes.
 """
 
 import hashlib
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import one_row_per_id, small_batches, stored
+from gavelwork.llm.common import bounded_batches, one_row_per, repeated_ids, sliced, stored, text_hash
 from gavelwork.llm.components import components
 
 FREQUENT = 500_000
@@ -120,7 +120,7 @@ def _local_counts(width):
             at = n > 1
             return pa.RecordBatch.from_arrays([pa.array(tokens[at]), pa.array(n[at])], schema=schema)
 
-        for b in batches:
+        for b in sliced(batches):
             for s in token_sets(b.column(0).to_pylist(), width):
                 key = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
                 if key not in seen:
@@ -181,18 +181,18 @@ def signatures(tokens, frequent, counts, percent):
 
 
 def _describe(width, percent, frequent):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("plain", pa.bool_()), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("plain", pa.bool_()), ("sigs", pa.list_(pa.int64())), ("id", pa.int64()), ("th", pa.int64())])
 
     def run(batches):
         tokens, counts = frequent.value
-        for b in batches:
+        for b in sliced(batches):
             sets = token_sets(b.column(1).to_pylist(), width)
             got = [signatures(s, tokens, counts, percent) for s in sets]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x, _ in got]))).astype(np.int32)
             flat = np.concatenate([x for x, _ in got]) if got else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([p for _, p in got], pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
+                pa.array([p for _, p in got], pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), b.column(2), b.column(3)], schema=schema)
 
     return run
 
@@ -204,7 +204,7 @@ def _compare(width, percent, frequent):
     def run(batches):
         tokens, counts = frequent.value
         last, other = None, None
-        for batch in batches:
+        for batch in sliced(batches):
             sets, rows = token_sets(batch.column(2).to_pylist(), width), []
             for a, b, s, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, batch.column(3)):
                 if b != last:
@@ -304,16 +304,28 @@ def _all_pairs(members, percent):
     return x.join(y, "sig").where(alike).select("a", "b").distinct()
 
 
-def near_components(docs, width=4, percent=85, rounds=3):
-    """doc_id, n_shingles and component_id (smallest id that links reach) of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, width))
-    sets = stored(docs.mapInArrow(_describe(width, percent, frequent), "doc_id long, n long, key binary, plain boolean, sigs array<long>"), "sets")
-    equal = stored(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "equal")
-    reps = sets.where("n > 0").join(equal.select("rep").where("rep IS NOT NULL").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    reps, docs = stored(reps, "reps"), one_row_per_id(docs)
+def _numbered(docs):
+    """doc_id, th, doc, text: ``doc`` is the id, or a number of its own below zero for rows that share an id; and the repeated ids."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("th"))
+    twice = repeated_ids(docs)
+    own = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "th"), 2)
+    rows = docs.join(twice, F.col("doc_id") == F.col("_id"), "left")
+    return rows.select("doc_id", "th", F.when(F.col("_id").isNull(), F.col("doc_id")).otherwise(own).alias("doc"), "text"), twice
+
+
+def grouped(docs, width=4, percent=85, rounds=3):
+    """doc_id, th (hash of the text), n_shingles, root (a number of the component) and component_id of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
+    rows, twice = _numbered(docs)
+    texts = rows.select(F.col("doc").alias("doc_id"), "text")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(texts, width))
+    schema = "doc_id long, n long, key binary, plain boolean, sigs array<long>, id long, th long"
+    sets = stored(rows.select("doc", "text", "doc_id", "th").mapInArrow(_describe(width, percent, frequent), schema), "sets")
+    equal = stored(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("id").alias("least")), "equal")
+    reps = sets.where("n > 0").join(equal.select("rep").where("rep IS NOT NULL").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+    again = twice.join(rows.select("doc_id", "doc").where("doc < 0"), F.col("_id") == F.col("doc_id")).select(F.col("doc").alias("_id")).distinct()
+    again = stored(again, "again")
+    reps, texts = stored(one_row_per(reps.drop("id", "th"), ["doc_id"], again), "reps"), one_row_per(texts, ["doc_id"], again)
     group = Window.partitionBy("sig")
     sigs = reps.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"), "n")
     first = stored(sigs.withColumns({"hub": F.min("doc").over(group), "m": F.count("*").over(group)}).where("m > 1"), "members")
@@ -322,7 +334,7 @@ def near_components(docs, width=4, percent=85, rounds=3):
     pairs, links = asked, None
     for left in reversed(range(rounds)):
         # the first round's pairs grow with the input: one plan at every size
-        seen = _compared(pairs, docs, width, percent, frequent, "merge" if pairs is asked else "auto")
+        seen = _compared(pairs, texts, width, percent, frequent, "merge" if pairs is asked else "auto")
         links = similar(seen) if links is None else links.unionByName(similar(seen))
         roots = stored(components(links), "components")
         members, direct = _still_open(seen, roots, percent)
@@ -331,17 +343,30 @@ def near_components(docs, width=4, percent=85, rounds=3):
         pairs = stored(_hub_pairs(members) if left else _all_pairs(members, percent), "pairs")
         direct = stored(direct if left else direct.unionByName(pairs).distinct(), "direct")
         if not direct.isEmpty():
-            links = links.unionByName(similar(_compared(direct, docs, width, percent, frequent)))
+            links = links.unionByName(similar(_compared(direct, texts, width, percent, frequent)))
         if pairs.isEmpty():
             break
     roots = stored(components(links), "components")
-    of_key = equal.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("component"))
-    out = sets.join(of_key, F.col("key") == F.col("k"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    frequent.unpersist()
+    of_key = equal.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("root"), "least")
+    of_key = stored(of_key, "sets-of-components")
+    names = of_key.where("root IS NOT NULL").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
+    named = of_key.join(names, F.col("root") == F.col("r"), "left").select("k", "root", "component")
+    out = sets.select(F.col("id").alias("doc_id"), "th", "n", "key").join(named, F.col("key") == F.col("k"), "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).alias("root"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_components(docs, width=4, percent=85, rounds=3):
+    """doc_id, n_shingles and component_id (smallest id that links reach) of every row of ``docs`` (doc_id, text)."""
+    return grouped(docs, width, percent, rounds).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs, width=5, percent=80):
-    """``docs`` with one row of every component (that of the smallest id) and of every id; rows without words or id stay."""
-    groups = near_components(docs, width, percent)
-    gone = stored(groups.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return one_row_per_id(docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti"))
+    """``docs`` with one row of every component (that of the smallest id); rows without words or id stay, rows equal in id and text are one."""
+    groups = stored(grouped(docs, width, percent), "groups").where("n_shingles > 0 AND doc_id IS NOT NULL AND root IS NOT NULL")
+    name = F.struct("doc_id", "th")
+    first = groups.groupBy(F.col("root").alias("r")).agg(F.min(name).alias("first"))
+    others = groups.join(first, F.col("root") == F.col("r")).where(name != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_hash().alias("_text"))
+    kept = whole.join(stored(others, "gone"), (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_th")), "left_anti")
+    return one_row_per(kept, ["_doc", "_text"], repeated_ids(kept, "_doc")).select("_row.*")
