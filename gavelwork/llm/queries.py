@@ -51,10 +51,11 @@ def op3(spark, sf_dir):
 
 OP4 = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-u AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM d),
+q AS (SELECT source, text, any_value(lines) AS lines FROM d GROUP BY source, text),
+p AS (SELECT source, count(*) AS pages FROM q GROUP BY source),
+u AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS line FROM q),
 c AS (SELECT source, line, count(*) AS n FROM u WHERE line <> '' GROUP BY ALL),
-b AS (SELECT c.source, list(line) AS often FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 10 AND n > 0.1 * pages GROUP BY c.source),
+b AS (SELECT c.source, list(line) AS often FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 3 AND n > 0.1 * pages GROUP BY c.source),
 k AS (SELECT d.*, list_filter(lines, lambda x: NOT coalesce(list_contains(often, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), false)) AS kept
   FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(lines, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) END AS n_lines,

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gavelwork.llm import cross_parse, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, repeated_bytes, topk_blocks, warc
@@ -136,10 +137,14 @@ def test_base_rules_and_thresholds(spark, docs):
 
 
 def test_lines_of_a_host(docs):
-    rows = [(i, f"menu\nown {i}\n\n menu ", "en", "a") for i in range(30)] + [(100 + i, f"menu\nown {i}", "en", None) for i in range(12)] + [(200, "menu\nrare", "en", "b"), (201, None, "en", "a"), (202, "", "en", "a")]
-    got = {r["doc_id"]: r for r in line_frequency.cleaned(docs(rows)).collect()}
+    rows = [(i, f"menu\nown {i}\n\n menu ", "en", "a") for i in range(30)] + [(100 + i, f"menu\nown {i}", "en", None) for i in range(9)] + [(200, "menu\nrare", "en", "b"), (200, "menu\nrare", "en", "b"), (201, None, "en", "a"), (202, "", "en", "a"), (203, "menu\nother", "en", "b")]
+    rows += [(300 + i, "copied\npage", "en", "c") for i in range(50)] + [(400, "copied\nnot", "en", "c"), (401, "x " * 60_000 + "\nfooter", "en", "c"), (402, "y\nfooter", "en", "c"), (403, "footer", "en", "c")]
+    clash = docs(rows).withColumns({"h": F.lit("own"), "often": F.lit("own"), "row": F.lit("own"), "t": F.lit("own"), "n_lines": F.lit("old")})
+    got = {r["doc_id"]: r for r in line_frequency.cleaned(clash).collect()}
     assert got[3]["text"] == "own 3\n" and (got[3]["n_lines"], got[3]["n_removed"], got[3]["extra"]) == (3, 2, "x")
     assert got[100]["text"] == "own 0" and got[200]["text"] == "menu\nrare" and got[201]["text"] is None and got[202]["text"] == ""
+    assert got[203]["n_removed"] == 0 and got[300]["text"] == "copied\npage" and [got[k]["n_removed"] for k in (400, 401, 402, 403)] == [0, 1, 1, 1]
+    assert {r["h"] for r in got.values()} == {r["often"] for r in got.values()} == {"own"}
     assert line_frequency.cleaned(docs(rows).limit(0)).count() == 0
 
 
@@ -156,19 +161,42 @@ def test_languages_by_phrases(docs):
     assert cross_parse.predicted(docs(rows).limit(0)).count() == 0
 
 
-def test_phrases_are_longest_matches():
-    text = "abracadabra banana"
-    p = cross_parse.Parser({"x": text})
-    for probe in ("abracadabra", "bananabra", "zzabz", "a", "cadab ban"):
-        symbols = p.symbols.codes(probe).tolist()
-        source, i, n = p.symbols.codes(text).tolist(), 0, 0
-        inside = lambda s: any(source[k : k + len(s)] == s for k in range(len(source)))
-        while i < len(symbols):
+def phrases(source, symbols):
+    """Greedy longest matches of ``symbols`` in ``source``; a block starts a phrase anew."""
+    n = 0
+    for at in range(0, len(symbols), cross_parse.BLOCK):
+        block, i = symbols[at : at + cross_parse.BLOCK], 0
+        while i < len(block):
             k = 1
-            while i + k < len(symbols) and inside(symbols[i : i + k + 1]):
+            while i + k < len(block) and block[i : i + k + 1] in source:
                 k += 1
             i, n = i + k, n + 1
-        assert p.phrases([p.symbols.codes(probe)])[0, 0] == n
+    return n
+
+
+def test_phrases_are_longest_matches():
+    rng = random.Random(3)
+    texts = {"x": "abracadabra banana", "y": "абракадабра 漢字漢語", "z": "".join(rng.choices("ab c", k=3000))}
+    p = cross_parse.Parser(texts)
+    probes = ["abracadabra", "bananabra", "zzabz", "a", "cadab ban", "абра 漢字", "Ж漢语", "".join(rng.choices("abcz ", k=2000)), "ab" * 700]
+    codes = [p.symbols.codes(t) for t in probes]
+    source = [p.symbols.codes(texts[k]).tobytes() for k in sorted(texts)]
+    assert p.phrases(codes).tolist() == [[phrases(s, c.tobytes()) for c in codes] for s in source]
+
+
+def test_languages_of_other_scripts_and_little_text(docs):
+    rng = random.Random(9)
+    make = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(n))
+    ru, uk = ["пре", "ово", "ние", "ыть", "шла"], ["пре", "ові", "ння", "їть", "йшл"]
+    zh, ja = ["的是", "中国", "人民", "大学", "天气"], ["の", "日本", "です", "人", "大学"]
+    sets = {"en": ["th", "ing", "er", "on", "wh"], "ru": ru, "uk": uk, "zh": zh, "ja": ja}
+    rows = [(i, make(sets[k], 60 if k != "uk" else 12), k) for i, k in enumerate(list(sets) * 24)]
+    rows += [(900 + i, make(sets[k], 9), None) for i, k in enumerate(list(sets) * 6)]
+    table = docs(rows).withColumns({"id": F.lit(1), "r": F.lit(2), "l": F.lit(3), "lang_pred": F.lit("old")})
+    got = {r["doc_id"]: r["lang_pred"] for r in cross_parse.predicted(table).collect()}
+    assert [got[900 + i] for i in range(30)] == list(sets) * 6
+    kept = cross_parse.accepted(table, 0.9).collect()
+    assert len(kept) == len(rows) and all(r["lang"] == (rows[r["doc_id"]][2] if r["doc_id"] < 900 else list(sets)[(r["doc_id"] - 900) % 5]) and r["lang_pred"] == "old" for r in kept)
 
 
 def near(rows, width, percent):
@@ -207,6 +235,15 @@ def test_near_components_of_edge_rows(docs):
     assert jaccard_join.one_of_each(docs([(5, "a b c d e"), (5, "a b c d e"), (6, "a b c d e"), (7, None)])).count() == 2
 
 
+def test_texts_that_share_an_id_are_texts_of_their_own(docs):
+    one, two, three = (" ".join(words(random.Random(k), 60)) for k in (1, 2, 3))
+    rows = [(5, one), (5, two), (6, three), (7, one + " more"), (4, two + " more"), (None, one), (8, two), (8, two), (9, three), (9, one)]
+    got = jaccard_join.near_components(docs(rows).withColumn("doc", F.lit("own")).repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("4", "4"), ("5", "4"), ("5", "5"), ("6", "6"), ("7", "5"), ("8", "4"), ("8", "4"), ("9", "5"), ("9", "6"), ("None", "5")]
+    kept = jaccard_join.one_of_each(docs(rows).withColumns({"_id": F.lit("own"), "th": F.lit("own"), "root": F.lit("own")})).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("4", two + " more"), ("5", one), ("6", three), ("None", one)])
+
+
 def test_repeated_bytes(docs):
     rng = random.Random(2)
     rows = corpus(11, 60) + [(500, "ab " * 300), (501, "é" * 400), (502, "q" * 99), (503, "q" * 100), (504, "q" * 250)]
