@@ -25,17 +25,16 @@ def language(spark, docs, sf_dir):
 def lines(spark, docs, sf_dir):
     """Drops boilerplate lines of each source; ``n_chars`` follows the text.
 
-    Near duplicates are still in ``docs``: equal texts count as one page, else a large group of copies would lose all of its lines here.
-    Sources of a few pages are cleaned too: only what stands on fewer than three pages is never boilerplate.
+    Near duplicates are still in ``docs``: equal texts of a source count as one page, else a large group of copies would lose all of its lines.
     """
-    out = line_frequency.cleaned(docs, least=3, copies=False)
+    out = line_frequency.cleaned(docs, counts=("_n_lines", "_n_removed"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps of each component of five-word similarity 0.8 the document of smallest id, and of rows equal in id one."""
+    """Keeps of each component of five-word similarity 0.8 the document of smallest id, and of rows equal in id and text one."""
     return jaccard_join.one_of_each(docs, width=5, percent=80).select(docs.columns)
 
 
