@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gavelwork.functions.text import digits, key_money
+from gavelwork.operators.ordered import running_sums
 
 
 def golden_match(golden, predicted, key="expediente"):
@@ -77,47 +78,111 @@ def best_pairing(left, right, fields):
     return out.withColumn("score", F.round((F.col("exactos") + F.col("normalizados") * 0.5) / len(fields), 4))
 
 
+WINDOW = 8
+FILTER_BITS = 20
+
+
+def _digit_filter(dockets):
+    """(m, w, bits): which fingerprints of m digits there may be, as words of a bit table; at most WINDOW x 2 ** (FILTER_BITS - 6) rows."""
+    rows = dockets.withColumn("h", F.pmod(F.xxhash64("fp"), F.lit(1 << FILTER_BITS)))
+    return rows.groupBy("m", F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits"))
+
+
 def docket_anchors(texts, dockets):
-    """Documents whose digit stream contains a docket: substrings of the docket lengths joined by equality.
+    """(expediente, document_id, at): first place of every docket in the digit stream of every text that contains it.
 
-    The number of distinct docket lengths is tiny (digits of a docket), so each text yields a few substrings per position.
+    A docket is looked up by one fingerprint, its last ``WINDOW`` digits (all, if it is shorter). A text gives its windows of these lengths
+    position by position; a bit table of the fingerprints, of fixed size and broadcast, lets only those through that may be one, and only
+    these are shuffled. Longer dockets are then verified on the whole stream.
     """
-    d = dockets.withColumn("_t", digits(F.col("expediente"))).filter("_t <> ''")
-    lengths = [r[0] for r in d.select(F.length("_t")).distinct().collect()]
-    if len(lengths) > 64:
-        raise ValueError("docket lengths are not those of dockets")
-    stream = texts.withColumn("_s", digits(F.col("text")))
-    subs = [F.transform(F.when(F.length("_s") >= n, F.sequence(F.lit(1), F.length("_s") - (n - 1))), _cut(n)) for n in lengths]
-    subs = [F.coalesce(s, F.array().cast("array<struct<at:int,t:string>>")) for s in subs]
-    grams = stream.select("document_id", F.explode(F.concat(*subs)).alias("g")).select("document_id", "g.at", F.col("g.t").alias("_t"))
-    keys = d.select("_t").distinct()
-    first = grams.join(keys, "_t", "left_semi").groupBy("document_id", "_t").agg(F.min("at").alias("at"))
-    return d.join(first, "_t").drop("_t")
+    t = digits(F.col("expediente"))
+    d = dockets.withColumn("_t", t).filter("_t <> ''").withColumn("m", F.least(F.length("_t"), F.lit(WINDOW)))
+    keys = d.select("_t", "m", F.substring(F.col("_t"), F.length("_t") - F.col("m") + 1, F.col("m")).alias("fp")).distinct()
+    streams = texts.select("document_id", digits(F.col("text")).alias("_s")).filter("_s <> ''")
+    ends = streams.select("document_id", "_s", F.explode(F.sequence(F.lit(1), F.length("_s"))).alias("end"))
+    lengths = F.explode(F.sequence(F.lit(1), F.least(F.col("end"), F.lit(WINDOW))))
+    grams = ends.select("document_id", F.substring(F.col("_s"), F.greatest(F.col("end") - (WINDOW - 1), F.lit(1)), F.least("end", F.lit(WINDOW))).alias("_g"), "end", lengths.alias("m"))
+    grams = grams.select("document_id", "end", "m", F.substring(F.col("_g"), F.length("_g") - F.col("m") + 1, F.col("m")).alias("fp"))
+    h = F.pmod(F.xxhash64("fp"), F.lit(1 << FILTER_BITS))
+    likely = grams.withColumn("w", F.shiftright(h, 6)).join(F.broadcast(_digit_filter(keys)), ["m", "w"])
+    likely = likely.withColumn("h", h).filter("shiftright(bits, CAST(h & 63 AS INT)) & 1 = 1").select("document_id", "end", "m", "fp")
+    found = likely.join(keys, ["m", "fp"]).withColumn("at", F.col("end") - F.length("_t") + 1).filter("at > 0").select("document_id", "_t", "at")
+    short = found.filter(F.length("_t") <= WINDOW)
+    long = found.filter(F.length("_t") > WINDOW).join(streams, "document_id").filter(F.substring(F.col("_s"), F.col("at"), F.length("_t")) == F.col("_t"))
+    first = short.unionByName(long.drop("_s")).groupBy("document_id", "_t").agg(F.min("at").alias("at"))
+    return d.join(first, "_t").drop("_t", "m")
+
+
+BIN = 4096
+
+
+def range_lookup(points, ranges, keys, point="pos", start="start", end="end", width=BIN):
+    """Ranges that hold each point (start <= point < end), by equality on the keys and on bins of ``width`` positions.
+
+    A long range stands in every bin that it touches, so a document with many points and ranges is split by position.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    last = F.floor((F.col(end) - 1) / width)
+    binned = ranges.filter(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), last)))
+    hit = points.withColumn("_bin", F.floor(F.col(point) / width)).join(binned, [*keys, "_bin"])
+    return hit.filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_bin")
+
 
+def _blocks(texts, key, mark):
+    """key, inicio, fin: the stretches of each text that begin with a match of ``mark`` and end before the next one, 0-based."""
+    parts, marks = F.split("text", mark), F.regexp_extract_all("text", F.lit(f"({mark})"), 1)
+    cuts = F.transform(marks, lambda m, i: F.struct(i.alias("i"), F.length(m).alias("m"), F.length(F.get(parts, i)).alias("p"), F.length(F.get(parts, i + 1)).alias("own")))
+    rows = texts.select(key, F.explode(cuts).alias("c")).select(key, "c.*")
+    rows = running_sums(rows, [key], ["i"], {"upto": F.col("p") + F.col("m")}, F.floor(F.col("i") / BIN))
+    return rows.select(key, (F.col("upto") - F.col("m")).alias("inicio"), (F.col("upto") + F.col("own")).alias("fin"))
 
-def _cut(n):
-    return lambda i: F.struct(i.alias("at"), F.substr(F.col("_s"), i, F.lit(n)).alias("t"))
 
+BLOCK_START = r"(?m)^\s*(?:EJ|DIV)\s*\."
 
-def digit_position(text, nth):
-    """1-based character position of the nth digit of a text."""
-    digits_at = F.filter(F.transform(F.split(text, ""), lambda ch, i: F.when(ch.rlike(r"^\d$"), i + 1)), lambda x: x.isNotNull())
-    return F.get(digits_at, nth - 1)
 
+def anchored_regions(texts, dockets):
+    """expediente, document_id, pagina, inicio, fin, texto: the notice block of a page that holds a docket, or the line where no block does.
 
-def range_lookup(points, ranges, key, point="pos", start="start", end="end"):
-    """Range that holds each point, by equality on the document and start <= pos < end."""
-    j = points.join(ranges, key, "left").filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end)))
-    return j
+    Documents are cut at their page marks, a docket belongs to the page on which its first occurrence in the document begins, and there to the
+    block that its first occurrence on the page falls into. ``inicio`` and ``fin`` are places in the page's text.
+    """
+    from gavelwork.operators.splitting import split_pages
+
+    doc = _with_places(docket_anchors(texts.select("document_id", "text"), dockets), texts).select("expediente", "document_id", "pos")
+    pages = split_pages(texts, ["document_id"]).select("document_id", "pagina", "texto", "inicio", "fin")
+    of = range_lookup(doc, pages.drop("texto"), "document_id", "pos", "inicio", "fin").select("expediente", "document_id", "pagina", F.col("inicio").alias("page_at"))
+    page_id = F.concat_ws(":", "document_id", "page_at")
+    units = pages.select(F.concat_ws(":", "document_id", "inicio").alias("document_id"), F.col("texto").alias("text"))
+    wanted = of.select("expediente", page_id.alias("unit"), "document_id", "pagina")
+    here = _with_places(docket_anchors(units, dockets), units).select("expediente", F.col("document_id").alias("unit"), "pos", "hasta")
+    here = wanted.join(here, ["expediente", "unit"])
+    blocks = _blocks(units.withColumnRenamed("document_id", "unit"), "unit", BLOCK_START)
+    held = range_lookup(here, blocks, "unit", "pos", "inicio", "fin").select("expediente", "unit", "inicio", "fin")
+    out = here.join(held, ["expediente", "unit"], "left").join(units.withColumnRenamed("document_id", "unit"), "unit")
+    before, after = F.substring(F.col("text"), F.lit(1), F.col("pos")), F.substring(F.col("text"), F.col("hasta") + 1, F.length("text"))
+    line = F.length(F.substring_index(before, "\n", -1)), F.length(F.substring_index(after, "\n", 1))
+    out = out.withColumns({"inicio": F.coalesce("inicio", F.col("pos") - line[0]), "fin": F.coalesce("fin", F.col("hasta") + line[1])})
+    return out.select("expediente", "document_id", "pagina", "inicio", "fin", F.substring(F.col("text"), F.col("inicio") + 1, F.col("fin") - F.col("inicio")).alias("texto"))
+
+
+def _with_places(anchors, texts):
+    """Anchors with pos (0-based character of the docket's first digit) and hasta (after its last), by the text's runs of digits."""
+    pieces = F.transform(F.regexp_extract_all("text", F.lit("([^0-9]*[0-9]+)"), 1), lambda r, i: F.struct(i.alias("i"), F.length(r).alias("n"), F.length(digits(r)).alias("d")))
+    runs = texts.select("document_id", F.explode(pieces).alias("r")).select("document_id", "r.*")
+    runs = running_sums(runs, ["document_id"], ["i"], {"chars": F.col("n"), "until": F.col("d")}, F.floor(F.col("i") / BIN))
+    runs = runs.select("document_id", (F.col("until") - F.col("d")).alias("digit"), "until", (F.col("chars") - F.col("d")).alias("place"))
+    size = F.length(digits(F.col("expediente")))
+    points = anchors.select("expediente", "document_id", F.explode(F.array(F.col("at") - 1, F.col("at") + size - 2)).alias("nth"))
+    placed = range_lookup(points, runs, "document_id", "nth", "digit", "until")
+    char = (F.col("place") + F.col("nth") - F.col("digit")).cast("int")
+    return placed.groupBy("expediente", "document_id").agg(F.min(char).alias("pos"), (F.max(char) + 1).alias("hasta"))
 
 
 def first_document(anchors, golden, documents):
     """First document, in list order, that contains the docket; the first of all when none does."""
-    order = documents.agg(F.min_by("document_id", "orden").alias("fallback"))
     best = anchors.join(documents, "document_id").groupBy("expediente").agg(F.min_by("document_id", "orden").alias("document_id"))
-    out = golden.select("expediente").join(best, "expediente", "left")
-    fallback = order.first()["fallback"]
-    return out.select("expediente", F.coalesce("document_id", F.lit(fallback)).alias("document_id"))
+    fallback = documents.agg(F.min_by("document_id", "orden").alias("fallback")).scalar()
+    return golden.select("expediente").join(best, "expediente", "left").select("expediente", F.coalesce("document_id", fallback).alias("document_id"))
 
 
 def contained_documents(df):

@@ -279,15 +279,63 @@ def first_document(spark, sf):
     return matching.first_document(anchors, golden, order)
 
 
-@query("joi10_page_ranges", oracle="""
-SELECT page_id, (CASE WHEN p < length(url) + 1 THEN 1 ELSE 2 END)::INT AS pagina, p::INT AS pos FROM (SELECT page_id, url, html, unnest([1, 5, length(url) + 20]) AS p FROM pages)""")
+def marked_documents(spark, sf):
+    """Documents of printed notices: a page mark before every third notice, a block mark before all but every fourth."""
+    t = v.avisos_texto(spark, sf).select("documento_id", "id", F.expr("""concat(IF(id % 3 = 0, concat('\n--- PÁGINA ', id % 50, ' ---\n'), ''), IF(id % 4 = 0, '', '\nEJ . '), text)""").alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda s: s["text"]), "\n")
+    return t.groupBy(F.col("documento_id").alias("document_id")).agg(whole.alias("text"))
+
+
+@query("joi10_anchored_regions", views=("avisos_texto",), oracle=r"""
+WITH doc AS (SELECT documento_id AS document_id, string_agg(CASE WHEN id % 3 = 0 THEN chr(10) || '--- PÁGINA ' || (id % 50)::VARCHAR || ' ---' || chr(10) ELSE '' END ||
+  CASE WHEN id % 4 = 0 THEN '' ELSE chr(10) || 'EJ . ' END || text, chr(10) ORDER BY id) AS text FROM avisos_texto GROUP BY 1),
+pp AS (SELECT document_id, string_split_regex(text, '
+?--- PÁGINA \d+ ---
+?') AS parts, regexp_extract_all(text, '
+?--- PÁGINA \d+ ---
+?') AS marks FROM doc),
+pg AS (SELECT document_id, k, parts[k] AS text, CASE WHEN k = 1 THEN 1 ELSE regexp_extract(marks[k - 1], '\d+')::INT END AS pagina,
+  coalesce(list_sum(list_transform(parts[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(marks[1:k - 1], lambda x: length(x))), 0) AS pat FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM pp)),
+page AS (SELECT * FROM pg WHERE trim(text) <> ''),
+target AS (SELECT DISTINCT expediente, replace(expediente, '-', '') AS t FROM avisos_texto),
+dd AS (SELECT document_id, list_filter(range(1, length(text) + 1), lambda i: regexp_matches(substr(text, i, 1), '[0-9]')) AS places, regexp_replace(text, '\D', '', 'g') AS s FROM doc),
+dn AS (SELECT document_id, s, unnest(range(1, length(s) - 7)) AS i FROM dd),
+da AS (SELECT expediente, document_id, min(i) AS i FROM dn JOIN target ON substr(s, i, 9) = t GROUP BY 1, 2),
+dp AS (SELECT expediente, document_id, places[i] - 1 AS pos FROM da JOIN dd USING (document_id)),
+home AS (SELECT expediente, document_id, pagina, k, text FROM dp JOIN page USING (document_id) WHERE pat <= pos AND pos < pat + length(text)),
+hd AS (SELECT *, list_filter(range(1, length(text) + 1), lambda i: regexp_matches(substr(text, i, 1), '[0-9]')) AS places, strpos(regexp_replace(text, '\D', '', 'g'), replace(expediente, '-', '')) AS i FROM home),
+hp AS (SELECT *, places[i] - 1 AS pos, places[i + 8] AS hasta, string_split_regex(text, '(?m)^\s*(?:EJ|DIV)\s*\.') AS bp, regexp_extract_all(text, '(?m)^\s*(?:EJ|DIV)\s*\.') AS bm FROM hd WHERE i > 0),
+bk AS (SELECT expediente, document_id, k, j, list_sum(list_transform(bp[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(bm[1:j - 1], lambda x: length(x))), 0) AS a, length(bm[j]) + length(bp[j + 1]) AS n, pos
+  FROM (SELECT *, unnest(range(1, len(bm) + 1)) AS j FROM hp)),
+held AS (SELECT expediente, document_id, k, a AS inicio, a + n AS fin FROM bk WHERE a <= pos AND pos < a + n),
+r AS (SELECT expediente, document_id, pagina, text, coalesce(inicio, pos - length(string_split(substr(text, 1, pos), chr(10))[-1])) AS inicio,
+  coalesce(fin, hasta + length(string_split(substr(text, hasta + 1), chr(10))[1])) AS fin FROM hp LEFT JOIN held USING (expediente, document_id, k))
+SELECT expediente, document_id, pagina, inicio::INT AS inicio, fin::INT AS fin, substr(text, inicio::INT + 1, (fin - inicio)::INT) AS texto FROM r""")
+def anchored_regions(spark, sf):
+    return matching.anchored_regions(marked_documents(spark, sf), v.avisos(spark, sf, parties=False).select("expediente").distinct()).select(
+        "expediente", "document_id", "pagina", F.col("inicio").cast("int").alias("inicio"), F.col("fin").cast("int").alias("fin"), "texto")
+
+
+@query("joi10_page_ranges", views=("avisos_texto",), oracle=r"""
+WITH doc AS (SELECT documento_id AS document_id, string_agg(CASE WHEN id % 3 = 0 THEN chr(10) || '--- PÁGINA ' || (id % 50)::VARCHAR || ' ---' || chr(10) ELSE '' END ||
+  CASE WHEN id % 4 = 0 THEN '' ELSE chr(10) || 'EJ . ' END || text, chr(10) ORDER BY id) AS text FROM avisos_texto GROUP BY 1),
+pp AS (SELECT document_id, string_split_regex(text, '
+?--- PÁGINA \d+ ---
+?') AS parts, regexp_extract_all(text, '
+?--- PÁGINA \d+ ---
+?') AS marks FROM doc),
+pg AS (SELECT document_id, parts[k] AS text, CASE WHEN k = 1 THEN 1 ELSE regexp_extract(marks[k - 1], '\d+')::INT END AS pagina,
+  coalesce(list_sum(list_transform(parts[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(marks[1:k - 1], lambda x: length(x))), 0) AS pat FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM pp)),
+w AS (SELECT document_id, strpos(text, 'EXPEDIENTE') - 1 AS pos FROM doc UNION ALL SELECT document_id, length(text) - 1 FROM doc)
+SELECT document_id, pos::INT AS pos, pagina FROM w JOIN pg USING (document_id) WHERE pat <= pos AND pos < pat + length(text) AND trim(text) <> ''""")
 def page_ranges(spark, sf):
-    p = v.table(spark, sf, "pages")
-    ranges = p.select("page_id", F.explode(F.array(F.struct(F.lit(1).alias("pagina"), F.lit(0).alias("start"), (F.length("url") + 1).alias("end")),
-                                                   F.struct(F.lit(2).alias("pagina"), (F.length("url") + 1).alias("start"),
-                                                            (F.length("url") + F.length("html") + 30).alias("end")))).alias("r")).select("page_id", "r.*")
-    points = p.select("page_id", F.explode(F.array(F.lit(1), F.lit(5), F.length("url") + 20)).alias("pos"))
-    return matching.range_lookup(points, ranges, "page_id").select("page_id", "pagina", "pos")
+    """Page of the first docket label and of the last character of every document."""
+    from gavelwork.operators.splitting import split_pages
+
+    d = marked_documents(spark, sf)
+    points = d.select("document_id", F.explode(F.array(F.instr("text", "EXPEDIENTE") - 1, F.length("text") - 1)).alias("pos"))
+    pages = split_pages(d, ["document_id"]).select("document_id", "pagina", "inicio", "fin")
+    return matching.range_lookup(points, pages, "document_id", "pos", "inicio", "fin").select("document_id", "pos", "pagina")
 
 
 @query("joi21_contained_documents", oracle=r"""

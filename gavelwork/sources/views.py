@@ -8,8 +8,12 @@ def table(spark, sf_dir, name):
 
 
 def balanced(df):
-    """Rows dealt evenly for per-row text work: adaptive execution sizes the parts, whatever the files were."""
-    return df.hint("rebalance")
+    """Rows for per-row text work, dealt over the cores where the table has fewer files than there are cores.
+
+    Tables of many files keep their splits (``spark.sql.files.maxPartitionBytes`` sizes them) and are not exchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def texts(spark, sf_dir):
