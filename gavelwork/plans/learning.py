@@ -113,8 +113,7 @@ def rule_table(spark, sf):
 
 
 def rule_texts(spark, sf):
-    fields = sorted({f for f, _ in PATTERNS})
-    return v.avisos_texto(spark, sf).select(F.col("id").alias("document_id"), "text", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field_name"))
+    return v.avisos_texto(spark, sf).select(F.col("id").alias("document_id"), "text")
 
 
 @query("joi23_rule_application", views=("avisos_texto", "reglas"), oracle=f"WITH {HIT} SELECT * FROM hb")
