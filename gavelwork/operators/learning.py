@@ -14,21 +14,22 @@ def _suggestion(df, tipo, value, ref, count, conf, alternatives=None):
         conf.alias("confianza"), (alternatives if alternatives is not None else F.lit(None).cast("string")).alias("alternativas"))
 
 
-def suggestions(df, total, k=None):
+def suggestions(df, k=None):
     """Repeated corrections, spelling aliases, labels outside the vocabulary and fields often empty; Panama first.
 
-    ``total`` is the number of corrections; values are grouped before anything is ranked. A group shows its smallest spelling.
+    Confidence weighs a group against all corrections; values are grouped before anything is ranked. A group shows its smallest spelling.
     """
+    total = df.agg(F.count("*").cast("double")).scalar()
     none = F.lit(None).cast("string")
     d = df.withColumns({"new_n": key_alnum(F.col("valor_nuevo")), "old_n": key_alnum(F.col("valor_anterior"))})
     usable = d.filter(F.col("campo").isin(lk.SUGGESTION_FIELDS))
     n = F.col("n")
     pairs = usable.groupBy("campo", "pais", "old_n", "new_n").agg(F.count("*").alias("n"), F.min("valor_nuevo").alias("v"), F.min("valor_anterior").alias("o")).filter("n >= 2")
-    repeated = _suggestion(pairs, "correccion_repetida", F.col("v"), F.col("o"), n, F.least(F.lit(0.99), F.lit(0.5) + n / F.lit(float(total)) * 5))
+    repeated = _suggestion(pairs, "correccion_repetida", F.col("v"), F.col("o"), n, F.least(F.lit(0.99), F.lit(0.5) + n / total * 5))
     spelled = usable.filter("new_n <> ''").groupBy("campo", "pais", "new_n", F.trim("valor_nuevo").alias("forma")).agg(F.count("*").alias("c"))
     forms = spelled.groupBy("campo", "pais", "new_n").agg(F.sum("c").alias("n"), F.count("*").alias("formas"), F.min_by("forma", F.struct(F.length("forma"), "forma")).alias("v"),
                                                          F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.length("forma").alias("l"), "forma"))), lambda x: x["forma"]), "|").alias("alt"))
-    alias = _suggestion(forms.filter("formas >= 2 AND n >= 2"), "alias", F.col("v"), none, n, F.least(F.lit(0.95), F.lit(0.6) + n / F.lit(float(total))), F.col("alt"))
+    alias = _suggestion(forms.filter("formas >= 2 AND n >= 2"), "alias", F.col("v"), none, n, F.least(F.lit(0.95), F.lit(0.6) + n / total), F.col("alt"))
     val = strip_all(F.col("valor_nuevo"))
     cat = (F.col("campo") == "categoria") & ~F.upper(val).isin(list(lk.CATEGORY_CODES))
     pa, co = ([k.replace(" ", "").replace(".", "") for k in t] for t in (lk.PA_PROVINCE_CODES, lk.CO_DEPARTMENT_CODES))
@@ -36,7 +37,7 @@ def suggestions(df, total, k=None):
     new = d.filter((val != "") & (cat | prov)).select("campo", "pais", val.alias("v")).distinct()
     label = _suggestion(new, "etiqueta_nueva", F.col("v"), none, F.lit(1), F.lit(0.5))
     empty = usable.filter("era_vacio").groupBy("campo").agg(F.count("*").alias("n")).filter("n >= 2").withColumn("pais", F.lit(None).cast("int"))
-    vacio = _suggestion(empty, "campo_vacio_frecuente", none, none, n, F.least(F.lit(0.9), F.lit(0.4) + n / F.lit(float(total))))
+    vacio = _suggestion(empty, "campo_vacio_frecuente", none, none, n, F.least(F.lit(0.9), F.lit(0.4) + n / total))
     every = union([repeated, alias, label, vacio])
     best = top_k(every, ["tipo", "campo", "pais", "valor_sugerido"], [F.col("confianza").desc(), "n", "valor_referencia"], 1)
     order = [F.when(F.col("pais") == 1, 0).otherwise(1), F.col("confianza").desc(), "tipo", "campo", "pais", "valor_sugerido"]

@@ -276,6 +276,51 @@ def country_statistics(df, patterns=STAT_PATTERNS, k=None):
     return top_k(m, ["country", "kind"], [F.col("n").desc(), "value"], k) if k else m
 
 
+# fixed value: how a text names a municipality
+MUNICIPALITY = r"(?:DEL?\s+MUNICIPIO\s+DE|MUNICIPIO\s+DE|EN\s+EL\s+MUNICIPIO\s+DE)\s+([A-ZÁÉÍÓÚÑ'0-9.\s]{3,40})"
+
+
+def municipalities(df, keys=("country",), text="text"):
+    """Municipalities named in the texts with their numbers."""
+    found = df.select(*keys, F.explode(F.regexp_extract_all(F.upper(text), F.lit(MUNICIPALITY), 1)).alias("m"))
+    name = F.regexp_replace(F.regexp_replace("m", r"^\s+|\s+$", ""), r"^[ .]+|[ .]+$", "")
+    return found.select(*keys, name.alias("municipio")).filter("municipio <> ''").groupBy(*keys, "municipio").agg(F.count("*").alias("n"))
+
+
+CELL_BITS = 20
+
+
+def expressions(df, least, sizes=(2, 3, 4), keys=("country",), text="text"):
+    """Expressions of some words in a row that stand ``least`` times or more in the texts of a group, with their exact numbers.
+
+    A first pass counts cells of a hash, at most 2 ** CELL_BITS a task and group; only expressions of cells that reach ``least`` are counted by
+    themselves in the second, so what is shuffled there is what may be in the result.
+    """
+    words = F.regexp_extract_all(F.upper(text), F.lit("([A-ZÁÉÍÓÚÑ]{3,})"), 1)
+    d = df.select(*keys, words.alias("w"))
+
+    def grams(n):
+        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    every = d.select(*keys, F.explode(F.concat(*[grams(n) for n in sizes])).alias("expresion")).withColumn("cell", F.pmod(F.xxhash64("expresion"), F.lit(1 << CELL_BITS)).cast("int"))
+    full = every.groupBy(*keys, "cell").agg(F.count("*").alias("c")).filter(F.col("c") >= least).drop("c")
+    return every.join(full, [*keys, "cell"], "left_semi").groupBy(*keys, "expresion").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+# fixed values: names of one field in the two generations
+FIELD_ALIASES = {"base": "precio_base", "finca_matr": "finca", "fecha": "fecha_remate"}
+
+
+def unused_fields(catalog, results, golden):
+    """(lista, field): catalogue fields that no result ever found (``nunca_usado``) and that no golden record can judge (``nunca_evaluado``)."""
+    names = F.create_map(*[F.lit(x) for kv in FIELD_ALIASES.items() for x in kv])
+    known = golden.select("field").unionByName(golden.select(F.try_element_at(names, F.col("field")).alias("field"))).distinct()
+    used = results.filter("status = 'FOUND'").select("field").distinct()
+    lists = ("nunca_usado", used), ("nunca_evaluado", known)
+    return union([catalog.join(d, "field", "left_anti").select(F.lit(n).alias("lista"), "field") for n, d in lists])
+
+
 def word_frequency(df, k=100, keys=("country",)):
     words = df.select(*keys, F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zÁÉÍÓÚÑáéíóúñ]{3,})"), 1)).alias("w"))
     g = words.groupBy(*keys, F.upper("w").alias("palabra")).agg(F.count("*").alias("n"))

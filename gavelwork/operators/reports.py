@@ -23,7 +23,7 @@ def client_reports(notices, corrections, audit):
     """Report name to table: learning, intelligence, diagnosis, evolution, time line, readiness board, field problems."""
     flagged = notices if "discrepancia" in notices.columns else notices.withColumn("discrepancia", F.lit(False))
     return {
-        "hyper_learning": learning.suggestions(corrections, corrections.count()),
+        "hyper_learning": learning.suggestions(corrections),
         "hyper_intelligence": latest_intelligence(flagged),
         "production_diagnosis": boards.baseline_metrics(notices),
         "knowledge_evolution": quality.correction_evolution(corrections),

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["inputs", "notices", "extraction", "rules", "quality", "layout", "joins", "learning", "streams"]
+MODULES = ["inputs", "notices", "extraction", "rules", "quality", "layout", "joins", "learning", "streams", "client"]
 
 
 def load_all():

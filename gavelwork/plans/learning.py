@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gavelwork.functions import lookups as lk
 from gavelwork.operators import learning as ln
 from gavelwork.operators import quality as q
+from gavelwork.operators import rule_versions as rv
 from gavelwork.registry import query
 from gavelwork.sources import views as v
 
@@ -30,8 +31,7 @@ d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY tipo, campo, pais,
 SELECT tipo, campo, pais, valor_sugerido, valor_referencia, n, round(confianza::DOUBLE, 6) AS confianza, alternativas FROM d
 ORDER BY CASE WHEN pais = 1 THEN 0 ELSE 1 END, d.confianza DESC, tipo, campo, pais NULLS FIRST, valor_sugerido NULLS FIRST""")
 def suggestions(spark, sf):
-    c = v.correcciones(spark, sf)
-    return ln.suggestions(c, c.count()).withColumn("confianza", F.round("confianza", 6))
+    return ln.suggestions(v.correcciones(spark, sf)).withColumn("confianza", F.round("confianza", 6))
 
 
 @query("srt4_canonical_spelling", views=("correcciones",), oracle=f"""
@@ -157,6 +157,42 @@ def lifecycle(spark, sf):
     return ln.rule_lifecycle(r)[1].select("rule_id", "previous_status", "new_status", "accuracy_before")
 
 
+VERSIONS = """v1 AS (SELECT rule_id, 1::BIGINT AS version, NULL::VARCHAR AS previous_status, status AS new_status, 0::DOUBLE AS accuracy_before,
+  CASE WHEN usage_count = 0 THEN 0 ELSE round(success_count::DOUBLE / usage_count, 4) END AS accuracy_after, 'Created' AS reason FROM reglas),
+ev AS (SELECT rule_id, (rule_id % 97)::DOUBLE / 97 AS pb, (rule_id * 7 % 89)::DOUBLE / 89 AS pa FROM reglas),
+v2 AS (SELECT rule_id, 2::BIGINT AS version, new_status AS previous_status, CASE WHEN pa < pb THEN 'rejected' ELSE 'approved' END AS new_status, accuracy_after AS accuracy_before, pa AS accuracy_after,
+  CASE WHEN pa < pb THEN printf('Regression detected: %.2f%% -> %.2f%%', pb * 100, pa * 100) ELSE 'No regression detected. Approved by RegressionGuard.' END AS reason FROM v1 JOIN ev USING (rule_id) WHERE new_status = 'pending'),
+l2 AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2), c2 AS (SELECT * FROM l2 QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY version DESC) = 1),
+v3 AS (SELECT rule_id, version + 1 AS version, new_status AS previous_status, 'pending' AS new_status, accuracy_after AS accuracy_before, 0::DOUBLE AS accuracy_after, 'Manual rollback to PENDING' AS reason
+  FROM c2 WHERE rule_id % 13 = 0 AND new_status <> 'pending'),
+lg AS (SELECT * FROM l2 UNION ALL SELECT * FROM v3)"""
+
+
+def rule_log(spark, sf):
+    """Rules as created, pending ones judged by the guard, then every thirteenth rolled back."""
+    r = v.reglas(spark, sf)
+    judged = rv.guarded(rv.opened(r), r.selectExpr("rule_id", "(rule_id % 97) / 97D AS precision_before", "(rule_id * 7 % 89) / 89D AS precision_after"))
+    return rv.rolled_back(judged, r.filter("rule_id % 13 = 0"))
+
+
+@query("rul14_rollback", views=("reglas",), oracle=f"WITH {VERSIONS} SELECT rule_id, version, previous_status, new_status, round(accuracy_before, 6) AS accuracy_before, accuracy_after, reason FROM v3")
+def rollback(spark, sf):
+    return rule_log(spark, sf).filter("reason = 'Manual rollback to PENDING'").withColumn("accuracy_before", F.round("accuracy_before", 6)).select(*rv.COLUMNS)
+
+
+@query("rul14_rejected", views=("reglas",), oracle=f"""
+WITH {VERSIONS}, c AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY version DESC) = 1)
+SELECT rule_id, version, previous_status, accuracy_before, round(accuracy_after, 6) AS accuracy_after, reason FROM c WHERE new_status = 'rejected'""")
+def rejected_rules(spark, sf):
+    return rv.rejected(rule_log(spark, sf)).withColumn("accuracy_after", F.round("accuracy_after", 6)).drop("new_status")
+
+
+@query("rul14_history", views=("reglas",), oracle=f"""
+WITH {VERSIONS} SELECT rule_id, row_number() OVER (PARTITION BY rule_id ORDER BY version DESC)::INT AS orden, version, previous_status, new_status, reason FROM lg""")
+def rule_history(spark, sf):
+    return rv.history(rule_log(spark, sf)).select("rule_id", "orden", "version", "previous_status", "new_status", "reason")
+
+
 @query("joi12_rules_by_country", views=("reglas", "correcciones"), oracle="""
 SELECT rule_id, field_name FROM reglas WHERE field_name IN (SELECT campo FROM correcciones WHERE pais = 1)""")
 def rules_by_country(spark, sf):

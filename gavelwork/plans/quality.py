@@ -318,6 +318,49 @@ def country_statistics(spark, sf):
     return q.country_statistics(country_texts(spark, sf))
 
 
+GOLDEN_FIELDS = ["expediente", "demandante", "demandado", "base", "fianza_porcentaje", "minimo_porcentaje", "finca_matr", "fecha", "provincia", "lugar", "proceso", "categoria", "descripcion"]
+MUNICIPAL_TEXTS = "t AS (SELECT CASE WHEN pais = 1 THEN 'PA' ELSE 'CO' END AS country, text || CASE WHEN id % 3 = 0 THEN chr(10) || 'en el municipio de ' || provincia || '. ;' ELSE '' END AS text FROM avisos_texto)"
+
+
+def municipal_texts(spark, sf):
+    """Printed notices, every third with the line that names its municipality."""
+    t = v.avisos_texto(spark, sf)
+    line = F.when(F.col("id") % 3 == 0, F.concat(F.lit("\nen el municipio de "), "provincia", F.lit(". ;"))).otherwise("")
+    return t.select(F.when(F.col("pais") == 1, "PA").otherwise("CO").alias("country"), F.concat("text", line).alias("text"))
+
+
+@query("agg23_municipalities", views=("avisos_texto",), oracle=f"""
+WITH {MUNICIPAL_TEXTS}, m AS (SELECT country, unnest(regexp_extract_all(upper(text), '{q.MUNICIPALITY.replace("'", "''")}', 1)) AS m FROM t)
+SELECT country, trim(regexp_replace(m, '^\\s+|\\s+$', '', 'g'), ' .') AS municipio, count(*) AS n FROM m GROUP BY 1, 2 HAVING municipio <> ''""")
+def municipalities(spark, sf):
+    return q.municipalities(municipal_texts(spark, sf))
+
+
+@query("agg23_expressions", views=("avisos_texto",), oracle=f"""
+WITH {TXT}, w AS (SELECT country, regexp_extract_all(upper(text), '[A-ZÁÉÍÓÚÑ]{{3,}}') AS w FROM t),
+g AS (SELECT country, unnest(list_concat(list_concat(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))),
+  list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) AS expresion FROM w)
+SELECT country, expresion, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 25""")
+def expressions(spark, sf):
+    return q.expressions(country_texts(spark, sf), 25)
+
+
+FIELD_CATALOG = list(q.FIELD_EVIDENCE)
+
+
+@query("joi19_unused_fields", views=("avisos", "resultados_campo"), oracle=f"""
+WITH c AS (SELECT unnest({FIELD_CATALOG}) AS field), u AS (SELECT DISTINCT field FROM resultados_campo WHERE status = 'FOUND'),
+g AS (SELECT unnest([""" + ", ".join(f"CASE WHEN count({c}) > 0 THEN '{c}' END" for c in GOLDEN_FIELDS) + """]) AS field FROM avisos),
+k AS (SELECT field FROM g WHERE field IS NOT NULL UNION SELECT CASE field WHEN 'base' THEN 'precio_base' WHEN 'finca_matr' THEN 'finca' WHEN 'fecha' THEN 'fecha_remate' END FROM g)
+SELECT 'nunca_usado' AS lista, field FROM c WHERE field NOT IN (SELECT field FROM u) UNION ALL SELECT 'nunca_evaluado', field FROM c WHERE field NOT IN (SELECT field FROM k WHERE field IS NOT NULL)""")
+def unused_fields(spark, sf):
+    """The catalogue against what the results found and what the golden notices hold."""
+    counts = v.avisos(spark, sf).agg(*[F.count(c).alias(c) for c in GOLDEN_FIELDS])
+    golden = counts.select(F.explode(F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in GOLDEN_FIELDS])).alias("field")).filter("field IS NOT NULL")
+    catalog = spark.createDataFrame([(c,) for c in FIELD_CATALOG], "field string")
+    return q.unused_fields(catalog, v.resultados_campo(spark, sf), golden)
+
+
 @query("srt2_top_per_group", views=("correcciones",), oracle="""
 WITH g AS (SELECT campo, valor_nuevo, count(*) AS n FROM correcciones GROUP BY 1, 2)
 SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY campo ORDER BY n DESC, valor_nuevo) <= 3""")
@@ -338,8 +381,7 @@ def word_frequency(spark, sf):
     return q.word_frequency(lang_texts(spark, sf))
 
 
-GOLDEN = ["expediente", "demandante", "demandado", "base", "fianza_porcentaje", "minimo_porcentaje", "finca_matr", "fecha", "provincia", "lugar",
-          "proceso", "categoria", "descripcion"]
+GOLDEN = GOLDEN_FIELDS
 
 
 @query("agg25_golden_coverage", views=("avisos",), oracle="WITH n AS (SELECT count(*) AS total, " + ", ".join(f"count({c}) AS {c}" for c in GOLDEN) +
