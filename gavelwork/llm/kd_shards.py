@@ -1,9 +1,9 @@
 """K-d tree sharding: a table is split at weighted medians along its widest metadata dimension until leaves reach the target bytes.
 
-A point is a row; its weight is its size. The dimensions are numbers of the row's group (rows of equal text): logarithm of the size, code
-of the smallest source and of the smallest language. A node is cut along the dimension whose values spread most, measured over the whole
+A point is a row; its weight is its size. The dimensions are numbers of the row's group (rows of equal text): logarithm of the size, place
+of the smallest source among all sources and of the smallest language among all languages. A node is cut along the dimension whose values spread most, measured over the whole
 table's range, at the weighted median of (value, group hash). The order is total over groups, so copies stay in one shard; only a group
-heavier than ``loose`` of a target leaf may be cut, between its rows, or else shards could not be near equal. Medians are found by
+heavier than ``HEAVY`` of a target leaf may be cut, between its rows, or else shards could not be near equal. Medians are found by
 histograms of at most 2 ** ``BITS`` cells a node and round, so the driver sees a bounded number of sums, never rows.
 
 Null texts weigh as empty ones, null sources and languages have a code of their own, repeated rows are rows, an empty table gives an
@@ -12,11 +12,13 @@ empty result. The number of leaves is a power of two.
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gavelwork.llm.common import numbered, stored
 
 BITS = 12
+HEAVY = 0.05
 DIMS = ("d_size", "d_source", "d_lang")
 
 
@@ -30,11 +32,23 @@ def points(docs, id_col="doc_id", text_col="text"):
     return stored(rows, "points")
 
 
+def _ranks(names):
+    """name, rank: places of distinct names in their order, counted per task of a range sort and summed up."""
+    at = F.monotonically_increasing_id()
+    kept = stored(names.distinct().orderBy("name").select("name", F.shiftright(at, 33).alias("p"), at.bitwiseAND((1 << 33) - 1).alias("i")), "names")
+    counts = kept.groupBy("p").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("p").alias("q"), F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return kept.join(before, F.col("p") == F.col("q")).select("name", (F.col("before") + F.col("i")).cast("double").alias("rank"))
+
+
 def _dimensions(rows):
     """Groups with their weight and three numbers each; names become codes by their order."""
     groups = rows.groupBy("grp").agg(F.sum("size").alias("weight"), F.max("size").alias("one"), F.min("s").alias("s"), F.min("l").alias("l"))
-    prefix = lambda c: F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(c), "utf-8")), 1, 10), 10, "0"), 16, 10).cast("double")
-    return groups.select("grp", "weight", F.log2("one").alias("d_size"), prefix("s").alias("d_source"), prefix("l").alias("d_lang"))
+    groups = stored(groups, "named")
+    for c, d in (("s", "d_source"), ("l", "d_lang")):
+        ranks = _ranks(groups.select(F.col(c).alias("name"))).withColumnRenamed("rank", d)
+        groups = groups.join(ranks, F.col(c) == F.col("name")).drop("name")
+    return groups.select("grp", "weight", F.log2("one").alias("d_size"), "d_source", "d_lang")
 
 
 def _by_node(values):
@@ -72,8 +86,8 @@ def _cuts(nodes, tolerance):
 
 
 def _heavy_parts(rows, groups, leaf, loose):
-    """``rows`` with a part number: rows of a group above a twentieth of a leaf are dealt over parts of about ``loose`` of a leaf."""
-    heavy = groups.where(F.col("weight") > 0.05 * leaf).select(F.col("grp").alias("g"), F.ceil(F.col("weight") / max(1.0, loose * leaf)).cast("long").alias("parts"))
+    """``rows`` with a part number: rows of a group above ``HEAVY`` of a leaf are dealt over parts of about ``loose`` of a leaf."""
+    heavy = groups.where(F.col("weight") > HEAVY * leaf).select(F.col("grp").alias("g"), F.ceil(F.col("weight") / max(1.0, loose * leaf)).cast("long").alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.col("parts")), F.lit(0)).cast("long")
     return rows.join(stored(heavy, "heavy"), F.col("grp") == F.col("g"), "left").withColumn("part", part).drop("g", "parts")
 

@@ -76,6 +76,11 @@ def test_arc_header_lines_by_version():
     assert rows[0]["kind"] == "warcinfo" and len({r["record_id"] for r in rows}) == 3
 
 
+def test_top_k_of_no_vectors(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk_blocks.top_k(none).count() == 0
+
+
 def test_packing_ids_pieces_and_bins(docs):
     rows = corpus()
     got = packing.packed_documents(docs(rows).repartition(3), *PATHS).collect()
@@ -280,6 +285,20 @@ def test_shards(docs):
     assert kd_shards.sharded(docs(rows).limit(0)).count() == 0
 
 
+def test_names_with_one_beginning_are_told_apart(docs):
+    rows = [(i, f"text {i} " + "w " * 20, "language-" + "ab"[i % 2], f"https://site{i % 8}.example") for i in range(800)]
+    got = {r["grp"]: r for r in kd_shards._dimensions(kd_shards.points(docs(rows))).collect()}
+    assert {r["d_source"] for r in got.values()} == set(range(8)) and {r["d_lang"] for r in got.values()} == {0, 1}
+    shard = {r["doc_id"]: r["shard"] for r in kd_shards.sharded(docs(rows)).collect()}
+    assert all(len({shard[i] for i, *_, s in rows if s.endswith(f"site{k}.example")}) <= 8 for k in range(8))
+
+
+def test_copies_stay_together_up_to_a_share_of_a_shard(docs):
+    rows = [(i, f"own text {i} " + "w " * 40) for i in range(1500)] + [(5000 + 10 * k + i, f"copied page {k}") for k in range(60) for i in range(5)]
+    shard = {r["doc_id"]: r["shard"] for r in kd_shards.sharded(docs(rows).repartition(3)).collect()}
+    assert all(len({shard[5000 + 10 * k + i] for i in range(5)}) == 1 for k in range(60))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.1, 8).tolist()) for i in range(700)] + [(i, [0.5] * 8) for i in range(700, 720)] + [(50, [0.25] * 8), (800, None), (850, [float("nan")] * 8), (900, [None] + [0.0] * 7), (950, [1.0, 2.0]), (None, [0.9] * 8)]
@@ -310,6 +329,49 @@ def test_mix_reaches_targets_and_repeats(docs):
     assert flow_mix.mixed(docs(rows).limit(0)).count() == 0
 
 
+def test_ratios_equal_counts_by_hand(docs, spark):
+    import xxhash
+
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    one = lambda w, seed=42: xxhash.xxh64(w.encode(), seed=seed % (1 << 64)).intdigest()
+    rows = corpus(5, 40)
+    labels = spark.createDataFrame([(d, 1, 0) for d, _ in rows if d % 3 == 0], "doc_id long, quality int, toxic int")
+
+    def cells(t):
+        w = WORD.findall(t or "")
+        return [signed(one(x)) % quality_llr.BUCKETS for x in w] + [signed(one(b, one(a))) % quality_llr.BUCKETS for a, b in zip(w, w[1:])]
+
+    raw, good = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        raw.update(cells(t))
+        good.update(cells(t) if d % 3 == 0 else [])
+    n, g = sum(raw.values()), sum(good.values())
+    ratio = {c: np.log((good[c] + quality_llr.PRIOR * k / n) / (g + quality_llr.PRIOR) / (k / n)) for c, k in raw.items()}
+    threshold = -0.001
+    for r in quality_llr.judged(docs(rows), labels, threshold=threshold).collect():
+        own = cells(dict(rows)[r["doc_id"]])
+        want = sum(ratio[c] for c in own) / len(own) if own else 0.0
+        assert abs(r["llr"] - want) < 1e-9 and r["kept"] == (not r["base_failed"] and r["llr"] >= threshold)
+
+
+def test_members_route_words_between_sources(docs):
+    """Copies that count for two sources give their first use where it is wanted; quotas are met and nothing is taken three times."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{i}" for _ in range(rng.randrange(5, 30))), None, "ab"[i % 2]) for i in range(600)]
+    both = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))
+    got = {r["doc_id"]: r for r in flow_mix.mixed(docs(rows).repartition(3), members=both).collect()}
+    supply = collections.Counter()
+    for i, t, _, s in rows:
+        supply[("a", "b") if i % 3 == 0 else (s,)] += len(t.split())
+    size = {s: sum(w for p, w in supply.items() if s in p) for s in "ab"}
+    want = flow_mix.targets([("a", size["a"]), ("b", size["b"])])
+    flow = flow_mix.min_cost_flow(dict(supply), {s: round(w) for s, w in want.items()})
+    for p, w in supply.items():
+        taken = sum(got[i]["taken"] for i, _, _, s in rows if (("a", "b") if i % 3 == 0 else (s,)) == p)
+        assert abs(taken - sum(flow[p, s] for s in p)) <= 30
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got.values()) and {r["source_size"] for r in got.values()} == set(size.values())
+
+
 def test_flow_shares_patterns_at_least_cost():
     flow = flow_mix.min_cost_flow({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 12, "b": 20})
     assert sum(v for (p, s), v in flow.items() if s == "a") == 12 and sum(v for (p, s), v in flow.items() if s == "b") == 20
