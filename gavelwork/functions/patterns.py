@@ -8,9 +8,6 @@ from gavelwork.functions.text import collapse, let, strip_all
 
 FLAGS = "(?iuUmd)"
 
-_CUR = r"(?:B/?\.?|\$)?"
-_NAME = r"[A-ZÑÁÉÍÓÚ0-9.,& ]"
-
 # fixed values: Panama notice patterns, tried in this order
 PANAMA = {
     "expediente": [
@@ -24,13 +21,13 @@ PANAMA = {
         r"LA\s+FINCA\s+N[°o]\.?\s*(\d[\d\s]*)",
     ],
     "precio_base": [
-        r"BASE\s+DEL\s+REMATE\s*[:\s]*" + _CUR + r"\s*([\d,\.]+)",
-        r"AVAL[UÚ]O\s+COMERCIAL\s*[:\s]*" + _CUR + r"\s*([\d,\.]+)",
+        r"BASE\s+DEL\s+REMATE\s*[:\s]*(?:B/?\.?|\$)?\s*([\d,\.]+)",
+        r"AVAL[UÚ]O\s+COMERCIAL\s*[:\s]*(?:B/?\.?|\$)?\s*([\d,\.]+)",
         r"servir[aá]?\s+de\s+base[^)]{0,400}?\(\s*[B8]?\s*/\s*\.?\s*([\d.,\s]+)\s*\)",
         r"(?:SIRVE\s+DE\s+BASE|BASE\s+DEL\s+REMATE)[^)]{0,400}?\(\s*[B8]?\s*/\s*\.?\s*([\d.,\s]+)\s*\)",
-        r"BASE\s*[:\s]*" + _CUR + r"\s*([\d,\.]+)",
+        r"BASE\s*[:\s]*(?:B/?\.?|\$)?\s*([\d,\.]+)",
         r"BASE\s*[:\s]*([\d,\.]+)",
-        r"VALOR\s+(?:DEL\s+)?(?:REMATE|BASE|AVAL[UÚ]O(?:\s+COMERCIAL)?)\s*[:\s]*" + _CUR + r"\s*([\d,\.]+)",
+        r"VALOR\s+(?:DEL\s+)?(?:REMATE|BASE|AVAL[UÚ]O(?:\s+COMERCIAL)?)\s*[:\s]*(?:B/?\.?|\$)?\s*([\d,\.]+)",
     ],
     "fecha_remate": [
         r"FECHA\s*(?:DE\s+REMATE|DEL\s+REMATE|PROBABLE)?\s*[:\s]*(\d{1,2}\s+DE\s+[A-ZÁÉÍÓÚ]+\s+DE\s+\d{4})",
@@ -38,17 +35,17 @@ PANAMA = {
         r"(\d{1,2}\s+DE\s+[A-ZÁÉÍÓÚ]+\s+DE\s+\d{4})",
     ],
     "demandante": [
-        r"(?:PROMOVIDO|INSTAURADO|PROPUESTO)\s+POR\s+(" + _NAME + r"{3,80}?)(?:,|\s+EN\s+CONTRA|\n|\.\s)",
-        r"A\s+FAVOR\s+DE\s+(" + _NAME + r"{3,80}?)(?:,|\n|\.\s)",
-        r"POR\s+(" + _NAME + r"{3,80}?)(?:,|\s+EN\s+CONTRA|\n)",
+        r"(?:PROMOVIDO|INSTAURADO|PROPUESTO)\s+POR\s+([A-ZÑÁÉÍÓÚ0-9.,& ]{3,80}?)(?:,|\s+EN\s+CONTRA|\n|\.\s)",
+        r"A\s+FAVOR\s+DE\s+([A-ZÑÁÉÍÓÚ0-9.,& ]{3,80}?)(?:,|\n|\.\s)",
+        r"POR\s+([A-ZÑÁÉÍÓÚ0-9.,& ]{3,80}?)(?:,|\s+EN\s+CONTRA|\n)",
         r"DEMANDANTE\s*[:\s]*([A-ZÁÉÍÓÚ\s,\.]+?)(?:\n|\s{2,}|$)",
-        r"(?:PROMOVIDO|PROPUESTO)\s+POR\s+(" + _NAME + r"{3,80}?)(?:\n|$)",
-        r"(?:ALGUACIL|ALGUIL)\s+.*?POR\s+(" + _NAME + r"{3,60}?)(?:,|\n|\.\s)",
-        r"(?:CONTRA|EN\s+CONTRA)\s+(?:DE?\s*)?[A-ZÑÁÉÍÓÚ\s,\.]{5,80}?\s+POR\s+EL\s+BANCO\s+(" + _NAME + r"{3,60}?)(?:,|\n)",
+        r"(?:PROMOVIDO|PROPUESTO)\s+POR\s+([A-ZÑÁÉÍÓÚ0-9.,& ]{3,80}?)(?:\n|$)",
+        r"(?:ALGUACIL|ALGUIL)\s+.*?POR\s+([A-ZÑÁÉÍÓÚ0-9.,& ]{3,60}?)(?:,|\n|\.\s)",
+        r"(?:CONTRA|EN\s+CONTRA)\s+(?:DE?\s*)?[A-ZÑÁÉÍÓÚ\s,\.]{5,80}?\s+POR\s+EL\s+BANCO\s+([A-ZÑÁÉÍÓÚ0-9.,& ]{3,60}?)(?:,|\n)",
     ],
     "demandado": [
-        r"(?:EN\s+)?CONTRA\s+DE?\s*(" + _NAME + r"{3,80}?)(?:,|\n|\.\s|POR\s+EL|$)",
-        r"(?:PARTE\s+)?DEMANDADA?\s+(" + _NAME + r"{3,80}?)(?:,|\n|\.\s|CED|$)",
+        r"(?:EN\s+)?CONTRA\s+DE?\s*([A-ZÑÁÉÍÓÚ0-9.,& ]{3,80}?)(?:,|\n|\.\s|POR\s+EL|$)",
+        r"(?:PARTE\s+)?DEMANDADA?\s+([A-ZÑÁÉÍÓÚ0-9.,& ]{3,80}?)(?:,|\n|\.\s|CED|$)",
         r"DEMANDADO\s*[:\s]*([A-ZÁÉÍÓÚ\s,\.]+?)(?:\n|\s{2,}|$)",
         r"(?:EN\s+)?CONTRA\s+(?:DE?\s*)?([A-ZÑÁÉÍÓÚ\s,\.]{3,80}?)(?:\n|$)",
     ],

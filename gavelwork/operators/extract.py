@@ -223,23 +223,23 @@ def _base_at(text, pos):
     tail = F.substr(text, pos)
     nxt = F.position(F.lit("AVISO DE REMATE"), F.substr(tail, F.lit(2)))
     window = F.when(nxt > 0, F.substr(tail, F.lit(1), nxt)).otherwise(tail)
-    return let(F.when(pos > 0, window), lambda w: _base_in_window(w, text, pos))
+    return let(F.when(pos > 0, window), lambda w: _base_in_window(w, pos))
 
 
-def _base_in_window(window, text, pos):
+def _base_in_window(window, pos):
+    # fixed values: phrases with the base, tried in this order
     special = [
         r"la base del remate\s*,?\s*es decir\s+la\s+suma\s+de\s+[B8]\s*/\s*\.\s*([\d.,]+)",
         r"base para el remate\s+la\s+cifra\s+de\s+[B8]\s*/\s*\.\s*([\d.,]+)",
         r"base para el remate\s*,?\s*la\s+suma\s+de[^)]{0,200}?\(?\s*[B8]?\s*/\s*\.\s*([\d.,]+)",
         r"CUANT[IÍ]A\s+DEL\s+EMBARGO\s*:.*?\(\s*[B8]\s*/\s*\.\s*([\d.,]+)\s*\)"]
     chosen = F.coalesce(*[found(I + p, window) for p in special])
-    crowded = F.regexp_count(F.upper(F.substr(text, pos)), F.lit("AVISO DE REMATE")) > 1
     generic = r"[B8]\s*/\s*\.\s*([\d.,]{5,})"
     at = F.regexp_instr(window, F.lit(generic))
     lead = F.greatest(at - 80, F.lit(1))
     near = F.upper(F.substr(window, lead, at - lead)).rlike("BASE|AVALU|AVALÚ|CIFRA|SUMA|CUANT|EMBARGO|REMATE")
     loose = let(amount(found(generic, window)), lambda x: F.when((x > 500) & (x < 1_000_000_000), x))
-    loose = F.when(near & ~crowded, loose)
+    loose = F.when(near, loose)  # the window ends at the next notice, so no other one stands between docket and amount
     return F.when(pos > 0, F.when(chosen.isNotNull(), amount(chosen)).otherwise(loose))
 
 

@@ -45,3 +45,9 @@ def test_bands_are_cut_at_gaps_and_headless_spans_rejoin(spark):
 def test_shared_folder_is_not_machine_local(spark):
     base = shared_base(spark)
     assert base == spark.conf.get("spark.checkpoint.dir", None) or base.startswith(spark.conf.get("spark.sql.warehouse.dir"))
+
+
+def test_notices_that_follow_do_not_hide_an_amount(spark):
+    text = "AVISO DE REMATE EXP 4567-2020 base del remate B/. 12,500.00 " + "x" * 7000 + " AVISO DE REMATE EXP 1-2020 base B/. 900,000.00 " + "y" * 50 + " AVISO DE REMATE EXP 2-2020 suma B/. 800,000.00"
+    df = spark.createDataFrame([(text, "4567-2020"), ("AVISO DE REMATE EXP 77-2020 sin monto AVISO DE REMATE EXP 3 base B/. 5,000.00", "77-2020")], "text string, expediente string")
+    assert [r["b"] for r in df.select(extract.base_after_docket(F.col("text"), F.col("expediente")).alias("b")).collect()] == [12500.0, None]
