@@ -91,6 +91,24 @@ def one_row_per(docs, keys, twice):
     return docs.join(twice, same, "left_anti").unionByName(docs.join(twice, same, "left_semi").dropDuplicates(keys))
 
 
+CLEAR_BITS = 24
+
+
+def without(rows, keys, gone):
+    """``rows`` without those whose ``keys`` (a list of columns) stand in ``gone`` (a stored table of the same columns, each once).
+
+    A bit table of at most 2 ** (CLEAR_BITS - 6) words is broadcast and clears most rows; only what it cannot clear is exchanged, so wide rows
+    stay where they are however long the list is.
+    """
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << CLEAR_BITS))
+    words = gone.select(h.alias("_h")).groupBy(F.shiftright("_h", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_h & 63 AS INT))")).alias("_bits"))
+    asked = rows.withColumn("_h", h)
+    met = asked.join(F.broadcast(words), F.shiftright("_h", 6) == F.col("_w"), "left").withColumn("_clear", F.expr("coalesce(shiftright(_bits, CAST(_h & 63 AS INT)) & 1, 0) = 0"))
+    named = gone.select(*[F.col(k).alias(f"_gone_{i}") for i, k in enumerate(keys)])
+    same = [F.col(k) == F.col(f"_gone_{i}") for i, k in enumerate(keys)]
+    return met.where("_clear").select(rows.columns).unionByName(met.where("NOT _clear").select(rows.columns).join(named, same, "left_anti"))
+
+
 def _counter(key, out):
     def run(batches):
         seen = {}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import bounded_batches, one_row_per, repeated_ids, sliced, stored, text_hash
+from gavelwork.llm.common import bounded_batches, one_row_per, repeated_ids, sliced, stored, text_hash, without
 from gavelwork.llm.components import components
 
 FREQUENT = 500_000
@@ -366,7 +366,7 @@ def one_of_each(docs, width=5, percent=80):
     groups = stored(grouped(docs, width, percent), "groups").where("n_shingles > 0 AND doc_id IS NOT NULL AND root IS NOT NULL")
     name = F.struct("doc_id", "th")
     first = groups.groupBy(F.col("root").alias("r")).agg(F.min(name).alias("first"))
-    others = groups.join(first, F.col("root") == F.col("r")).where(name != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
+    others = groups.join(first, F.col("root") == F.col("r")).where(name != F.col("first")).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_text")).distinct()
     whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_hash().alias("_text"))
-    kept = whole.join(stored(others, "gone"), (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_th")), "left_anti")
-    return one_row_per(kept, ["_doc", "_text"], repeated_ids(kept, "_doc")).select("_row.*")
+    single = one_row_per(whole, ["_doc", "_text"], repeated_ids(whole, "_doc"))
+    return without(single, ["_doc", "_text"], stored(others, "gone")).select("_row.*")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gavelwork.llm import cross_parse, flow_mix, jaccard_join, kd_shards, line_frequency, packing, quality_llr, repeated_bytes, topk_blocks, warc
-from gavelwork.llm.common import numbered
+from gavelwork.llm.common import numbered, stored, without
 from gavelwork.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,6 +50,14 @@ def test_numbers_are_gapless_for_any_key(spark):
     assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 1000
 
 
+def test_rows_without_a_long_list(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL ELSE id % 1500 END AS a", "id % 3 AS b", "id AS wide")
+    gone = stored(spark.range(1500).selectExpr("id AS a", "id % 2 AS b").where("a % 5 < 3"), "gone")
+    want = {r["wide"] for r in rows.collect() if r["a"] is None or r["a"] % 5 >= 3 or r["b"] != r["a"] % 2}
+    got = [r["wide"] for r in without(rows, ["a", "b"], gone).collect()]
+    assert len(got) == len(want) and set(got) == want and without(rows, ["a", "b"], gone.limit(0)).count() == 5000
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
