@@ -80,6 +80,7 @@ def best_pairing(left, right, fields):
 
 WINDOW = 8
 FILTER_BITS = 20
+BLOCK = 512
 
 
 def _digit_filter(dockets):
@@ -93,23 +94,26 @@ def docket_anchors(texts, dockets):
 
     A docket is looked up by one fingerprint, its last ``WINDOW`` digits (all, if it is shorter). A text gives its windows of these lengths
     position by position; a bit table of the fingerprints, of fixed size and broadcast, lets only those through that may be one, and only
-    these are shuffled. Longer dockets are then verified on the whole stream.
+    these are shuffled, with as many digits before them as the longest docket has, on which longer dockets are verified.
     """
     t = digits(F.col("expediente"))
     d = dockets.withColumn("_t", t).filter("_t <> ''").withColumn("m", F.least(F.length("_t"), F.lit(WINDOW)))
     keys = d.select("_t", "m", F.substring(F.col("_t"), F.length("_t") - F.col("m") + 1, F.col("m")).alias("fp")).distinct()
     streams = texts.select("document_id", digits(F.col("text")).alias("_s")).filter("_s <> ''")
-    ends = streams.select("document_id", "_s", F.explode(F.sequence(F.lit(1), F.length("_s"))).alias("end"))
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.col("end"), F.lit(WINDOW))))
-    grams = ends.select("document_id", F.substring(F.col("_s"), F.greatest(F.col("end") - (WINDOW - 1), F.lit(1)), F.least("end", F.lit(WINDOW))).alias("_g"), "end", lengths.alias("m"))
-    grams = grams.select("document_id", "end", "m", F.substring(F.col("_g"), F.length("_g") - F.col("m") + 1, F.col("m")).alias("fp"))
+    known = keys.agg(F.struct(F.collect_set("m").alias("sizes"), F.max(F.length("_t")).alias("longest"))).scalar()  # a subquery of the same plan
+    # a stream is cut into blocks with the digits before them, so that a place costs the length of a block, not of the stream
+    cut = streams.select("document_id", "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - 1, F.lit(BLOCK))).alias("at"))
+    cut = cut.withColumn("ahead", F.least(F.col("at"), known["longest"]))
+    blocks = cut.select("document_id", (F.col("at") - F.col("ahead")).alias("base"), "ahead", F.substring(F.col("_s"), F.col("at") - F.col("ahead") + 1, F.col("ahead") + BLOCK).alias("_b"))
+    places = blocks.withColumn("e", F.explode(F.sequence(F.col("ahead") + 1, F.length("_b"))))
+    grams = places.withColumn("m", F.explode(known["sizes"])).filter("m <= e")
+    grams = grams.withColumn("fp", F.substring(F.col("_b"), F.col("e") - F.col("m") + 1, F.col("m")))
     h = F.pmod(F.xxhash64("fp"), F.lit(1 << FILTER_BITS))
-    likely = grams.withColumn("w", F.shiftright(h, 6)).join(F.broadcast(_digit_filter(keys)), ["m", "w"])
-    likely = likely.withColumn("h", h).filter("shiftright(bits, CAST(h & 63 AS INT)) & 1 = 1").select("document_id", "end", "m", "fp")
-    found = likely.join(keys, ["m", "fp"]).withColumn("at", F.col("end") - F.length("_t") + 1).filter("at > 0").select("document_id", "_t", "at")
-    short = found.filter(F.length("_t") <= WINDOW)
-    long = found.filter(F.length("_t") > WINDOW).join(streams, "document_id").filter(F.substring(F.col("_s"), F.col("at"), F.length("_t")) == F.col("_t"))
-    first = short.unionByName(long.drop("_s")).groupBy("document_id", "_t").agg(F.min("at").alias("at"))
+    likely = grams.withColumn("h", h).withColumn("w", F.shiftright("h", 6)).join(F.broadcast(_digit_filter(keys)), ["m", "w"]).filter("shiftright(bits, CAST(h & 63 AS INT)) & 1 = 1")
+    span = F.least(F.col("e"), known["longest"])
+    likely = likely.select("document_id", (F.col("base") + F.col("e")).alias("end"), "m", "fp", F.substring(F.col("_b"), F.col("e") - span + 1, span).alias("before"))
+    found = likely.join(keys, ["m", "fp"]).filter("right(before, length(_t)) = _t").select("document_id", "_t", (F.col("end") - F.length("_t") + 1).alias("at"))
+    first = found.groupBy("document_id", "_t").agg(F.min("at").alias("at"))
     return d.join(first, "_t").drop("_t", "m")
 
 

@@ -9,7 +9,7 @@ from gavelwork.operators import matching
 def test_anchors_of_any_length(spark):
     rng = random.Random(4)
     dockets = ["7", "12", "0001", "12-345", "2012-00536", "05001-31-03-001-2012-00536-00", "99999999", "31-03-001-2012-00536-00", "sin", "", "123456789012", "923456789012"]
-    texts = [(i, "".join(rng.choice(["a ", "1", "2", "0", "9", "\n", *dockets]) for _ in range(rng.randrange(0, 60)))) for i in range(60)] + [(90, None), (91, ""), (92, "9" * 40)]
+    texts = [(i, "".join(rng.choice(["a ", "1", "2", "0", "9", "\n", *dockets]) for _ in range(rng.randrange(0, 60)))) for i in range(60)] + [(90, None), (91, ""), (92, "9" * 40), (93, "8" * 510 + "05001-31-03-001-2012-00536-00" + "8" * 600 + "12-345")]
     got = matching.docket_anchors(spark.createDataFrame(texts, "document_id long, text string"), spark.createDataFrame([(x,) for x in dockets], "expediente string"))
     want = set()
     for d, t in texts:
