@@ -325,7 +325,8 @@ def grouped(docs, width=4, percent=85, rounds=3):
     reps = sets.where("n > 0").join(equal.select("rep").where("rep IS NOT NULL").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
     again = twice.join(rows.select("doc_id", "doc").where("doc < 0"), F.col("_id") == F.col("doc_id")).select(F.col("doc").alias("_id")).distinct()
     again = stored(again, "again")
-    reps, texts = stored(one_row_per(reps.drop("id", "th"), ["doc_id"], again), "reps"), one_row_per(texts, ["doc_id"], again)
+    # the join above has dealt rows by id already: rows that share a text's number are the same there
+    reps, texts = stored(reps.drop("id", "th").dropDuplicates(["doc_id"]), "reps"), one_row_per(texts, ["doc_id"], again)
     group = Window.partitionBy("sig")
     sigs = reps.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"), "n")
     first = stored(sigs.withColumns({"hub": F.min("doc").over(group), "m": F.count("*").over(group)}).where("m > 1"), "members")
