@@ -10,8 +10,8 @@ from gavelwork.sources import views as v
 C4 = "round(CAST(sum(CAST(confidence AS DECIMAL(18,4))) AS DOUBLE) / count(*) + 1e-9, 4)"
 
 
-def words(spark, sf):
-    return v.balanced(v.palabras(spark, sf))
+def words(spark, sf, by="doc_id"):
+    return v.palabras(spark, sf, by)
 
 
 def slot_lines(spark, sf):
@@ -69,7 +69,7 @@ e AS (SELECT page, a * 8 AS x_ini, 8 * CASE WHEN lead(a) OVER (PARTITION BY page
 @query("win9_gutter_columns", views=("palabras",), oracle=f"""
 WITH {GUT} SELECT page, x_ini, x_fin::BIGINT AS x_fin FROM e WHERE x_fin - x_ini > ancho * 0.04""")
 def gutters(spark, sf):
-    return layout.gutter_columns(words(spark, sf))
+    return layout.gutter_columns(words(spark, sf, "page"))
 
 
 @query("win10_histogram_columns", views=("palabras",), oracle="""
@@ -79,14 +79,14 @@ i AS (SELECT *, sum(k) OVER (PARTITION BY page ORDER BY b) AS isla FROM (SELECT
 c AS (SELECT page, isla, min(b) AS s, max(b) AS e, arg_min(n, b) AS n FROM i GROUP BY 1, 2 HAVING arg_min(n, b) >= 3)
 SELECT page, s * 1000 AS x_ini, (e + 1) * 1000 AS x_fin FROM c QUALIFY count(*) OVER (PARTITION BY page) >= 2""")
 def histogram_columns(spark, sf):
-    w = words(spark, sf).select("page", F.expr("IF(slot < 3, 0, 2000) + ((x0 + x1) div 2) % 1000 AS cx"), F.lit(3000).alias("width"))
+    w = words(spark, sf, "page").select("page", F.expr("IF(slot < 3, 0, 2000) + ((x0 + x1) div 2) % 1000 AS cx"), F.lit(3000).alias("width"))
     return layout.histogram_columns(w, "page", 3)
 
 
 @query("win11_six_columns", views=("palabras",), oracle="""
 SELECT page, greatest(0, least(5, floor((x0 + x1) / 2.0 / 500)))::INT AS columna, count(*) AS palabras FROM palabras GROUP BY 1, 2""")
 def six_columns(spark, sf):
-    w = words(spark, sf).withColumn("columna", layout.newspaper_column(F.col("x0"), F.col("x1"), F.lit(3000.0)))
+    w = words(spark, sf, "page").withColumn("columna", layout.newspaper_column(F.col("x0"), F.col("x1"), F.lit(3000.0)))
     return w.groupBy("page", "columna").agg(F.count("*").alias("palabras"))
 
 
@@ -95,7 +95,7 @@ WITH t AS (SELECT page, max(y1) AS o FROM palabras WHERE position = 'top' GROUP
 SELECT page, k < 2 AS partial, min(y0 + CASE WHEN position = 'bottom' THEN coalesce(o, 0) ELSE 0 END) AS y_min,
   max(y1 + CASE WHEN position = 'bottom' THEN coalesce(o, 0) ELSE 0 END) AS y_max, count(*) AS palabras FROM palabras JOIN h USING (page) LEFT JOIN t USING (page) GROUP BY 1, 2""")
 def stitched(spark, sf):
-    return layout.stitch(words(spark, sf)).groupBy("page", "partial").agg(
+    return layout.stitch(words(spark, sf, "page")).groupBy("page", "partial").agg(
         F.min("y0").alias("y_min"), F.max("y1").alias("y_max"), F.count("*").alias("palabras"))
 
 
@@ -105,7 +105,7 @@ d AS (SELECT page, greatest(0, least(5, floor(((x0 + x1) / 2.0 - a) / ((b - a) /
 k AS (SELECT page FROM d GROUP BY 1 HAVING count(DISTINCT banda) >= 3 AND any_value(n) >= 15)
 SELECT page, banda, count(*) AS palabras FROM d WHERE page IN (SELECT page FROM k) GROUP BY 1, 2""")
 def dense(spark, sf):
-    return layout.dense_columns(layout.stitch(words(spark, sf))).groupBy("page", "banda").agg(F.count("*").alias("palabras"))
+    return layout.dense_columns(layout.stitch(words(spark, sf, "page"))).groupBy("page", "banda").agg(F.count("*").alias("palabras"))
 
 
 @query("win13_reading_order", views=("palabras",), oracle="""
@@ -167,7 +167,7 @@ def continuity(spark, sf):
 @query("rul11_page_scores", views=("palabras",), oracle="""
 SELECT page, round(round(least(count(DISTINCT slot) / 2.0::DOUBLE, 1), 4) * 0.3::DOUBLE + 0.5::DOUBLE * 0.7::DOUBLE, 4) AS score FROM palabras GROUP BY 1""")
 def page_scores(spark, sf):
-    w = words(spark, sf)
+    w = words(spark, sf, "page")
     cols = w.select("page", "slot").distinct()
     notices = w.select("page").distinct().select("page", F.explode(F.array(F.lit(0.2), F.lit(0.9))).alias("confidence"))
     return layout.page_scores(cols, notices)
@@ -197,7 +197,7 @@ s AS (SELECT page, cut AS x_ini, lead(cut) OVER (PARTITION BY page ORDER BY cut)
 u AS (SELECT f.page, x_ini, x_fin, count(*) AS items FROM f JOIN it ON it.page = f.page AND (x0 + x1) / 2.0 >= x_ini AND (x0 + x1) / 2.0 < x_fin GROUP BY 1, 2, 3),
 n AS (SELECT *, (row_number() OVER (PARTITION BY page ORDER BY x_ini) - 1)::INT AS columna FROM u) SELECT page, x_ini, x_fin, items, columna FROM n WHERE columna < 4""")
 def profile_columns(spark, sf):
-    return layout.profile_columns(words(spark, sf).select("page", "x0", "x1"), "page", 3000)
+    return layout.profile_columns(words(spark, sf, "page").select("page", "x0", "x1"), "page", 3000)
 
 
 @query("udtf1_split_notices", views=("avisos_texto",), oracle="""
