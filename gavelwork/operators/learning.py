@@ -95,6 +95,7 @@ def evidence_sample(df, k=5):
 
 
 SALTS = 16
+FEW = 200
 # what a pattern may do without, or match in several ways, in the order of removal
 ESCAPES = r"\\(?:0[0-7]*|x\{[^}]*\}|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|c.|[pP]\{[^}]*\}|k<[^>]*>|.)"
 CLASSES = r"\[\^?\]?[^\]]*\]"
@@ -118,24 +119,33 @@ def required_literal(pattern):
     return F.when(none, "").otherwise(F.coalesce(F.lower(longest), F.lit("")))
 
 
+def _over_trigrams(t, ok):
+    """Texts with the rules of which they hold the first three letters of the literal."""
+    ok = ok.withColumns({"tri": F.substring("literal", 1, 3), "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
+    asked = ok.select("tri").distinct()
+    at = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.length("low") - 2, F.lit(0)))))
+    at = at.withColumn("tri", F.when(F.col("i") == 0, "").otherwise(F.substring("low", F.col("i"), F.lit(3)))).join(F.broadcast(asked), "tri")
+    first = at.filter("i = 0 OR instr(low, tri) = i")
+    return first.withColumn("salt", F.pmod(F.xxhash64("document_id"), F.lit(SALTS)).cast("int")).join(ok, ["tri", "salt"])
+
+
 def apply_rules(texts, rules):
     """First approved rule of each field, newest first, whose pattern matches the text; value = group 1 or the match, confidence x 0.9.
 
     ``texts`` holds document_id and text, and field_name where a text is meant for one field only. A rule is indexed by three letters of a
     literal that its pattern cannot match without; texts give their runs of three letters that any rule asks for (fewer than 50,000 there
     can be, so these are broadcast) and meet rules over them, split by a hash of the document. Only where the whole literal is in the text the
-    pattern is tried. Rules without a literal meet every text.
+    pattern is tried. Rules without a literal meet every text. Up to ``FEW`` rules for texts of any field are broadcast whole: each text
+    meets every literal where it is, and no text is copied or exchanged.
     """
     ok = rules.filter("status = 'approved'").select("field_name", "rule_id", "pattern", "confidence", "created_at").withColumn("literal", required_literal(F.col("pattern")))
-    ok = ok.withColumns({"tri": F.substring("literal", 1, 3), "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
-    asked = ok.select("tri").distinct()
     own = "field_name" in texts.columns
     t = texts.select("document_id", "text", F.lower(F.upper("text")).alias("low"), *([F.col("field_name").alias("own")] if own else []))
-    at = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.length("low") - 2, F.lit(0)))))
-    at = at.withColumn("tri", F.when(F.col("i") == 0, "").otherwise(F.substring("low", F.col("i"), F.lit(3)))).join(F.broadcast(asked), "tri")
-    first = at.filter("i = 0 OR instr(low, tri) = i")
-    salted = first.withColumn("salt", F.pmod(F.xxhash64("document_id"), F.lit(SALTS)).cast("int"))
-    j = salted.join(ok, ["tri", "salt"]).filter(F.col("low").contains(F.col("literal")) & (F.col("own") == F.col("field_name") if own else F.lit(True)))
+    if not own and ok.limit(FEW + 1).count() <= FEW:
+        j = t.crossJoin(F.broadcast(ok))
+    else:
+        j = _over_trigrams(t, ok)
+    j = j.filter(F.col("low").contains(F.col("literal")) & (F.col("own") == F.col("field_name") if own else F.lit(True)))
     hit = j.withColumn("_p", F.concat(F.lit("(?ium)"), F.col("pattern"))).filter(F.rlike("text", F.col("_p")))
     group = F.regexp_like(F.col("pattern"), F.lit(r"(?<!\\)\((?!\?)"))
     value = F.when(group, F.expr("regexp_extract(text, _p, 1)")).otherwise(F.expr("regexp_extract(text, _p, 0)"))

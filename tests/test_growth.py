@@ -47,3 +47,32 @@ def test_many_publications_of_one_property_in_one_lot(spark):
     assert {r["resultado"]: r["count"] for r in job.run(lot).groupBy("resultado").count().collect()} == {"reemplazado": 19_999}
     assert [r["id"] for r in job.open().collect()] == [19_999]
     assert not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider")
+
+
+def test_few_rules_and_many_give_the_same_and_few_exchange_no_text(spark, monkeypatch):
+    from gavelwork.operators import learning as ln
+
+    texts = spark.range(300).selectExpr("id AS document_id", "concat('EXPEDIENTE ', id, IF(id % 3 = 0, ' finca 77', ''), ' x') AS text")
+    rules = spark.createDataFrame([(i, f, p, "approved", 0.9, i) for i, (f, p) in enumerate([("e", "expediente ([0-9]+)"), ("f", "FINCA ([0-9]+)"), ("f", "x$"), ("g", "nada")])],
+                                  "rule_id int, field_name string, pattern string, status string, confidence double, created_at int")
+    few = ln.apply_rules(texts, rules)
+    assert "tri#" not in plan(few)
+    monkeypatch.setattr(ln, "FEW", 0)
+    many = ln.apply_rules(texts, rules)
+    assert "tri#" in plan(many) and sorted(few.collect()) == sorted(many.collect()) and few.count() == 600
+
+
+def test_blocks_of_duplicates_travel_as_digests(spark):
+    from gavelwork.operators import dedup
+
+    rows = [(1, "a", "f", None, None, "T"), (2, "a", "f", None, None, "U"), (3, None, "f", None, None, "t"), (4, None, None, None, None, "t"), (5, "b", "c", "d", "e", "")]
+    d = dedup.duplicate_levels(spark.createDataFrame(rows, "id long, expediente string, finca string, base string, bbox string, text string"))
+    assert "unhex" in plan(d)
+    assert {r["id"]: (r["nivel"], r["matched_id"]) for r in d.collect()} == {
+        1: ("UNIQUE", None), 2: ("DUPLICATED", 1), 3: ("DUPLICATED", 1), 4: ("UNIQUE", None), 5: ("UNIQUE", None)}
+
+
+def test_parts_of_notices_follow_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(v, "ROWS_A_TASK", 100)
+    parts = -(-v.table(spark, sf, "orders").count() // 100)
+    assert parts > 8 and v.notices(spark, sf).rdd.getNumPartitions() == parts
