@@ -76,3 +76,16 @@ def test_parts_of_notices_follow_their_number(spark, sf, monkeypatch):
     monkeypatch.setattr(v, "ROWS_A_TASK", 100)
     parts = -(-v.table(spark, sf, "orders").count() // 100)
     assert parts > 8 and v.notices(spark, sf).rdd.getNumPartitions() == parts
+
+
+def test_a_place_name_reads_a_run_of_letters_once(spark):
+    import time
+
+    from gavelwork.operators import notice_text as nt
+
+    rows = [(0, "Lote de 100 M2 " + "mas texto " * 20_000), (1, "x 5 M2, LAGO AZUL, CORR: ARENA, DIST: CENTRO, fin"), (2, "7 M2 . Villa 9 Sol CORR: ARENA DISTRITO B,"), (3, "5 M2  CORR: A B, z"), (4, None)]
+    began = time.time()
+    got = {r["id"]: r["portada"] for r in nt.cover_description(spark.createDataFrame(rows, "id int, text string")).select("id", "portada").collect()}
+    assert time.time() - began < 60
+    assert got[0] == " ".join(["Lote", "de", "100", "M2"] + ["mas", "texto"] * 13) + "." and got[4] == ""
+    assert [got[1], got[2], got[3]] == ["5 M2, LAGO AZUL, CORR: ARENA, DIST: CENTRO.", "7 M2, Sol, CORR: ARENA, DIST: B.", "5 M2, A B, CORR: A B."]
