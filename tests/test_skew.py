@@ -182,3 +182,22 @@ def test_near_texts_match_any_earlier_notice(spark):
         for direct in (0, 64):
             got = {x["id"]: (x["nivel"], x["matched_id"]) for x in dedup.near_levels(spark.createDataFrame(data, cols), width=20, direct=direct).collect()}
             assert {i: (g, want[i]) for i, g in got.items() if g != want[i]} == {} and len(got) == len(want)
+
+
+def test_a_text_with_a_partner_meets_no_more_texts(spark, monkeypatch):
+    import difflib
+    from pyspark.sql.functions import pandas_udf
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted():
+        @pandas_udf("double")
+        def ratio(a, b):
+            asked.add(len(a))
+            return a.combine(b, lambda x, y: difflib.SequenceMatcher(None, x, y).ratio())
+        return ratio
+
+    monkeypatch.setattr(dedup, "_ratio", counted)
+    data = [(i, None, "F", None, None, f"AVISO de remate de la finca del norte {i:03}") for i in range(400)]
+    out = dedup.near_levels(spark.createDataFrame(data, "id long, expediente string, finca string, base string, bbox string, text string"))
+    assert {r["matched_id"] for r in out.filter("id > 0").collect()} == {0} and asked.value < 400 * 10
