@@ -89,3 +89,14 @@ def test_a_place_name_reads_a_run_of_letters_once(spark):
     assert time.time() - began < 60
     assert got[0] == " ".join(["Lote", "de", "100", "M2"] + ["mas", "texto"] * 13) + "." and got[4] == ""
     assert [got[1], got[2], got[3]] == ["5 M2, LAGO AZUL, CORR: ARENA, DIST: CENTRO.", "7 M2, Sol, CORR: ARENA, DIST: B.", "5 M2, A B, CORR: A B."]
+
+
+def test_dockets_of_one_ending_meet_whole(spark):
+    from gavelwork.operators import matching
+
+    dockets = spark.range(10, 3010).selectExpr("concat(id, '0001-1999') AS expediente")
+    texts = spark.range(10, 3010).selectExpr("id AS document_id", "concat('x ', id, '0001-1999 y ', id, '0001-1999') AS text")
+    found = matching.docket_anchors(texts, dockets)
+    joins = [x for x in plan(found).splitlines() if "Join" in x]
+    assert not any("fp#" in x for x in joins) and any("_t#" in x for x in joins)
+    assert found.filter("at = 1").count() == 3000
