@@ -100,3 +100,24 @@ def test_dockets_of_one_ending_meet_whole(spark):
     joins = [x for x in plan(found).splitlines() if "Join" in x]
     assert not any("fp#" in x for x in joins) and any("_t#" in x for x in joins)
     assert found.filter("at = 1").count() == 3000
+
+
+def test_contained_documents_exchange_no_words_and_equal_brute_force(spark):
+    import random
+
+    from gavelwork.operators import matching
+
+    r = random.Random(15)
+    common, rare = [f"COMUN{i}" for i in range(12)], [f"RARA{i}" for i in range(400)]
+    docs = [(r.choice(["x", "y"]), i, r.sample(common, r.randint(0, 5)) + r.sample(rare, r.choice([0, 0, 1, 30])) * 2) for i in range(300)]
+    docs += [(p, 300 + i, sorted(set(w), reverse=True)) for i, (p, _, w) in enumerate(docs[:40])] + [(None, 400, ["UNA"]), (None, 401, ["UNA"]), (None, 402, ["UNA", "DOS"])]
+    got = matching.contained_documents(spark.createDataFrame(docs, "page string, doc_id long, words array<string>"))
+    assert not re.search(r"hashpartitioning\([^)]*\bw#", plan(got)) and "array_except" not in plan(got)
+    sets = {}
+    for p, i, w in docs:
+        if w:
+            sets.setdefault((p, frozenset(w)), []).append(i)
+    want = [(p, min(x), min(y), len(v), len(x), len(y)) for (p, v), x in sets.items() for (q, w), y in sets.items() if p is not None and p == q and v < w]
+    want += [(p, min(x), min(x), len(v), len(x), len(x)) for (p, v), x in sets.items() if len(x) > 1]
+    cols = ["page", "a", "b", "n", "copias_a", "copias_b"]
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in got.select(cols).collect()) and len(want) > 500
