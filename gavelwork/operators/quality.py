@@ -287,25 +287,47 @@ def municipalities(df, keys=("country",), text="text"):
     return found.select(*keys, name.alias("municipio")).filter("municipio <> ''").groupBy(*keys, "municipio").agg(F.count("*").alias("n"))
 
 
-CELL_BITS = 20
+OFTEN_BITS = 22
+RARE = "-"
+
+
+def _often(words, least, keys):
+    """Bit table, as an array of 2 ** (OFTEN_BITS - 6) numbers, of the words (a column ``w``) that stand ``least`` times or more in their group."""
+    often = words.select(F.xxhash64(*keys, "w").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+    bits = often.select(F.pmod("h", F.lit(1 << OFTEN_BITS)).alias("p")).select(F.shiftright("p", 6).alias("i"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("bits"))
+    every = bits.unionByName(words.sparkSession.range(1 << (OFTEN_BITS - 6)).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("bits")))
+    rows = every.groupBy("i").agg(F.bit_or("bits").alias("bits"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"])).scalar()  # a subquery of the same plan
 
 
 def expressions(df, least, sizes=(2, 3, 4), keys=("country",), text="text"):
     """Expressions of some words in a row that stand ``least`` times or more in the texts of a group, with their exact numbers.
 
-    A first pass counts cells of a hash, at most 2 ** CELL_BITS a task and group; only expressions of cells that reach ``least`` are counted by
-    themselves in the second, so what is shuffled there is what may be in the result.
+    An expression that stands so often is made of words that do. Words are counted first; all others become the mark ``RARE``, so that texts
+    which differ in a name or a code are alike again. Texts are then cut into chunks, one at each ``max(sizes)`` words with the words that an expression
+    which begins in it can reach; equal chunks are counted where they are, and only the distinct ones give expressions.
     """
+    most = max(sizes)
     words = F.regexp_extract_all(F.upper(text), F.lit("([A-ZÁÉÍÓÚÑ]{3,})"), 1)
     d = df.select(*keys, words.alias("w"))
+    table = _often(d.select(*keys, F.explode("w").alias("w")), least, keys)
+
+    def marked(x):
+        p = F.pmod(F.xxhash64(*keys, x), F.lit(1 << OFTEN_BITS))
+        often = F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return F.when(x.isNull() | often, x).otherwise(RARE)
+
+    slices = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(most)), lambda i: F.slice("w", i, F.lit(2 * most - 1)))
+    chunk = F.concat_ws(" ", *[marked(F.get("s", F.lit(j))) for j in range(2 * most - 1)])
+    chunks = d.filter(F.size("w") > 0).select(*keys, F.explode(slices).alias("s")).select(*keys, chunk.alias("chunk")).groupBy(*keys, "chunk").agg(F.count("*").alias("c"))
+    w = chunks.select(*keys, F.split("chunk", " ").alias("w"), "c")
 
     def grams(n):
-        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        starts = F.sequence(F.lit(1), F.least(F.size("w") - (n - 1), F.lit(most)))
         return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-    every = d.select(*keys, F.explode(F.concat(*[grams(n) for n in sizes])).alias("expresion")).withColumn("cell", F.pmod(F.xxhash64("expresion"), F.lit(1 << CELL_BITS)).cast("int"))
-    full = every.groupBy(*keys, "cell").agg(F.count("*").alias("c")).filter(F.col("c") >= least).drop("c")
-    return every.join(full, [*keys, "cell"], "left_semi").groupBy(*keys, "expresion").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    every = w.select(*keys, F.explode(F.concat(*[grams(n) for n in sizes])).alias("expresion"), "c").filter(~F.contains("expresion", F.lit(RARE)))
+    return every.groupBy(*keys, "expresion").agg(F.sum("c").alias("n")).filter(F.col("n") >= least)
 
 
 # fixed values: names of one field in the two generations

@@ -121,3 +121,24 @@ def test_contained_documents_exchange_no_words_and_equal_brute_force(spark):
     want += [(p, min(x), min(x), len(v), len(x), len(x)) for (p, v), x in sets.items() if len(x) > 1]
     cols = ["page", "a", "b", "n", "copias_a", "copias_b"]
     assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in got.select(cols).collect()) and len(want) > 500
+
+
+def test_expressions_count_chunks_of_frequent_words_and_equal_brute_force(spark):
+    import random
+    from collections import Counter
+
+    from gavelwork.operators import quality as q
+
+    r = random.Random(24)
+    words = ["AVISO", "REMATE", "FINCA", "JUZGADO", "ÑANDÚ", "BASE"]
+    name = lambda i: "".join("ABCDEFGHIJ"[int(c)] for c in f"{i:06d}")
+    rows = [(r.choice(["PA", "CO", None]), " 12, ".join(r.choice(words) if r.random() < 0.9 else name(i) for _ in range(r.randint(0, 23)))) for i in range(400)]
+    rows += [("PA", None), ("CO", "de la"), ("CO", "UNO"), ("CO", "aviso remate")]
+    for sizes in ((2, 3, 4), (1, 3)):
+        want = Counter()
+        for c, t in rows:
+            w = re.findall("[A-ZÁÉÍÓÚÑ]{3,}", (t or "").upper())
+            want.update((c, " ".join(w[i:i + n])) for n in sizes for i in range(len(w) - n + 1))
+        got = q.expressions(spark.createDataFrame(rows, "country string, text string"), 8, sizes)
+        assert "LeftSemi" not in plan(got)
+        assert {(x["country"], x["expresion"]): x["n"] for x in got.collect()} == {k: n for k, n in want.items() if n >= 8}
