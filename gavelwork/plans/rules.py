@@ -469,7 +469,7 @@ k AS (SELECT doc_id, i, x, len(regexp_extract_all(x, '(?i)CASA|CON CEATA|CON\s+C
 SELECT doc_id, arg_max(x, sc * 1000000 - i) AS ventana FROM (SELECT doc_id, x, i, sc FROM k) GROUP BY doc_id""")
 def best_window(spark, sf):
     d = v.texts(spark, sf)
-    return nt.best_window(d, "text").select("doc_id", "ventana")
+    return nt.best_window_by_key(d, "doc_id", "text").select("doc_id", "ventana")
 
 
 @query("win18_anchor_slice", views=("avisos",), oracle="""
