@@ -1,8 +1,11 @@
 """Results that must be whole and equal to their SQL where the input is long, repeated or odd."""
 
+import re
+
 import duckdb
 
 import __spark_entry__ as entry
+from gavelwork.operators import matching
 
 
 def test_a_window_is_chosen_as_its_sql_does(spark, tmp_path):
@@ -17,3 +20,12 @@ def test_a_window_is_chosen_as_its_sql_does(spark, tmp_path):
     want = con.execute(entry.oracle_sql()["win16_best_window"]).fetchall()
     got = [tuple(r) for r in entry.queries()["win16_best_window"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_place_of_a_text_costs_its_own_digits(spark):
+    """Digits are cut out of bytes, and what is exchanged went through a table of whole dockets."""
+    texts = spark.createDataFrame([(1, "x 100-2001 y 55-2001 " + "3" * 2000)], "document_id long, text string")
+    found = matching.docket_anchors(texts, spark.createDataFrame([("100-2001",), ("56-2001",)], "expediente string"))
+    p = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"regexp_replace\(text#\d+, \\D\+, , 1\) as binary", p) and p.count("bit_or(") == 2
+    assert [(r["expediente"], r["document_id"], r["at"]) for r in found.collect()] == [("100-2001", 1, 1)]
