@@ -1,8 +1,10 @@
 """Results that must be whole and equal to their SQL where the input is long, repeated or odd."""
 
+import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gavelwork.operators import matching
@@ -29,3 +31,45 @@ def test_a_place_of_a_text_costs_its_own_digits(spark):
     p = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"regexp_replace\(text#\d+, \\D\+, , 1\) as binary", p) and p.count("bit_or(") == 2
     assert [(r["expediente"], r["document_id"], r["at"]) for r in found.collect()] == [("100-2001", 1, 1)]
+
+
+def _regions(texts, dockets):
+    """Plain Python: a docket's first place in a document's digits, the page of its first digit, the first place in that page's digits, block or line there."""
+    out = []
+    for doc, text in texts:
+        marks = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\n?--- PÁGINA \d+ ---\n?", text)]
+        cuts = [0, *[b for _, b, _ in marks]], [*[a for a, _, _ in marks], len(text)], [1, *[int(re.search(r"\d+", m).group()) for _, _, m in marks]]
+        places = [i for i, c in enumerate(text) if c in "0123456789"]
+        for docket in dockets:
+            want = re.sub(r"\D", "", docket)
+            k = "".join(text[i] for i in places).find(want)
+            for a, b, page in zip(*cuts):
+                if k >= 0 and a <= places[k] < b and text[a:b].strip(" "):
+                    own = [i for i, c in enumerate(text[a:b]) if c in "0123456789"]
+                    j = "".join(text[a:b][i] for i in own).find(want)
+                    if j >= 0:
+                        pos, end, t = own[j], own[j + len(want) - 1] + 1, text[a:b]
+                        starts = [m.start() for m in re.finditer(r"(?m)^\s*(?:EJ|DIV)\s*\.", t)]
+                        held = [(x, y) for x, y in zip(starts, [*starts[1:], len(t)]) if x <= pos < y]
+                        x, y = held[0] if held else (t.rfind("\n", 0, pos) + 1, len(t) if t.find("\n", end) < 0 else t.find("\n", end))
+                        out.append((docket, doc, page, x, y, t[x:y]))
+    return sorted(out)
+
+
+def test_regions_read_their_texts_twice(spark):
+    rng = random.Random(9)
+    dockets = ["12", "1-23", "2012-0053", "31", "3 1 2", "777777"]
+    bits = [*dockets, "\n", "EJ . ", "\nEJ. ", "\n DIV .", "palabra ", "ñ😀 ", "\n--- PÁGINA 12 ---\n", "--- PÁGINA 3 ---", " 7", "1", "x" * 300]
+    texts = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 60)))) for i in range(80)] + [(100, "777" + "x" * 2000 + "\n--- PÁGINA 777 ---\n" + "777777")]
+    df = spark.createDataFrame(texts, "document_id long, text string").withColumn("text", F.overlay("text", F.lit(""), F.lit(1), F.lit(0)))
+    got = matching.anchored_regions(df, spark.createDataFrame([(x,) for x in dockets], "expediente string"))
+    assert 1 <= got._jdf.queryExecution().optimizedPlan().toString().count("overlay(") <= 2
+    assert sorted(tuple(r) for r in got.collect()) == _regions(texts, dockets)
+
+
+def test_regions_of_dockets_that_the_sql_looks_up(spark, sf, tmp_path):
+    """The SQL takes dockets of nine digits; those of orders from 90,000 on have ten."""
+    for t in ("customer", "orders"):
+        spark.read.parquet(f"{sf}/{t}.parquet").withColumns({"o_orderkey": F.expr("o_orderkey % 16 + 89992")} if t == "orders" else {}).limit(16 if t == "orders" else 10**6).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = entry.queries()["joi10_anchored_regions"](spark, str(tmp_path)).select("expediente").distinct().collect()
+    assert got and {len(re.sub(r"\D", "", r["expediente"])) for r in got} == {9}
