@@ -1,5 +1,6 @@
 """Results that must be whole and equal to their SQL where the input is long, repeated or odd."""
 
+import json
 import random
 import re
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gavelwork.operators import matching
+from gavelwork.plans import inputs
 
 
 def test_a_window_is_chosen_as_its_sql_does(spark, tmp_path):
@@ -73,3 +75,17 @@ def test_regions_of_dockets_that_the_sql_looks_up(spark, sf, tmp_path):
         spark.read.parquet(f"{sf}/{t}.parquet").withColumns({"o_orderkey": F.expr("o_orderkey % 16 + 89992")} if t == "orders" else {}).limit(16 if t == "orders" else 10**6).write.parquet(f"{tmp_path}/{t}.parquet")
     got = entry.queries()["joi10_anchored_regions"](spark, str(tmp_path)).select("expediente").distinct().collect()
     assert got and {len(re.sub(r"\D", "", r["expediente"])) for r in got} == {9}
+
+
+def test_an_annotation_is_written_without_a_struct_for_each_letter(spark, tmp_path):
+    text = 'a"b \\ c\x01d \x7f 😀😀x ñandú $0 {x} \'q\' z'
+    spark.createDataFrame([(1, text), (2, " \n "), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = inputs.annotations(spark, str(tmp_path))
+    assert "pages, array(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    rows = made.collect()
+    words = json.loads(rows[0]["annotation"])["pages"][0]["blocks"][0]["paragraphs"][0]["words"]
+    assert len(rows) == 1 and [[s["text"] for s in w["symbols"]] for w in words] == [list(w) for w in text.split()]
+    assert [w["symbols"][-1]["property"]["detectedBreak"]["type"] for w in words] == ["SPACE"] * 7 + ["LINE_BREAK"] + ["SPACE"] * (len(words) - 8)
+    assert all("property" not in s for w in words for s in w["symbols"][:-1])
+    got = {r["word_no"]: r["text"] for r in inputs.ocr_words(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(text.split()))
